@@ -1,0 +1,274 @@
+"""Markdown (CommonMark) from a stream of element starts, texts and element ends."""
+
+from __future__ import annotations
+
+import re
+from itertools import groupby
+
+# Fixed values of the output format.
+BULLET = "- "
+RULE = "* * *"
+FENCE = "```"
+LIST_SEPARATOR = "<!--THE END-->"
+STRONG = "**"
+EMPHASIS = "*"
+BREAK = "\x00"
+
+BOLD = frozenset("b strong".split())
+ITALIC = frozenset("em i".split())
+CODE = frozenset("code kbd samp tt".split())
+DROPPED = frozenset("iframe input link meta noembed noframes noscript script style textarea title xmp".split())
+LEVEL = {f"h{n}": n for n in range(1, 7)}
+BLOCK = frozenset(
+    """address article aside body caption center dd details dialog dir div dl dt fieldset figcaption figure footer
+    form header hgroup legend listing main menu nav p search section summary table tbody tfoot thead tr""".split()
+)
+
+SPACES = re.compile(r"[ \t\n\f\r]+")
+SPECIAL = re.compile(r"([\\`*_\[\]<])")
+REFERENCE = re.compile(r"&(#?\w+;)", re.A)
+LINE_MARK = re.compile(r"^([#>+~=-])", re.M)
+LINE_NUMBER = re.compile(r"^([0-9]+)([.)])", re.M)
+
+
+def escape(text: str) -> str:
+    return REFERENCE.sub(r"\\&\1", SPECIAL.sub(r"\\\1", text))
+
+
+def destination(href: str) -> str:
+    if re.search(r"[\s()<>]", href):
+        return "<" + re.sub(r"\s", " ", href).replace("<", "%3C").replace(">", "%3E") + ">"
+    return href
+
+
+def wrap(content: str, left: str, right: str) -> str:
+    """Put delimiters around ``content``, keeping outer blanks and breaks outside of them."""
+    core = content.strip(" " + BREAK)
+    if not core:
+        return content
+    at = content.index(core)
+    return content[:at] + left + core + right + content[at + len(core) :]
+
+
+def code_span(text: str) -> str:
+    ticks = "`" * (max((len(t) for t in re.findall("`+", text)), default=0) + 1)
+    pad = " " if text.startswith("`") or text.endswith("`") else ""
+    return ticks + pad + text + pad + ticks
+
+
+class MarkdownWriter:
+    def __init__(self):
+        self.formats: list[tuple[str, object]] = []  # (element name, link target or None)
+        self.frames: list[dict] = []  # open lists, items and quotes
+        self.runs: list[tuple[tuple, str, bool]] = []  # (formats, text, already Markdown)
+        self.blocks: list[str] = []
+        self.heading = 0
+        self.fence: list[str] | None = None
+        self.language = ""
+        self.dropped = 0
+        self.last_list: dict | None = None
+        self.list_ended = False
+
+    # -- events ------------------------------------------------------------------
+
+    def text(self, content: str) -> None:
+        if self.dropped:
+            return
+        if self.fence is not None:
+            self.fence.append(content)
+        else:
+            self.runs.append((self.format(), content, False))
+
+    def start(self, name: str, attrs: list[tuple[str, str]]) -> None:
+        get = dict(reversed(attrs)).get
+        if name in ("script", "style", "title"):
+            return
+        if name == "br":
+            self.text("\n") if self.fence is not None else self.runs.append((self.format(), BREAK, True))
+        elif name == "img":
+            if get("src"):
+                title = ' "' + get("title").replace('"', '\\"') + '"' if get("title") else ""
+                alt = escape(SPACES.sub(" ", get("alt") or ""))
+                self.runs.append((self.format(), f"![{alt}]({destination(get('src'))}{title})", True))
+        elif name == "hr":
+            self.flush()
+            self.block(RULE)
+        elif name == "a":
+            self.formats.append(("a", (get("href"), get("title")) if get("href") else None))
+        elif name in BOLD or name in ITALIC or name in CODE:
+            if self.fence is None:
+                self.formats.append((name, None))
+            elif name == "code" and not self.language:
+                self.language = self.class_language(get("class"))
+        elif name in LEVEL:
+            self.flush()
+            self.heading = LEVEL[name]
+        elif name == "pre":
+            self.flush()
+            self.fence, self.language = [], self.class_language(get("class"))
+        elif name in ("ul", "ol"):
+            self.flush()
+            first = get("start") or "1"
+            number = int(first) if first.isascii() and first.isdigit() else 1
+            self.frames.append({"kind": name, "number": number, "parent": self.frames[-1] if self.frames else None})
+        elif name == "li":
+            self.flush()
+            self.frames.append(self.item())
+        elif name == "blockquote":
+            self.flush()
+            self.frames.append({"kind": "blockquote"})
+        elif name in BLOCK:
+            self.flush()
+        elif name in ("td", "th"):
+            self.runs.append(((), " ", False))
+
+    def end(self, name: str) -> None:
+        if name in ("script", "style", "title"):
+            return
+        if name == "a" or name in BOLD or name in ITALIC or name in CODE:
+            for i in range(len(self.formats) - 1, -1, -1):
+                if self.formats[i][0] == name:
+                    del self.formats[i]
+                    break
+        elif name in LEVEL:
+            self.flush()
+        elif name == "pre":
+            self.end_fence()
+        elif name in ("ul", "ol", "li", "blockquote"):
+            self.flush()
+            for i in range(len(self.frames) - 1, -1, -1):
+                if self.frames[i]["kind"] == name:
+                    if name in ("ul", "ol") and not any(f["kind"] in ("ul", "ol") for f in self.frames[:i]):
+                        self.list_ended = True
+                    del self.frames[i:]
+                    break
+        elif name in BLOCK:
+            self.flush()
+
+    def finish(self) -> str:
+        self.end_fence() if self.fence is not None else self.flush()
+        return "\n".join(self.blocks)
+
+    # -- helpers -----------------------------------------------------------------
+
+    @staticmethod
+    def class_language(classes: str | None) -> str:
+        m = re.search(r"(?:^|\s)lang(?:uage)?-([^\s`]+)", classes or "")
+        return m.group(1) if m else ""
+
+    def item(self) -> dict:
+        owner = next((f for f in reversed(self.frames) if f["kind"] in ("ul", "ol")), None)
+        if owner is not None and owner["kind"] == "ol":
+            marker = f"{owner['number']}. "
+            owner["number"] += 1
+        else:
+            marker = BULLET
+        return {"kind": "li", "marker": marker, "fresh": True}
+
+    def format(self) -> tuple:
+        """(link, bold, italic, code) in force."""
+        link, bold, italic, code = None, False, False, False
+        for name, target in self.formats:
+            if name == "a":
+                link = target
+            elif name in BOLD:
+                bold = True
+            elif name in ITALIC:
+                italic = True
+            else:
+                code = True
+        return link, bold, italic, code
+
+    def flush(self) -> None:
+        runs, self.runs = self.runs, []
+        level, self.heading = self.heading, 0
+        if not runs:
+            return
+        body = self.inline(self.squeeze(runs), 0).strip(" " + BREAK)
+        if not body:
+            return
+        if level:
+            self.block("#" * level + " " + re.sub(f" *{BREAK}+ *", " ", body))
+            return
+        body = re.sub(f" *{BREAK} *", "  \n", body)
+        body = LINE_NUMBER.sub(r"\1\\\2", LINE_MARK.sub(r"\\\1", body))
+        self.block(body)
+
+    @staticmethod
+    def squeeze(runs: list[tuple[tuple, str, bool]]) -> list[tuple[tuple, str, bool]]:
+        """Collapse blanks across neighbouring runs and drop those at the edges of a line."""
+        out, blank = [], True
+        for fmt, text, done in runs:
+            if not done:
+                text = SPACES.sub(" ", text)
+                if blank and text.startswith(" "):
+                    text = text[1:]
+                if not text:
+                    continue
+                blank = text.endswith(" ")
+            else:
+                blank = text == BREAK
+            out.append((fmt or (None, False, False, False), text, done))
+        return out
+
+    def inline(self, runs: list[tuple[tuple, str, bool]], depth: int) -> str:
+        """Nest link > strong > emphasis > code, so delimiters always balance."""
+        if depth == 4:
+            return "".join(text if done else escape(text) for _, text, done in runs)
+        out = []
+        for value, group in groupby(runs, key=lambda r: r[0][depth]):
+            group = list(group)
+            if depth == 3 and value:
+                text = "".join(" " if t == BREAK else t for _, t, _ in group)
+                core = text.strip(" ")
+                out.append(text.replace(core, code_span(core), 1) if core else text)
+                continue
+            inner = self.inline(group, depth + 1)
+            if depth == 0 and value:
+                href, title = value
+                note = ' "' + title.replace('"', '\\"') + '"' if title else ""
+                inner = wrap(inner, "[", f"]({destination(href)}{note})")
+            elif depth == 1 and value:
+                inner = wrap(inner, STRONG, STRONG)
+            elif depth == 2 and value:
+                inner = wrap(inner, EMPHASIS, EMPHASIS)
+            out.append(inner)
+        return "".join(out)
+
+    def end_fence(self) -> None:
+        if self.fence is None:
+            return
+        body = "".join(self.fence)
+        body = body[1:] if body.startswith("\n") else body
+        longest = max((len(t) for t in re.findall("`+", body)), default=0)
+        fence = FENCE + "`" * max(0, longest - 2)
+        self.fence = None
+        if body.strip():
+            self.block(f"{fence}{self.language}\n{body.rstrip(chr(10))}\n{fence}")
+
+    def block(self, body: str) -> None:
+        """Append a block under the prefixes of its open items and quotes."""
+        owner = next((f for f in self.frames if f["kind"] in ("ul", "ol")), None)
+        starts_item = False
+        first = rest = ""
+        for frame in self.frames:
+            if frame["kind"] == "li":
+                fresh, frame["fresh"] = frame["fresh"], False
+                starts_item |= fresh
+                indent = " " * len(frame["marker"])
+                first += frame["marker"] if fresh else indent
+                rest += indent
+            elif frame["kind"] == "blockquote":
+                first += "> "
+                rest += "> "
+        lines = body.split("\n")
+        text = "\n".join([first + lines[0], *[(rest + line).rstrip() if not line else rest + line for line in lines[1:]]])
+        if self.blocks:
+            previous = self.last_list
+            if self.list_ended and owner and previous and owner is not previous and owner["parent"] is previous["parent"]:
+                self.blocks.append(f"\n{LIST_SEPARATOR}\n")
+            elif not (starts_item and owner is previous):
+                quoted = rest.rstrip() if rest.startswith(">") and self.blocks[-1].startswith(">") else ""
+                self.blocks.append(quoted)
+        self.blocks.append(text)
+        self.last_list, self.list_ended = owner, False

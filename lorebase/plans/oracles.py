@@ -62,6 +62,132 @@ def like(prefix: str) -> str:
     return f"translate(url, {FOLD}) LIKE translate('{prefix}', {FOLD}) || '%'"
 
 
+def plain(text: str) -> str:
+    """Decode the references that occur in the pages."""
+    for name, char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"')):
+        text = f"replace({text}, '{name}', '{char}')"
+    return f"regexp_replace({text}, '&amp;?', '&', 'g')"
+
+
+def squeeze(text: str) -> str:
+    return f"trim(regexp_replace({text}, '[ \\t\\n\\f\\r]+', ' ', 'g'), ' ')"
+
+
+def escape(text: str) -> str:
+    special = f"regexp_replace({squeeze(plain(text))}, '([\\\\`*_\\[\\]<])', '\\\\\\1', 'g')"
+    return f"regexp_replace({special}, '&(#?[0-9A-Za-z_]+;)', '\\\\&\\1', 'g')"
+
+
+def line(text: str) -> str:
+    marked = f"regexp_replace({escape(text)}, '^([#>+~=-])', '\\\\\\1')"
+    return f"regexp_replace({marked}, '^([0-9]+)([.)])', '\\1\\\\\\2')"
+
+
+def bold(text: str) -> str:
+    return f"CASE WHEN {escape(text)} = '' THEN '' ELSE '**' || {escape(text)} || '**' END"
+
+
+def untag(text: str) -> str:
+    return f"regexp_replace({text}, '<[^>]*>', '', 'g')"
+
+
+def bullets(region: str, mark: str) -> str:
+    item = "'<li><a href=\"([^\"]*)\">([^<]*)</a>'"
+    pairs = f"list_zip(regexp_extract_all({region}, {item}, 1), regexp_extract_all({region}, {item}, 2))"
+    shown = f"'- [{mark}' || {escape('p[2]')} || '{mark}](' || {plain('p[1]')} || ')'"
+    return f"array_to_string(list_transform({pairs}, lambda p: {shown}), chr(10))"
+
+
+def parsed(source: str) -> str:
+    """Outputs of page parsing over a table with url and html, for the grammar of these pages."""
+    return f"""
+parts AS (
+  SELECT *, regexp_extract(html, '<title>(.*?)</title>', 1, 's') AS t,
+         regexp_extract(html, '<article>(.*)</article>', 1, 's') AS art,
+         regexp_extract(html, '<nav>.*?</nav>', 0, 's') AS nav,
+         regexp_extract(html, '<div class="ad">(.*?)</div>', 1, 's') AS ad,
+         regexp_extract(html, '<footer>(.*?)</footer>', 1, 's') AS foot,
+         regexp_extract(html, '</footer>.*', 0, 's') AS tail
+  FROM {source}),
+pieces AS (
+  SELECT *, regexp_extract(art, '<h1>(.*?)</h1>', 1, 's') AS h1, string_split(art, '<p>')[2:] AS ps FROM parts),
+parsed AS (
+  SELECT * EXCLUDE (t), {plain("t")} AS title, '' AS description,
+         {squeeze(plain("regexp_replace(art, '<[^>]*>', ' ', 'g')"))} AS main_text,
+         array_to_string(list_filter(list_concat(
+           [{bullets("nav", "")}, {line("ad")}, CASE WHEN h1 = '' THEN '' ELSE '# ' || {escape("h1")} END],
+           list_transform(ps, lambda p, i: CASE
+             WHEN len(list_filter(ps[1:i], lambda y: contains(y, '<b>'))) > 0 THEN {bold(untag("p"))}
+             ELSE {line(untag("p"))} END),
+           [{bold("foot")}, {bullets("tail", "**")}]), lambda s: s <> ''), chr(10) || chr(10)) AS markdown,
+         regexp_extract_all(html, '<a href="([^"]*)">', 1) AS hrefs
+  FROM pieces)"""
+
+
+PAGES = parsed("pages")
+
+RANKED = """
+ranked AS (
+  SELECT *, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host,
+         row_number() OVER (PARTITION BY regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) ORDER BY page_id) - 1 AS rank
+  FROM pages),
+links AS (
+  SELECT a.page_id, a.host, a.rank AS src, b.rank AS dst, n, b.url AS dst_url
+  FROM ranked a, LATERAL (VALUES (0, 2*a.rank+1), (1, 2*a.rank+2), (2, 0), (3, 3*a.rank+2)) v(n, dst)
+  JOIN ranked b ON b.host = a.host AND b.rank = v.dst),
+linked AS (
+  SELECT r.page_id, r.url, r.host, r.rank, html || '<ul>' || coalesce(items, '')
+         || '<li><a href="https://elsewhere.invalid/">away</a></li></ul>' AS html
+  FROM ranked r LEFT JOIN (
+    SELECT page_id, string_agg('<li><a href="' || replace(dst_url, '&', '&amp;') || '">page ' || dst || '</a></li>',
+                               '' ORDER BY n) AS items
+    FROM links GROUP BY page_id) USING (page_id))"""
+
+
+def walk(max_depth: int) -> str:
+    return f"""
+{RANKED},
+steps(host, rank, depth) AS (
+  SELECT host, rank, 0 FROM ranked WHERE rank = 0
+  UNION
+  SELECT s.host, l.dst, s.depth + 1 FROM steps s JOIN links l ON l.host = s.host AND l.src = s.rank
+  WHERE s.depth < {max_depth}),
+reached AS (
+  SELECT base.url AS base_url, r.url, r.page_id, min(depth)::INTEGER AS depth,
+         coalesce(nullif(regexp_extract(r.url, '^[a-z]+://[^/?#]+([^?#]*)', 1), ''), '/') AS path
+  FROM steps s JOIN ranked r USING (host, rank) JOIN ranked base ON base.host = s.host AND base.rank = 0
+  GROUP BY ALL),
+last AS (
+  SELECT * FROM reached
+  QUALIFY row_number() OVER (PARTITION BY base_url, path ORDER BY depth DESC, url DESC) = 1)"""
+
+
+FETCH = """
+SELECT host, arrival, id,
+       i * 3600000000 + max(arrival - i * 3600000000) OVER (PARTITION BY host ORDER BY arrival, id
+                                                             ROWS UNBOUNDED PRECEDING) AS start
+FROM (SELECT user_id AS host, epoch_us(ts) AS arrival, event_id AS id,
+             row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events)"""
+
+
+def hashed(source: str) -> str:
+    """Components of the hashing embedder for every text of source(id, text), as vecs(id, pos, value)."""
+    return f"""
+chars AS (SELECT id, list_transform(string_split(' ' || text || ' ', ''), lambda c: unicode(c)::BIGINT) AS c
+          FROM {source} WHERE text <> ''),
+hits AS (SELECT id, unnest(list_transform(range(1, len(c) - 1),
+                lambda i: (c[i] * 7 + c[i + 1] * 31 + c[i + 2] * 131) % 128)) AS h FROM chars),
+sums AS (SELECT id, (h % 64)::INTEGER AS pos, sum(CASE WHEN h < 64 THEN 1 ELSE -1 END)::DOUBLE AS v
+         FROM hits GROUP BY ALL),
+norms AS (SELECT id, sqrt(sum(v * v)) AS n FROM sums GROUP BY id),
+vecs AS (SELECT id, pos, coalesce(v / n, 0)::FLOAT AS value
+         FROM norms CROSS JOIN (SELECT unnest(range(64))::INTEGER AS pos) LEFT JOIN sums USING (id, pos))"""
+
+
+TURN_URL = "'conv://' || conv_id || '/' || turn"
+FILES = """SELECT text || chr(10) AS content, sha256(text || chr(10)) AS checksum, 64 AS embeddings,
+           'files' AS context, 'file_read' AS source_type FROM documents"""
+
 ORACLES: dict[str, str] = {
     "kb_scan": f"WITH {KB} SELECT {FLAT} FROM kb",
     "kb_context_filter": f"WITH {KB} SELECT {FLAT} FROM kb WHERE context = 'en'",
@@ -100,4 +226,61 @@ ORACLES: dict[str, str] = {
     "delete_wildcard": f"WITH {KB} SELECT {FLAT} FROM kb WHERE NOT {like('doc://src1_/')}",
     "clean": f"WITH {KB} SELECT {FLAT} FROM kb WHERE false",
     "checksums": "SELECT doc_id, sha256(text) AS checksum FROM documents",
+    "kb_store": f"""WITH {KB}, {BATCH} SELECT {FLAT} FROM kb
+        WHERE NOT starts_with(url, 'doc://src1/') AND url NOT IN (SELECT url FROM latest)
+        UNION ALL SELECT url, title, '', content, sha256(content), 0, context, '' FROM latest""",
+    "make_documents_from_pages": """SELECT 'https://' || regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) || '/' || page_id
+        AS url, '' AS title, 'd' AS description, html AS content, sha256(html) AS checksum, 'web' AS context,
+        'web_scrape' AS source_type FROM pages""",
+    "documents_from_conversations": f"""SELECT {TURN_URL} AS url, role AS title, '' AS description, text AS content,
+        sha256(text) AS checksum, '' AS context, '' AS source_type, NULL::VARCHAR AS error FROM conversations""",
+    "valid_pages": """SELECT page_id, 200 AS status,
+        CASE WHEN page_id % 3 = 0 THEN 'text/html; charset=utf-8' ELSE 'text/html' END AS content_type
+        FROM pages WHERE page_id % 7 <> 0 AND page_id % 3 <> 2""",
+    "page_title": f"WITH {PAGES} SELECT page_id, title FROM parsed",
+    "page_description": f"WITH {PAGES} SELECT page_id, description, NULL::VARCHAR AS error FROM parsed",
+    "main_text": f"WITH {PAGES} SELECT page_id, main_text FROM parsed",
+    "markdown": f"WITH {PAGES} SELECT page_id, markdown FROM parsed",
+    "parse_pages": f"""WITH {PAGES} SELECT page_id, title, description, main_text, markdown, len(hrefs) AS n_links,
+        NULL::VARCHAR AS error FROM parsed""",
+    "page_links": f"""WITH {PAGES} SELECT page_id, (i - 1)::INTEGER AS ord, {plain("hrefs[i]")} AS href
+        FROM (SELECT page_id, hrefs, unnest(range(1, len(hrefs) + 1)) AS i FROM parsed)""",
+    "resolve_links": f"""WITH {PAGES} SELECT url AS src_url, (i - 1)::INTEGER AS ord,
+        regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, {plain("hrefs[i]")} AS path
+        FROM (SELECT url, hrefs, unnest(range(1, len(hrefs) + 1)) AS i FROM parsed)""",
+    "site_metadata": f"""WITH {RANKED}, {parsed("ranked")}
+        SELECT r.page_id, b.url AS base_url, b.title, b.description FROM ranked r
+        JOIN parsed b ON b.host = r.host AND b.rank = 0""",
+    "crawl_depth": f"WITH RECURSIVE {walk(5)} SELECT base_url, url, depth FROM reached",
+    "crawl_depth_two": f"WITH RECURSIVE {walk(2)} SELECT base_url, url, depth FROM reached",
+    "crawl_paths": f"WITH RECURSIVE {walk(5)} SELECT DISTINCT base_url, path FROM reached",
+    "crawl_last_page": f"WITH RECURSIVE {walk(5)} SELECT base_url, path, url, depth FROM last",
+    "crawl_report": f"""WITH RECURSIVE {walk(5)} SELECT base_url, path, strlen(html) AS html_length
+        FROM last JOIN linked USING (page_id)""",
+    "crawl_summary": f"""WITH RECURSIVE {walk(5)} SELECT base_url, count(DISTINCT path) AS n_paths
+        FROM reached GROUP BY base_url""",
+    "fetch_plan": FETCH,
+    "fetch_plan_hot_hosts": FETCH,
+    "embed_docs": f"""WITH src AS (SELECT doc_id AS id, text FROM documents), {hashed("src")}
+        SELECT id AS doc_id, pos, value::DOUBLE AS value FROM vecs""",
+    "search_text": f"""WITH src AS (SELECT 'd' || doc_id AS id, text FROM documents
+                                  UNION ALL SELECT 'q' || item_id, text FROM benchmark),
+        {hashed("src")},
+        v AS (SELECT id, list(value ORDER BY pos) AS e FROM vecs GROUP BY id),
+        n AS (SELECT id, e, sqrt({dot("e", "e")}) AS m FROM v),
+        s AS (SELECT q.id[2:]::BIGINT AS query_id, d.id[2:] AS url, {dot("q.e", "d.e")} / (q.m * d.m) AS score
+              FROM n q, n d WHERE q.id[1] = 'q' AND d.id[1] = 'd')
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, url) AS rank FROM s
+        WHERE score >= 0 QUALIFY rank <= 3""",
+    "rejects": """SELECT doc_id::VARCHAR AS url, CASE WHEN quality = 0 THEN 'empty embedding returned'
+        ELSE 'url and content are required' END AS error
+        FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS DISTINCT FROM 1""",
+    "ingest_rows": f"""SELECT {TURN_URL} AS url, '' AS title, '' AS description, text AS content,
+        sha256(text) AS checksum, 64 AS embeddings, 'talk' AS context, '' AS source_type FROM conversations""",
+    "ingest_site": f"""WITH RECURSIVE {walk(5)}, {parsed("linked")}
+        SELECT base_url || path AS url, b.title, b.description, p.markdown AS content,
+               sha256(p.markdown) AS checksum, 'web' AS context, 'web_scrape' AS source_type, 64 AS embeddings
+        FROM last JOIN parsed p USING (page_id) JOIN parsed b ON b.url = last.base_url""",
+    "ingest_files": FILES,
+    "stream_ingest": FILES,
 }

@@ -9,8 +9,14 @@ from pyspark.sql import functions as F
 
 from lorebase.functions import vectors
 from lorebase.functions.text import checksum
-from lorebase.operators import mutate, reports, scan, search
+from lorebase.operators import crawl, embed, extract, fetchplan, mutate, reports, scan, search
+from lorebase.plans import ingest
 from lorebase.plans import testbed as bed
+from lorebase.session import materialize, new_work_path
+from lorebase.sources.documents import documents_from_rows, make_documents
+from lorebase.sources.pages import valid_pages as keep_valid
+from lorebase.sources.store import KnowledgeBase
+from lorebase.streaming.ingest import stream_ingest as start_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -185,3 +191,224 @@ def clean(spark, sf_dir):
 def checksums(spark, sf_dir):
     docs = bed.table(spark, sf_dir, "documents")
     return docs.select("doc_id", checksum(F.col("text")).alias("checksum"))
+
+
+@query
+def kb_store(spark, sf_dir):
+    """The same upsert and a prefix delete through snapshots on disk, the second upsert in place."""
+    kb = KnowledgeBase.open(spark, new_work_path(spark, "kb"))
+    kb.upsert(bed.derived_kb(spark, sf_dir))
+    kb.delete_prefix("doc://src1/", literal=True)
+    kb.upsert(bed.upsert_batch(spark, sf_dir), "seq", in_place=True)
+    return flat(kb.documents())
+
+
+@query
+def make_documents_from_pages(spark, sf_dir):
+    pages = bed.table(spark, sf_dir, "pages").select(
+        F.concat(F.lit("https://"), bed.host()).alias("base_url"),
+        F.concat(F.lit("/"), F.col("page_id").cast("string")).alias("path"),
+        F.lit(None).cast("string").alias("title"),
+        F.lit("d").alias("description"),
+        F.col("html").alias("content"),
+    )
+    return make_documents(pages, "web")
+
+
+@query
+def documents_from_conversations(spark, sf_dir):
+    turns = bed.table(spark, sf_dir, "conversations")
+    url = F.concat_ws("/", F.lit("conv:/"), F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    return documents_from_rows(turns.select(url.alias("url"), F.col("text").alias("content"), F.col("role").alias("title")))
+
+
+# -- pages ---------------------------------------------------------------------------
+
+
+@query
+def valid_pages(spark, sf_dir):
+    page_id = F.col("page_id")
+    html = F.when(page_id % 3 == 0, "text/html; charset=utf-8").when(page_id % 3 == 1, "text/html")
+    captured = bed.table(spark, sf_dir, "pages").select(
+        "page_id",
+        F.when(page_id % 7 == 0, 404).otherwise(200).alias("status"),
+        html.otherwise("application/json").alias("content_type"),
+    )
+    return keep_valid(captured)
+
+
+def parsed(spark, sf_dir):
+    return extract.parse_pages(bed.table(spark, sf_dir, "pages"))
+
+
+@query
+def page_title(spark, sf_dir):
+    return parsed(spark, sf_dir).select("page_id", "title")
+
+
+@query
+def page_description(spark, sf_dir):
+    return parsed(spark, sf_dir).select("page_id", "description", "error")
+
+
+@query
+def main_text(spark, sf_dir):
+    return parsed(spark, sf_dir).select("page_id", "main_text")
+
+
+@query
+def markdown(spark, sf_dir):
+    return parsed(spark, sf_dir).select("page_id", "markdown")
+
+
+@query
+def parse_pages(spark, sf_dir):
+    """All outputs of the job at once."""
+    links = F.size("hrefs").cast("long").alias("n_links")
+    return parsed(spark, sf_dir).select("page_id", "title", "description", "main_text", "markdown", links, "error")
+
+
+@query
+def page_links(spark, sf_dir):
+    return extract.link_edges(parsed(spark, sf_dir), "page_id").withColumnRenamed("src_url", "page_id")
+
+
+@query
+def resolve_links(spark, sf_dir):
+    edges = extract.link_edges(parsed(spark, sf_dir)).withColumn("base_url", F.col("src_url"))
+    found = extract.resolve_links(edges)
+    return found.select("src_url", "ord", F.col("_to.host").alias("host"), F.col("_to.path").alias("path"))
+
+
+@query
+def site_metadata(spark, sf_dir):
+    ranked = bed.ranked_pages(spark, sf_dir)
+    pages = materialize(extract.parse_pages(ranked).select("page_id", "url", "host", "rank", "title", "description"), "meta")
+    bases = pages.filter(F.col("rank") == 0).select("host", F.col("url").alias("base_url"), "title", "description")
+    of_site = pages.join(bases.select("host", "base_url"), "host")
+    return extract.stamp_site_metadata(of_site, bases).select("page_id", "base_url", "title", "description")
+
+
+# -- crawl ---------------------------------------------------------------------------
+
+
+def crawled(spark, sf_dir, max_depth=crawl.DEFAULT_DEPTH):
+    pages = materialize(bed.linked_pages(spark, sf_dir), "linked")
+    index = crawl.page_index(extract.parse_pages(pages.select("url", "html")).drop("html", "main_text"))
+    return crawl.crawl(materialize(index, "index"), bed.site_seeds(pages), max_depth), pages
+
+
+@query
+def crawl_depth(spark, sf_dir):
+    return crawled(spark, sf_dir)[0].select("base_url", "url", "depth")
+
+
+@query
+def crawl_depth_two(spark, sf_dir):
+    return crawled(spark, sf_dir, 2)[0].select("base_url", "url", "depth")
+
+
+@query
+def crawl_paths(spark, sf_dir):
+    return crawl.crawl_paths(crawled(spark, sf_dir)[0])
+
+
+@query
+def crawl_last_page(spark, sf_dir):
+    return crawl.last_page_per_path(crawled(spark, sf_dir)[0]).select("base_url", "path", "url", "depth")
+
+
+@query
+def crawl_report(spark, sf_dir):
+    reached, pages = crawled(spark, sf_dir)
+    last = crawl.last_page_per_path(reached)
+    return crawl.crawl_report(last.join(pages.select("url", "html"), "url"))
+
+
+@query
+def crawl_summary(spark, sf_dir):
+    return crawl.crawl_summary(crawled(spark, sf_dir)[0])
+
+
+def requests(spark, sf_dir):
+    ts = F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone())
+    return bed.table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("host"), F.unix_micros(ts).alias("arrival"), F.col("event_id").alias("id")
+    )
+
+
+FETCH_DELAY = 3_600_000_000
+
+
+@query
+def fetch_plan(spark, sf_dir):
+    return fetchplan.plan_fetches(requests(spark, sf_dir), FETCH_DELAY)
+
+
+@query
+def fetch_plan_hot_hosts(spark, sf_dir):
+    """The same plan in the layout for hosts too large for one task."""
+    return fetchplan.plan_fetches(requests(spark, sf_dir), FETCH_DELAY, rows_per_task=50)
+
+
+# -- embedding and ingest ------------------------------------------------------------
+
+
+@query
+def embed_docs(spark, sf_dir):
+    docs = bed.table(spark, sf_dir, "documents").select("doc_id", "text")
+    vectors_ = embed.embed(docs, "text").filter(F.col("error").isNull())
+    return vectors_.select("doc_id", F.posexplode("embeddings").alias("pos", "value")).withColumn(
+        "value", F.col("value").cast("double")
+    )
+
+
+@query
+def search_text(spark, sf_dir):
+    """Text queries: every benchmark item against every embedded document."""
+    docs = bed.table(spark, sf_dir, "documents")
+    kb = embed.embed(docs.select(F.col("doc_id").cast("string").alias("url"), "text"), "text").drop("text")
+    items = bed.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    asked = materialize(embed.embed(items, "text", "embedding").select("query_id", "embedding"), "asked")
+    return search.search_batch(kb, asked, 3, 0.0)
+
+
+@query
+def rejects(spark, sf_dir):
+    """Rows without content and rows without a vector come back with their reason."""
+    docs, labels = bed.table(spark, sf_dir, "documents"), bed.table(spark, sf_dir, "labels")
+    content = F.when(F.col("quality") == 1, F.col("text")).when(F.col("quality") == 0, "")
+    rows = docs.join(labels, "doc_id", "left").select(F.col("doc_id").cast("string").alias("url"), content.alias("content"))
+    return ingest.ingest_rows(rows).rejects
+
+
+@query
+def ingest_rows(spark, sf_dir):
+    turns = bed.table(spark, sf_dir, "conversations")
+    url = F.concat_ws("/", F.lit("conv:/"), F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    done = ingest.ingest_rows(turns.select(url.alias("url"), F.col("text").alias("content")), "talk")
+    return flat(done.documents)
+
+
+@query
+def ingest_site(spark, sf_dir):
+    pages = materialize(bed.linked_pages(spark, sf_dir), "linked")
+    return flat(ingest.ingest_site(pages, bed.site_seeds(pages), "web").documents)
+
+
+def by_content(docs):
+    """File names are made up by the writer, so documents are shown without them."""
+    return flat(docs).select("content", "checksum", "embeddings", "context", "source_type")
+
+
+@query
+def ingest_files(spark, sf_dir):
+    return by_content(ingest.ingest_files(spark, bed.document_files(spark, sf_dir), "files").documents)
+
+
+@query
+def stream_ingest(spark, sf_dir):
+    folder = bed.document_files(spark, sf_dir)
+    kb = KnowledgeBase.open(spark, new_work_path(spark, "kb"))
+    start_stream(spark, folder, kb, "files", new_work_path(spark, "stream")).awaitTermination()
+    return by_content(kb.documents())

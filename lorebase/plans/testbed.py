@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorebase.functions.text import checksum
+from lorebase.operators.ordering import index_within
+from lorebase.session import materialize, new_work_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,3 +68,45 @@ def upsert_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(1).alias("seq"),
     )
     return replaced.unionByName(new).withColumn("checksum", checksum(F.col("content")))
+
+
+def host(url: str = "url"):
+    return F.regexp_extract(url, "^[a-z]+://([^/?#]+)", 1)
+
+
+def ranked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages numbered from 0 within their host."""
+    pages = table(spark, sf_dir, "pages").withColumn("host", host())
+    return index_within(pages, ["host"], [F.col("page_id")], "rank")
+
+
+def site_seeds(ranked: DataFrame) -> DataFrame:
+    return ranked.filter(F.col("rank") == 0).select(F.col("url").alias("base_url"))
+
+
+def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages(url, html, host, rank) with a list of links appended that makes each host a small web.
+
+    Page r links to pages 2r+1, 2r+2, 0 and 3r+2 of its host where they exist, and off the site.
+    """
+    ranked = materialize(ranked_pages(spark, sf_dir), "ranked")
+    r = F.col("rank")
+    wanted = ranked.select("page_id", "host", F.posexplode(F.array(2 * r + 1, 2 * r + 2, r * 0, 3 * r + 2)).alias("n", "rank"))
+    named = wanted.join(ranked.select("host", "rank", F.col("url").alias("to")), ["host", "rank"])
+    item = F.concat(
+        F.lit('<li><a href="'), F.replace("to", F.lit("&"), F.lit("&amp;")), F.lit('">page '), F.col("rank").cast("string"),
+        F.lit("</a></li>"),
+    )
+    lists = named.groupBy("page_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", item.alias("item")))), lambda s: s.item), "").alias("items")
+    )
+    away = '<li><a href="https://elsewhere.invalid/">away</a></li>'
+    appended = F.concat("html", F.lit("<ul>"), F.coalesce("items", F.lit("")), F.lit(away), F.lit("</ul>"))
+    return ranked.join(lists, "page_id", "left").select("page_id", "url", appended.alias("html"), "host", "rank")
+
+
+def document_files(spark: SparkSession, sf_dir: str) -> str:
+    """Write every document as a text file of its own; returns the folder."""
+    path = new_work_path(spark, "files")
+    table(spark, sf_dir, "documents").select("text").write.option("maxRecordsPerFile", 1).text(path)
+    return path
