@@ -127,10 +127,13 @@ parsed AS (
 PAGES = parsed("pages")
 
 RANKED = """
-ranked AS (
+numbered AS (
   SELECT *, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host,
          row_number() OVER (PARTITION BY regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) ORDER BY page_id) - 1 AS rank
   FROM pages),
+-- cap: the page whose capture answers a request for this url, which has no fragment
+ranked AS (
+  SELECT *, arg_max(rank, url) OVER (PARTITION BY host, split_part(url, '#', 1)) AS cap FROM numbered),
 links AS (
   SELECT a.page_id, a.host, a.rank AS src, b.rank AS dst, n, b.url AS dst_url
   FROM ranked a, LATERAL (VALUES (0, 2*a.rank+1), (1, 2*a.rank+2), (2, 0), (3, 3*a.rank+2)) v(n, dst)
@@ -150,10 +153,11 @@ def walk(max_depth: int) -> str:
 steps(host, rank, depth) AS (
   SELECT host, rank, 0 FROM ranked WHERE rank = 0
   UNION
-  SELECT s.host, l.dst, s.depth + 1 FROM steps s JOIN links l ON l.host = s.host AND l.src = s.rank
+  SELECT s.host, l.dst, s.depth + 1 FROM steps s JOIN ranked r ON r.host = s.host AND r.rank = s.rank
+  JOIN links l ON l.host = s.host AND l.src = r.cap
   WHERE s.depth < {max_depth}),
 reached AS (
-  SELECT base.url AS base_url, r.url, r.page_id, min(depth)::INTEGER AS depth,
+  SELECT base.url AS base_url, r.url, r.host, r.cap, base.cap AS base_cap, min(depth)::INTEGER AS depth,
          coalesce(nullif(regexp_extract(r.url, '^[a-z]+://[^/?#]+([^?#]*)', 1), ''), '/') AS path
   FROM steps s JOIN ranked r USING (host, rank) JOIN ranked base ON base.host = s.host AND base.rank = 0
   GROUP BY ALL),
@@ -256,7 +260,7 @@ ORACLES: dict[str, str] = {
     "crawl_paths": f"WITH RECURSIVE {walk(5)} SELECT DISTINCT base_url, path FROM reached",
     "crawl_last_page": f"WITH RECURSIVE {walk(5)} SELECT base_url, path, url, depth FROM last",
     "crawl_report": f"""WITH RECURSIVE {walk(5)} SELECT base_url, path, strlen(html) AS html_length
-        FROM last JOIN linked USING (page_id)""",
+        FROM last JOIN linked ON linked.host = last.host AND linked.rank = last.cap""",
     "crawl_summary": f"""WITH RECURSIVE {walk(5)} SELECT base_url, count(DISTINCT path) AS n_paths
         FROM reached GROUP BY base_url""",
     "fetch_plan": FETCH,
@@ -280,7 +284,8 @@ ORACLES: dict[str, str] = {
     "ingest_site": f"""WITH RECURSIVE {walk(5)}, {parsed("linked")}
         SELECT base_url || path AS url, b.title, b.description, p.markdown AS content,
                sha256(p.markdown) AS checksum, 'web' AS context, 'web_scrape' AS source_type, 64 AS embeddings
-        FROM last JOIN parsed p USING (page_id) JOIN parsed b ON b.url = last.base_url""",
+        FROM last JOIN parsed p ON p.host = last.host AND p.rank = last.cap
+        JOIN parsed b ON b.host = last.host AND b.rank = last.base_cap""",
     "ingest_files": FILES,
     "stream_ingest": FILES,
 }

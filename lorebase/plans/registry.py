@@ -294,8 +294,9 @@ def site_metadata(spark, sf_dir):
 
 def crawled(spark, sf_dir, max_depth=crawl.DEFAULT_DEPTH):
     pages = materialize(bed.linked_pages(spark, sf_dir), "linked")
-    index = crawl.page_index(extract.parse_pages(pages.select("url", "html")).drop("html", "main_text"))
-    return crawl.crawl(materialize(index, "index"), bed.site_seeds(pages), max_depth), pages
+    index = crawl.page_index(extract.parse_pages(pages.select("url", "html")).drop("main_text"))
+    index = materialize(index, "index")
+    return crawl.crawl(index, bed.site_seeds(pages), max_depth), index
 
 
 @query
@@ -320,9 +321,8 @@ def crawl_last_page(spark, sf_dir):
 
 @query
 def crawl_report(spark, sf_dir):
-    reached, pages = crawled(spark, sf_dir)
-    last = crawl.last_page_per_path(reached)
-    return crawl.crawl_report(last.join(pages.select("url", "html"), "url"))
+    reached, index = crawled(spark, sf_dir)
+    return crawl.crawl_report(crawl.last_page_per_path(reached).join(index.select("key", "html"), "key"))
 
 
 @query

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lorebase.functions.text import checksum
 from lorebase.operators.ordering import index_within
-from lorebase.session import materialize, new_work_path
+from lorebase.session import materialize, new_work_path, spread_small
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,5 +108,5 @@ def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_files(spark: SparkSession, sf_dir: str) -> str:
     """Write every document as a text file of its own; returns the folder."""
     path = new_work_path(spark, "files")
-    table(spark, sf_dir, "documents").select("text").write.option("maxRecordsPerFile", 1).text(path)
+    spread_small(table(spark, sf_dir, "documents").select("text")).write.option("maxRecordsPerFile", 1).text(path)
     return path
