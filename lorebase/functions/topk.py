@@ -113,10 +113,9 @@ class TopK:
             part = slice(start, start + 262_144)
             d, q = di[part], qi[part]
             product = exact_dot(queries.matrix[q], docs.matrix[d])
-            scale = queries.magnitude[q] * docs.magnitude[d]
             zero = (queries.magnitude[q] == 0) | (docs.magnitude[d] == 0)
             with np.errstate(divide="ignore", invalid="ignore"):
-                score[part] = np.where(zero, 0.0, product / scale)
+                score[part] = np.where(zero, 0.0, product / (queries.magnitude[q] * docs.magnitude[d]))
         return score
 
     def _merge(self, fresh: pd.DataFrame) -> None:

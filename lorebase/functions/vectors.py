@@ -17,7 +17,8 @@ def magnitude(a: Column) -> Column:
 
 
 def cosine_from(dot_product: Column, mag_a: Column, mag_b: Column) -> Column:
-    return F.when((mag_a == 0) | (mag_b == 0), F.lit(0.0)).otherwise(dot_product / (mag_a * mag_b))
+    """0.0 when a magnitude is zero. Each argument appears once, so none is computed twice."""
+    return F.coalesce(F.try_divide(dot_product, mag_a * mag_b), F.lit(0.0))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -25,20 +25,27 @@ CELL_ROWS = 100_000
 
 
 def _query_column(query: Sequence[float] | DataFrame) -> Column:
+    """The query as a struct (v, magnitude), computed once and not per document."""
     if isinstance(query, DataFrame):
-        return query.select(query.columns[0]).scalar()
-    return F.lit([float(v) for v in query]).cast("array<float>")
+        v = F.col(query.columns[0])
+        return query.select(F.struct(v.alias("v"), magnitude(v).alias("magnitude"))).scalar()
+    v = F.lit([float(x) for x in query]).cast("array<float>")
+    return F.struct(v.alias("v"), magnitude(v).alias("magnitude"))
 
 
 def _scored(kb: DataFrame, query: Sequence[float] | DataFrame, context: str | None) -> DataFrame:
-    """url and score of every comparable document; contents stay out of the scan."""
+    """url and score of every comparable document; contents stay out of the scan.
+
+    A score that is not a number becomes NULL, to be sorted last and dropped after the cut: a
+    filter here would be pushed below the projection and compute every score twice.
+    """
     vectors = in_context(kb, context).select("url", "embeddings")
     vectors = vectors.withColumn("_q", _query_column(query)).filter(
-        (vector_length(F.col("embeddings")) > 0) & (F.size("embeddings") == F.size("_q"))
+        (vector_length(F.col("embeddings")) > 0) & (F.size("embeddings") == F.size("_q.v"))
     )
-    doc, q = F.col("embeddings"), F.col("_q")
-    score = cosine_from(dot(q, doc), magnitude(q), magnitude(doc))
-    return vectors.select("url", score.alias("score")).filter(~F.isnan("score"))
+    doc, q = F.col("embeddings"), F.col("_q.v")
+    score = cosine_from(dot(q, doc), F.col("_q.magnitude"), magnitude(doc))
+    return vectors.select("url", F.nanvl(score, F.lit(None).cast("double")).alias("score"))
 
 
 def search(
@@ -51,21 +58,20 @@ def search(
     """
     if n < 0:
         raise ValueError("n must not be negative")
-    best = [F.col("score").desc(), F.col("url").asc()]
+    best = [F.col("score").desc_nulls_last(), F.col("url").asc()]
     scored = _scored(kb, query, context)
     if n > DRIVER_ROWS:
-        return index_within(scored, [], best, "_i").filter(F.col("_i") < n).select(
-            "url", "score", (F.col("_i") + 1).alias("rank")
-        )
-    # The window sees at most n rows: the top-n plan runs below it.
-    top = ordered_slice(scored, best, n)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(*best)).cast("long"))
+        top = index_within(scored, [], best, "_i").filter(F.col("_i") < n).withColumn("rank", F.col("_i") + 1)
+    else:
+        # The window sees at most n rows: the top-n plan runs below it.
+        top = ordered_slice(scored, best, n).withColumn("rank", F.row_number().over(Window.orderBy(*best)).cast("long"))
+    return top.filter(F.col("score").isNotNull()).select("url", "score", "rank")
 
 
 def search_skipped(kb: DataFrame, query: Sequence[float] | DataFrame, context: str | None = None) -> DataFrame:
     """How many documents ``search`` leaves out, by reason."""
     size = vector_length(F.col("embeddings"))
-    reason = F.when(size == 0, "empty").when(size != F.size("_q"), "length").otherwise("scored")
+    reason = F.when(size == 0, "empty").when(size != F.size("_q.v"), "length").otherwise("scored")
     return (
         in_context(kb, context)
         .select("embeddings", _query_column(query).alias("_q"))
