@@ -53,9 +53,7 @@ def delete_prefix(kb: DataFrame, prefix: str, context: str | None = None, litera
 def prefix_match(prefix: str, context: str | None = None, literal: bool = False):
     url = F.col("url")
     hit = url.startswith(prefix) if literal else like_prefix(url, prefix)
-    if context:
-        hit = hit & (F.col("context") == context)
-    return F.coalesce(hit, F.lit(False))
+    return hit & F.col("context").eqNullSafe(context) if context else hit
 
 
 def clean(kb: DataFrame) -> DataFrame:
