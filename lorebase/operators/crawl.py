@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorebase.operators.extract import locate, resolve_links
+from lorebase.operators.ordering import join_one
 from lorebase.session import materialize
 
 DEFAULT_DEPTH = 5
@@ -31,7 +32,8 @@ def page_index(parsed: DataFrame) -> DataFrame:
 def crawl(index: DataFrame, seeds: DataFrame, max_depth: int = DEFAULT_DEPTH, resolve: str = "base") -> DataFrame:
     """Pages reached from each seed: (base_url, url, key, path, depth), depth being the least number of links.
 
-    ``index`` holds one row per page with key, hrefs, error (and page_url). Each round joins
+    ``index`` holds one row per page with key, hrefs, error (and page_url), best bucketed by
+    key (``materialize_by``) since every round joins it. Each round joins
     the frontier to the pages that exist, follows their links on the base's host, and drops
     URLs that were tried before. URLs differing only in query or fragment are separate visits.
     A round carries URLs only; it is written to the shared folder, so rounds do not pile up
@@ -51,12 +53,12 @@ def crawl(index: DataFrame, seeds: DataFrame, max_depth: int = DEFAULT_DEPTH, re
     )
     tried, found = [frontier.select(*visit)], []
     for depth in range(max_depth + 1):
-        fetched = frontier.join(pages.select("key"), "key").select("base_url", "url", "key", "path")
+        fetched = frontier.join(pages.select("key"), "key", "left_semi").select("base_url", "url", "key", "path")
         found.append(fetched.withColumn("depth", F.lit(depth)))
         if depth == max_depth:
             break
         # A page whose parse failed is kept, but its links are not followed.
-        sources = frontier.join(pages.filter(F.col("error").isNull()), "key")
+        sources = join_one(frontier, pages.filter(F.col("error").isNull()), "key")
         origin = ["base_url", *(["page_url"] if resolve == "page" else [])]
         edges = sources.select(*origin, F.explode("hrefs").alias("href")).distinct()
         links = resolve_links(edges, "base_url", "page_url" if resolve == "page" else None)

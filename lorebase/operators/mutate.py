@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lorebase.functions.text import like_prefix
 from lorebase.operators.scan import documents
 from lorebase.schema import KB_COLUMNS, conform
-from lorebase.session import BROADCAST_BYTES, broadcast_if_small, fits_broadcast
+from lorebase.session import BROADCAST_BYTES, fits_broadcast, materialize
 
 
 def latest_by_url(incoming: DataFrame, order_col: str | None = None) -> DataFrame:
@@ -22,17 +22,23 @@ def latest_by_url(incoming: DataFrame, order_col: str | None = None) -> DataFram
     return conform(docs.groupBy("url").agg(F.max_by(stored, order).alias("_doc")).select("_doc.*"))
 
 
-def without_urls(kb: DataFrame, urls: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Rows of ``kb`` whose url is not in ``urls``.
+def keep_others(kb: DataFrame, urls: DataFrame, max_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """Rows of ``kb`` whose url is not in ``urls``, and whether that kept their partitioning.
 
     Document contents should not be shuffled for this. A small key set is broadcast. For a
     large one the keys that really occur are found on the url columns alone, and usually
     these few are broadcast; only when most of the table is replaced does it shuffle.
     """
     if fits_broadcast(urls, ["url"], max_bytes):
-        return kb.join(F.broadcast(urls), "url", "left_anti")
-    replaced = kb.select("url").join(urls, "url", "left_semi")
-    return kb.join(broadcast_if_small(replaced, ["url"], max_bytes), "url", "left_anti")
+        return kb.join(F.broadcast(urls), "url", "left_anti"), True
+    replaced = materialize(kb.select("url").join(urls, "url", "left_semi"), "replaced")
+    if fits_broadcast(replaced, ["url"], max_bytes):
+        return kb.join(F.broadcast(replaced), "url", "left_anti"), True
+    return kb.join(replaced, "url", "left_anti"), False
+
+
+def without_urls(kb: DataFrame, urls: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    return keep_others(kb, urls, max_bytes)[0]
 
 
 def upsert(kb: DataFrame, incoming: DataFrame, order_col: str | None = None) -> DataFrame:

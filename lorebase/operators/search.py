@@ -6,7 +6,7 @@ import math
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,8 +20,8 @@ SLICE_BYTES = 32 << 20
 """Query vectors held by one task at a time."""
 SLICE_HITS = 4_000_000
 """Partial results (queries x k) held by one task at a time."""
-CELL_ROWS = 100_000
-"""Documents in one cell of the query-slice x document-block grid."""
+CELL_BYTES = 64 << 20
+"""Document vectors in one cell of the query-slice x document-block grid."""
 
 
 def _query_column(query: Sequence[float] | DataFrame) -> Column:
@@ -87,6 +87,12 @@ def search_output(kb: DataFrame, hits: DataFrame, n: int = DEFAULT_RESULTS) -> D
     return fields.join(side, "url").select(*fields.columns, "score", "rank")
 
 
+def _measure(rows: DataFrame, id_col: str, vector_col: str) -> Row:
+    """Number of rows and their size in memory."""
+    width = 4 * F.size(vector_col) + F.octet_length(F.col(id_col).cast("string")) + 64
+    return rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(width.cast("long")), F.lit(0)).alias("bytes")).first()
+
+
 def _sink(id_type: T.DataType) -> T.StructType:
     return T.StructType(
         [
@@ -127,7 +133,7 @@ def search_batch(
     context: str | None = None,
     slice_bytes: int = SLICE_BYTES,
     slice_hits: int = SLICE_HITS,
-    cell_rows: int = CELL_ROWS,
+    cell_bytes: int = CELL_BYTES,
 ) -> DataFrame:
     """Exact top-k for every row of ``queries(query_id, embedding)`` with score >= threshold.
 
@@ -142,15 +148,14 @@ def search_batch(
         raise ValueError("top_k must be positive")
     docs = in_context(kb, context).select("url", "embeddings").filter(vector_length(F.col("embeddings")) > 0)
     asked = queries.select("query_id", "embedding").filter(vector_length(F.col("embedding")) > 0)
-    width = 4 * F.size("embedding") + F.octet_length(F.col("query_id").cast("string")) + 64
-    size = asked.agg(F.count("*").alias("n"), F.coalesce(F.sum(width.cast("long")), F.lit(0)).alias("bytes")).first()
+    size = _measure(asked, "query_id", "embedding")
     sink = _sink(queries.schema["query_id"].dataType)
     slices = max(1, math.ceil(size["bytes"] / slice_bytes), math.ceil(size["n"] * top_k / slice_hits))
     if slices == 1:
         packed = asked.sparkSession.sparkContext.broadcast(asked.toArrow())
         part = docs.mapInArrow(_stream_topk(lambda: QuerySlice.from_table(packed.value), top_k, threshold), sink)
     else:
-        blocks = max(1, math.ceil(docs.count() / cell_rows))
+        blocks = max(1, math.ceil(_measure(docs, "url", "embeddings")["bytes"] / cell_bytes))
         left = docs.select(
             "url",
             "embeddings",

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from lorebase.operators.crawl import DEFAULT_DEPTH, crawl, last_page_per_path, page_index
 from lorebase.operators.embed import Embedder, embed, split_rejects
 from lorebase.operators.extract import locate, parse_pages, stamp_site_metadata
-from lorebase.session import broadcast_if_small, materialize
+from lorebase.operators.ordering import join_one
+from lorebase.session import broadcast_if_small, materialize, materialize_by
 from lorebase.sources.documents import documents_from_rows, make_documents
 from lorebase.sources.files import read_files
 from lorebase.sources.pages import valid_pages
@@ -46,8 +47,9 @@ def crawl_site(
     """(one page per path with its key, page index). Pages are parsed once and the result is written."""
     own = site_pages(pages, seeds).select("url", "html")
     parsed = parse_pages(own).withColumn("html_length", F.octet_length("html")).drop("html", "main_text")
-    index = materialize(page_index(parsed), "pages")
-    return last_page_per_path(crawl(index, seeds, max_depth, resolve)), index
+    index = materialize_by(page_index(parsed), "key", "pages")
+    winners = last_page_per_path(crawl(index, seeds, max_depth, resolve))
+    return materialize(winners, "winners"), index
 
 
 def ingest_site(
@@ -66,7 +68,7 @@ def ingest_site(
     Every document takes title and description of its base page unless ``per_page``.
     """
     winners, index = crawl_site(pages, seeds, max_depth, resolve)
-    content = winners.join(index, "key").withColumnRenamed("markdown", "content")
+    content = join_one(winners, index, "key").withColumnRenamed("markdown", "content")
     if not per_page:
         bases = locate(seeds.select("base_url").distinct(), "base_url").select("base_url", F.col("_at.key").alias("key"))
         base_meta = bases.join(index.select("key", "title", "description"), "key")

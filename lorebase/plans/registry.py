@@ -12,7 +12,7 @@ from lorebase.functions.text import checksum
 from lorebase.operators import crawl, embed, extract, fetchplan, mutate, reports, scan, search
 from lorebase.plans import ingest
 from lorebase.plans import testbed as bed
-from lorebase.session import materialize, new_work_path
+from lorebase.session import materialize, materialize_by, new_work_path
 from lorebase.sources.documents import documents_from_rows, make_documents
 from lorebase.sources.pages import valid_pages as keep_valid
 from lorebase.sources.store import KnowledgeBase
@@ -128,7 +128,7 @@ def search_batch_threshold(spark, sf_dir):
 def search_batch_grid(spark, sf_dir):
     """The same search in the layout for query tables too large to broadcast."""
     kb, asked = bed.derived_kb(spark, sf_dir), bed.query_table(spark, sf_dir)
-    return search.search_batch(kb, asked, 5, -1.0, slice_bytes=60_000, cell_rows=400)
+    return search.search_batch(kb, asked, 5, -1.0, slice_bytes=60_000, cell_bytes=60_000)
 
 
 @query
@@ -295,7 +295,7 @@ def site_metadata(spark, sf_dir):
 def crawled(spark, sf_dir, max_depth=crawl.DEFAULT_DEPTH):
     pages = materialize(bed.linked_pages(spark, sf_dir), "linked")
     index = crawl.page_index(extract.parse_pages(pages.select("url", "html")).drop("main_text"))
-    index = materialize(index, "index")
+    index = materialize_by(index, "key", "index")
     return crawl.crawl(index, bed.site_seeds(pages), max_depth), index
 
 

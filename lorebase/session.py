@@ -62,6 +62,22 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize_by(df: DataFrame, key: str, label: str = "stage") -> DataFrame:
+    """Like ``materialize``, bucketed by ``key`` so that repeated joins on it do not shuffle this side.
+
+    Buckets and shuffle partitions are equally many, so rows that were just grouped by ``key``
+    leave each bucket in one file. The catalog entry is only needed while the table is opened.
+    """
+    spark = df.sparkSession
+    path = new_work_path(spark, label)
+    name = "lorebase_" + uuid.uuid4().hex
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
 def fits_broadcast(df: DataFrame, columns: list[str], max_bytes: int = BROADCAST_BYTES) -> bool:
     """Measure ``columns`` of ``df`` (string or binary-sized values) against the broadcast limit."""
     # 64 bytes per row cover the hash table entry and fixed-width values.

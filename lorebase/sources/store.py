@@ -45,7 +45,7 @@ class KnowledgeBase:
         found = _numbered_dirs(spark, path, "buckets=")
         kb = cls(spark, path, found[-1] if found else buckets)
         if kb.version() is None:
-            kb._write(spark.createDataFrame([], KB_SCHEMA), 0)
+            kb._write(spark.createDataFrame([], STORED_SCHEMA), 0)
         return kb
 
     # -- snapshots ---------------------------------------------------------------
@@ -70,22 +70,20 @@ class KnowledgeBase:
     def documents(self) -> DataFrame:
         return scan.documents(self.stored())
 
-    def _write(self, docs: DataFrame, version: int) -> None:
-        # Hashing on (bucket, url range) would be one task per bucket at most; AQE splits large
-        # buckets in a rebalance and merges small ones. Sorted files give url min/max per row group.
-        bucketed = conform(docs).withColumn("bucket", bucket_of(F.col("url"), self.buckets))
+    def _bucketed(self, docs: DataFrame) -> DataFrame:
+        """Group rows by bucket for writing; AQE splits large buckets and merges small ones."""
+        return conform(docs, bucket_of(F.col("url"), self.buckets).alias("bucket")).hint("rebalance", "bucket")
+
+    def _write(self, rows: DataFrame, version: int, overwrite: str = "static") -> int:
+        """Write rows that already lie by bucket. Sorted files give url bounds per row group."""
         (
-            bucketed.hint("rebalance", "bucket")
+            rows.select(*STORED_SCHEMA.names)
             .sortWithinPartitions("bucket", "url")
             .write.mode("overwrite")
-            .option("partitionOverwriteMode", "static")
+            .option("partitionOverwriteMode", overwrite)
             .partitionBy("bucket")
             .parquet(self._snapshot(version))
         )
-
-    def _commit(self, docs: DataFrame) -> int:
-        version = self.version() + 1
-        self._write(docs, version)
         return version
 
     # -- mutations ---------------------------------------------------------------
@@ -93,33 +91,31 @@ class KnowledgeBase:
     def upsert(self, incoming: DataFrame, order_col: str | None = None, in_place: bool = False) -> int:
         """Insert or replace by url, as a new snapshot.
 
-        ``in_place`` rewrites only the touched buckets of the newest snapshot. That suits
-        frequent small batches against a large table; readers must not run meanwhile.
+        The rows that stay are copied split by split as they lie in their buckets; only the
+        incoming ones are shuffled. ``in_place`` rewrites only the touched buckets of the newest
+        snapshot, which suits frequent small batches against a large table; readers must not
+        run meanwhile.
         """
         latest = materialize(mutate.latest_by_url(incoming, order_col), "batch")
-        urls = latest.select("url")
+        urls, arriving, version = latest.select("url"), self._bucketed(latest), self.version()
         if not in_place:
-            return self._commit(mutate.without_urls(self.documents(), urls).unionByName(latest))
-        latest = latest.withColumn("bucket", bucket_of(F.col("url"), self.buckets))
-        touched = [r["bucket"] for r in latest.select("bucket").distinct().collect()]  # at most MAX_BUCKETS ints
+            kept, in_buckets = mutate.keep_others(self.stored(), urls)
+            rows = kept.unionByName(arriving) if in_buckets else self._bucketed(kept.drop("bucket").unionByName(latest))
+            return self._write(rows, version + 1)
+        homes = latest.select(bucket_of(F.col("url"), self.buckets).alias("b")).distinct()
+        touched = [r["b"] for r in homes.collect()]  # at most MAX_BUCKETS numbers
         if touched:
             old = self.stored().filter(F.col("bucket").isin(touched))
-            merged = mutate.without_urls(old, urls).select(*STORED_SCHEMA.names).unionByName(latest)
-            (
-                merged.hint("rebalance", "bucket")
-                .sortWithinPartitions("bucket", "url")
-                .write.mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic")
-                .partitionBy("bucket")
-                .parquet(self._snapshot(self.version()))
-            )
-        return self.version()
+            merged = mutate.without_urls(old, urls).drop("bucket").unionByName(latest)
+            self._write(self._bucketed(merged), version, "dynamic")
+        return version
 
     def delete_prefix(self, prefix: str, context: str | None = None, literal: bool = False) -> int:
-        return self._commit(mutate.delete_prefix(self.stored(), prefix, context, literal))
+        kept = self.stored().filter(~mutate.prefix_match(prefix, context, literal))
+        return self._write(kept, self.version() + 1)
 
     def clean(self) -> int:
-        return self._commit(self.spark.createDataFrame([], KB_SCHEMA))
+        return self._write(self.stored().filter(F.lit(False)), self.version() + 1)
 
     # -- reads -------------------------------------------------------------------
 
@@ -154,7 +150,7 @@ class KnowledgeBase:
         hits = vector_search.search(stored, query, n, context)
         if n <= reports.LIST_REPORT_LIMIT:
             rows = hits.collect()  # at most n
-            hits = self.spark.createDataFrame(rows, hits.schema)
+            hits = self.spark.createDataFrame(rows, hits.schema)  # the search is not run again
             urls = [r["url"] for r in rows]
             homes = hits.select(bucket_of(F.col("url"), self.buckets).alias("b")).distinct()
             buckets = [r["b"] for r in homes.collect()]

@@ -43,6 +43,15 @@ def test_index_within(spark, rows_per_task):
     assert all(r.n == r.id for r in whole.collect())
 
 
+@pytest.mark.parametrize("rows_per_task", [10**6, 20])
+def test_join_one(spark, rows_per_task):
+    rows, df = skewed(spark)
+    right = spark.createDataFrame([("hot", 1), ("a", 2), ("z", 3)], "host string, v int")
+    got = ordering.join_one(df, right, "host", rows_per_task)
+    value = {"hot": 1, "a": 2}
+    assert sorted((r.id, r.v) for r in got.collect()) == sorted((i, value[h]) for h, _, i in rows if h in value)
+
+
 def kb_of(spark, n):
     rows = [(f"u{i:03d}", "", "", "x", "", None, "even" if i % 2 == 0 else "odd", "") for i in range(n)]
     return spark.createDataFrame(rows, "url string, title string, description string, content string, checksum string, embeddings array<float>, context string, source_type string")

@@ -36,7 +36,7 @@ def test_batch_search_has_no_pair_rows(spark, kb):
     text = plan(search.search_batch(kb.stored(), queries, 5))
     assert "WindowGroupLimit" in text and "NestedLoop" not in text and "CartesianProduct" not in text
     assert text.count("Exchange") == 1  # only the merge of the partial results
-    grid = plan(search.search_batch(kb.stored(), queries, 5, slice_bytes=10_000, cell_rows=50))
+    grid = plan(search.search_batch(kb.stored(), queries, 5, slice_bytes=10_000, cell_bytes=20_000))
     assert "FlatMapCoGroupsInArrow" in grid and "NestedLoop" not in grid
 
 
