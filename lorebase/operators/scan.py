@@ -23,16 +23,15 @@ def in_context(df: DataFrame, context: str | None = None) -> DataFrame:
 def _url_slice(kb: DataFrame, limit: int, offset: int, context: str | None) -> DataFrame:
     """Rows [offset, offset+limit) by url.
 
-    The slice is found on the url column alone. Its two end points then restrict the wide
-    scan as scalar subqueries, which reach the Parquet reader and skip the row groups
-    outside them, so page contents are read for the slice and not for the whole table.
+    The slice is found on the url column alone, by a job that runs here. Its two end points
+    then bound the wide scan: as literals they reach the Parquet reader, which skips the row
+    groups outside them (a scalar subquery would be compared row by row), so contents are
+    read for the slice and not for the whole table.
     """
     scoped = in_context(kb, context)
-    ends = ordered_slice(scoped.select("url"), [F.col("url")], limit, offset).agg(
-        F.min("url").alias("first"), F.max("url").alias("last")
-    )
-    first, last = ends.select("first").scalar(), ends.select("last").scalar()
-    rows = documents(scoped.filter(F.col("url").between(first, last))).orderBy("url")
+    cut = ordered_slice(scoped.select("url"), [F.col("url")], limit, offset)
+    ends = cut.agg(F.min("url").alias("first"), F.max("url").alias("last")).first()
+    rows = documents(scoped.filter(F.col("url").between(ends["first"], ends["last"]))).orderBy("url")
     # A url is unique, so the range holds at most ``limit`` rows; saying so spares the range shuffle.
     return rows.limit(limit) if limit <= DRIVER_ROWS else rows
 

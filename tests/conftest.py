@@ -16,6 +16,7 @@ def spark(tmp_path_factory):
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.shuffle.partitions": "4",
         "spark.driver.memory": "4g",
+        "spark.sql.maxMetadataStringLength": "2000",
         "spark.checkpoint.dir": str(tmp_path_factory.mktemp("work")),
     }
     session = build_session("tests", "local[4]", **conf)
