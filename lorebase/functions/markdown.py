@@ -14,6 +14,7 @@ STRONG = "**"
 EMPHASIS = "*"
 BREAK = "\x00"
 
+PLAIN = (None, False, False, False)  # no link, not bold, not italic, not code
 BOLD = frozenset("b strong".split())
 ITALIC = frozenset("em i".split())
 CODE = frozenset("code kbd samp tt".split())
@@ -24,7 +25,9 @@ BLOCK = frozenset(
     form header hgroup legend listing main menu nav p search section summary table tbody tfoot thead tr""".split()
 )
 
-SPACES = re.compile(r"[ \t\n\f\r]+")
+# Runs that are not already one blank, so that ordinary text has no match at all.
+SPACES = re.compile(r" [ \t\n\f\r]+|[\t\n\f\r][ \t\n\f\r]*")
+BREAKS = re.compile(f" *{BREAK} *")
 SPECIAL = re.compile(r"([\\`*_\[\]<])")
 REFERENCE = re.compile(r"&(#?\w+;)", re.A)
 LINE_MARK = re.compile(r"^([#>+~=-])", re.M)
@@ -32,7 +35,15 @@ LINE_NUMBER = re.compile(r"^([0-9]+)([.)])", re.M)
 
 
 def escape(text: str) -> str:
-    return REFERENCE.sub(r"\\&\1", SPECIAL.sub(r"\\\1", text))
+    text = SPECIAL.sub(r"\\\1", text)
+    return REFERENCE.sub(r"\\&\1", text) if "&" in text else text
+
+
+def escape_lines(body: str) -> str:
+    """Keep a line from starting a heading, list, quote, fence or underline."""
+    if "\n" not in body and body[0] not in "#>+~=-0123456789":
+        return body
+    return LINE_NUMBER.sub(r"\1\\\2", LINE_MARK.sub(r"\\\1", body))
 
 
 def destination(href: str) -> str:
@@ -167,7 +178,9 @@ class MarkdownWriter:
 
     def format(self) -> tuple:
         """(link, bold, italic, code) in force."""
-        link, bold, italic, code = None, False, False, False
+        if not self.formats:
+            return PLAIN
+        link, bold, italic, code = PLAIN
         for name, target in self.formats:
             if name == "a":
                 link = target
@@ -188,11 +201,11 @@ class MarkdownWriter:
         if not body:
             return
         if level:
-            self.block("#" * level + " " + re.sub(f" *{BREAK}+ *", " ", body))
+            self.block("#" * level + " " + BREAKS.sub(" ", body))
             return
-        body = re.sub(f" *{BREAK} *", "  \n", body)
-        body = LINE_NUMBER.sub(r"\1\\\2", LINE_MARK.sub(r"\\\1", body))
-        self.block(body)
+        if BREAK in body:
+            body = BREAKS.sub("  \n", body)
+        self.block(escape_lines(body))
 
     @staticmethod
     def squeeze(runs: list[tuple[tuple, str, bool]]) -> list[tuple[tuple, str, bool]]:
@@ -208,11 +221,25 @@ class MarkdownWriter:
                 blank = text.endswith(" ")
             else:
                 blank = text == BREAK
-            out.append((fmt or (None, False, False, False), text, done))
+            out.append((fmt or PLAIN, text, done))
         return out
 
+    @staticmethod
+    def link_end(link: tuple[str, str | None]) -> str:
+        href, title = link
+        note = ' "' + title.replace('"', '\\"') + '"' if title else ""
+        return f"]({destination(href)}{note})"
+
     def inline(self, runs: list[tuple[tuple, str, bool]], depth: int) -> str:
         """Nest link > strong > emphasis > code, so delimiters always balance."""
+        if not depth and runs:
+            link, bold, italic, code = common = runs[0][0]
+            if not code and all(run[0] == common for run in runs):
+                # One format throughout, the usual case.
+                inner = self.inline(runs, 4)
+                inner = wrap(inner, EMPHASIS, EMPHASIS) if italic else inner
+                inner = wrap(inner, STRONG, STRONG) if bold else inner
+                return wrap(inner, "[", self.link_end(link)) if link else inner
         if depth == 4:
             return "".join(text if done else escape(text) for _, text, done in runs)
         out = []
@@ -225,9 +252,7 @@ class MarkdownWriter:
                 continue
             inner = self.inline(group, depth + 1)
             if depth == 0 and value:
-                href, title = value
-                note = ' "' + title.replace('"', '\\"') + '"' if title else ""
-                inner = wrap(inner, "[", f"]({destination(href)}{note})")
+                inner = wrap(inner, "[", self.link_end(value))
             elif depth == 1 and value:
                 inner = wrap(inner, STRONG, STRONG)
             elif depth == 2 and value:

@@ -57,7 +57,8 @@ COMMENT = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))", re.S)
 BOGUS = re.compile(r"<(?:[!?]|/[^A-Za-z])[^>]*+>?")
 MARKUP = re.compile(r"<(?=[A-Za-z!?/])")
 REFERENCE = re.compile(r"&(?:#(?:[0-9]+|[xX][0-9a-fA-F]+);?|[A-Za-z][A-Za-z0-9]*(?:;|(?![=A-Za-z0-9])))")
-SPACES = re.compile(f"[{SPACE}]+")
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW_TEXT}
+SPACES = re.compile(f" [{SPACE}]+|[{SPACE[1:]}][{SPACE}]*")  # not one blank already
 
 
 def attribute_value(raw: str) -> str:
@@ -138,7 +139,7 @@ class PageReader:
             return len(html)
         if name not in RAW_TEXT:
             return tag.end()
-        close = re.compile(rf"</{name}(?=[\s/>])", re.I).search(html, tag.end())
+        close = RAW_END[name].search(html, tag.end())
         stop = close.start() if close else len(html)
         self.raw(name, html[tag.end() : stop])
         self.end(name)

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 
-PAIRS_PER_STEP = 4_000_000
+PAIRS_PER_STEP = 1_000_000
 
 
 def by_length(vectors) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -73,7 +72,7 @@ class TopK:
     def __init__(self, queries: QuerySlice, k: int, threshold: float):
         self.queries, self.k, self.threshold = queries, k, threshold
         self.floor = np.full(len(queries.ids), -np.inf)
-        self.hits = pd.DataFrame({"q": np.array([], "int64"), "score": np.array([], "float64"), "url": np.array([], object)})
+        self.q, self.score, self.url = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object)
 
     def add(self, urls, vectors) -> None:
         names = urls.to_numpy(zero_copy_only=False)
@@ -89,22 +88,26 @@ class TopK:
     def _add_block(self, names, docs: Vectors, q_rows, queries: Vectors, size: int) -> None:
         slack = (size + 16) * 2.0**-22
         estimate = queries.unit @ docs.unit.T
-        unsure = ~queries.estimable[:, None] | ~docs.estimable[None, :]
+        # Pairs that cannot be estimated are candidates whatever the bound.
+        estimate[~queries.estimable] = np.inf
+        estimate[:, ~docs.estimable] = np.inf
         need = np.maximum(self.floor[q_rows], self.threshold)
         opening = np.flatnonzero(np.isneginf(self.floor[q_rows]))
         if len(opening) and len(names) > self.k:
             # Queries without k hits yet: k pairs of this block reach their k-th estimate less slack.
-            known = np.where(unsure[opening], -np.inf, estimate[opening])
-            kth = -np.partition(-known, self.k - 1, axis=1)[:, self.k - 1]
+            known = estimate[opening]
+            known[np.isposinf(known)] = -np.inf
+            kth = np.partition(known, -self.k, axis=1)[:, -self.k]
             need[opening] = np.maximum(need[opening], kth - slack)
-        qi, di = np.nonzero((estimate >= (need - slack)[:, None]) | unsure)
-        if not len(qi):
+        bound = np.nextafter((need - slack).astype(np.float32), np.float32(-np.inf))
+        pairs = np.flatnonzero(estimate >= bound[:, None])
+        if not len(pairs):
             return
+        qi, di = np.divmod(pairs, len(names))
         score = self._exact(docs, di, queries, qi)
         keep = (score >= self.threshold) & (score >= self.floor[q_rows[qi]])
-        fresh = pd.DataFrame({"q": q_rows[qi[keep]], "score": score[keep], "url": names[di[keep]]})
-        if len(fresh):
-            self._merge(fresh)
+        if keep.any():
+            self._merge(q_rows[qi[keep]], score[keep], names[di[keep]])
 
     @staticmethod
     def _exact(docs: Vectors, di, queries: Vectors, qi) -> np.ndarray:
@@ -118,23 +121,32 @@ class TopK:
                 score[part] = np.where(zero, 0.0, product / (queries.magnitude[q] * docs.magnitude[d]))
         return score
 
-    def _merge(self, fresh: pd.DataFrame) -> None:
+    def _merge(self, q, score, url) -> None:
         touched = np.zeros(len(self.floor), bool)
-        touched[fresh["q"].to_numpy()] = True
-        old = touched[self.hits["q"].to_numpy()]
-        pool = pd.concat([self.hits[old], fresh], ignore_index=True)
-        pool = pool.sort_values(["q", "score", "url"], ascending=[True, False, True], kind="stable")
-        place = pool.groupby("q").cumcount()
-        pool = pool[place < self.k]
-        full = pool[pool.groupby("q").cumcount() == self.k - 1]
-        self.floor[full["q"].to_numpy()] = full["score"].to_numpy()
-        self.hits = pd.concat([self.hits[~old], pool], ignore_index=True)
+        touched[q] = True
+        old = touched[self.q]
+        q = np.concatenate([self.q[old], q])
+        score = np.concatenate([self.score[old], score])
+        url = np.concatenate([self.url[old], url])
+        order = np.lexsort((-score, q))
+        tied = (np.diff(q[order]) == 0) & (np.diff(score[order]) == 0)
+        if tied.any():
+            by_url = np.argsort(url, kind="stable")
+            order = by_url[np.lexsort((-score[by_url], q[by_url]))]
+        q, score, url = q[order], score[order], url[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q, "left")
+        full = place == self.k - 1
+        self.floor[q[full]] = score[full]
+        best = place < self.k
+        self.q = np.concatenate([self.q[~old], q[best]])
+        self.score = np.concatenate([self.score[~old], score[best]])
+        self.url = np.concatenate([self.url[~old], url[best]])
 
     def result(self) -> pa.Table:
         return pa.table(
             {
-                "query_id": self.queries.ids.take(pa.array(self.hits["q"].to_numpy(), pa.int64())),
-                "url": pa.array(self.hits["url"].tolist(), pa.string()),
-                "score": pa.array(self.hits["score"].to_numpy(), pa.float64()),
+                "query_id": self.queries.ids.take(pa.array(self.q)),
+                "url": pa.array(self.url.tolist(), pa.string()),
+                "score": pa.array(self.score),
             }
         )

@@ -13,7 +13,8 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def magnitude(a: Column) -> Column:
-    return F.sqrt(dot(a, a))
+    """Root of the dot product with itself, added up without an array of products."""
+    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda total, x: total + (x * x).cast("double")))
 
 
 def cosine_from(dot_product: Column, mag_a: Column, mag_b: Column) -> Column:
