@@ -62,12 +62,23 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def is_small(df: DataFrame) -> bool:
+    """Whether the optimizer's size estimate is below one reader split per core."""
+    spark = df.sparkSession
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return estimate < spark.sparkContext.defaultParallelism * split
+
+
 def materialize_by(df: DataFrame, key: str, label: str = "stage") -> DataFrame:
     """Like ``materialize``, bucketed by ``key`` so that repeated joins on it do not shuffle this side.
 
     Buckets and shuffle partitions are equally many, so rows that were just grouped by ``key``
     leave each bucket in one file. The catalog entry is only needed while the table is opened.
+    A small table is left unbucketed: many files would cost more than its shuffles.
     """
+    if is_small(df):
+        return materialize(df, label)
     spark = df.sparkSession
     path = new_work_path(spark, label)
     name = "lorebase_" + uuid.uuid4().hex
@@ -99,10 +110,6 @@ def broadcast_if_small(df: DataFrame, columns: list[str] | None = None, max_byte
 def spread_small(df: DataFrame) -> DataFrame:
     """Use every core for per-row Python work on an input too small to be split by the reader.
 
-    Decided on the optimizer's size estimate: inputs with enough splits are left unshuffled.
+    Inputs with enough splits are left unshuffled.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if estimate < cores * split else df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if is_small(df) else df

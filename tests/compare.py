@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from pathlib import Path
@@ -60,7 +61,9 @@ def main() -> int:
     from lorebase.session import build_session
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
+    conf = {"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"}
+    conf["spark.sql.shuffle.partitions"] = os.environ.get("PARTITIONS", "8")
+    spark = build_session(master="local[8]", **conf)
     spark.sparkContext.setLogLevel("ERROR")
     con, bad = duck(sf_dir), 0
     oracles = oracle_sql()

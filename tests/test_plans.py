@@ -1,9 +1,13 @@
 """The physical plans the operators are meant to have."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from lorebase.operators import mutate, scan, search
+from lorebase import session
+from lorebase.operators import crawl, extract, mutate, scan, search
+from lorebase.operators.ordering import join_one
 from lorebase.plans import testbed as bed
+from lorebase.session import materialize
 from lorebase.sources.store import KnowledgeBase
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -63,3 +67,15 @@ def test_upsert_shuffles_keys_not_contents(spark, kb):
 def test_literal_prefix_delete_is_pushed_down(kb):
     text = plan(mutate.delete_prefix(kb.stored(), "doc://src1", literal=True))
     assert "Not(StringStartsWith(url,doc://src1))" in text
+
+
+def test_rounds_of_a_crawl_do_not_shuffle_a_large_page_index(spark, monkeypatch):
+    pages = bed.linked_pages(spark, SF_DIR).select("url", "html")
+    parsed = materialize(extract.parse_pages(pages).drop("html", "main_text"))
+    frontier = materialize(parsed.select(F.col("url").alias("key"), F.lit("b").alias("base_url")))
+    monkeypatch.setattr(session, "is_small", lambda df: False)
+    index = session.materialize_by(crawl.page_index(parsed), "key")
+    text = plan(join_one(frontier.hint("merge"), index.select("key", "hrefs"), "key"))
+    assert text.count("Exchange") == 1 and "Bucketed: true" in text
+    assert index.count() == 49
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("lorebase_")]
