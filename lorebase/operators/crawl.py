@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lorebase.operators.extract import locate, resolve_links
 from lorebase.operators.ordering import join_one
-from lorebase.session import materialize
+from lorebase.session import ROWS_PER_TASK, materialize
 
 DEFAULT_DEPTH = 5
 
@@ -51,14 +51,16 @@ def crawl(index: DataFrame, seeds: DataFrame, max_depth: int = DEFAULT_DEPTH, re
         locate(seeds.select("base_url").distinct(), "base_url").filter(F.col("_at.url").isNotNull()).select("base_url", *at),
         "crawl",
     )
-    tried, found = [frontier.select(*visit)], []
+    tried, found, size = [frontier.select(*visit)], [], frontier.count()
     for depth in range(max_depth + 1):
         fetched = frontier.join(pages.select("key"), "key", "left_semi").select("base_url", "url", "key", "path")
         found.append(fetched.withColumn("depth", F.lit(depth)))
         if depth == max_depth:
             break
         # A page whose parse failed is kept, but its links are not followed.
-        sources = join_one(frontier, pages.filter(F.col("error").isNull()), "key")
+        followed = pages.filter(F.col("error").isNull())
+        # A key can only be frequent in a large frontier.
+        sources = join_one(frontier, followed, "key") if size > ROWS_PER_TASK else frontier.join(followed, "key")
         origin = ["base_url", *(["page_url"] if resolve == "page" else [])]
         edges = sources.select(*origin, F.explode("hrefs").alias("href")).distinct()
         links = resolve_links(edges, "base_url", "page_url" if resolve == "page" else None)
@@ -66,7 +68,8 @@ def crawl(index: DataFrame, seeds: DataFrame, max_depth: int = DEFAULT_DEPTH, re
             "base_url", F.col("_to.url").alias("url"), F.col("_to.key").alias("key"), F.col("_to.path").alias("path")
         ).dropDuplicates(visit)
         frontier = materialize(targets.join(reduce(DataFrame.unionByName, tried), visit, "left_anti"), "crawl")
-        if frontier.isEmpty():
+        size = frontier.count()  # from the Parquet footers
+        if size == 0:
             break
         tried.append(frontier.select(*visit))
     return reduce(DataFrame.unionByName, found)

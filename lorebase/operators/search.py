@@ -87,7 +87,7 @@ def search_output(kb: DataFrame, hits: DataFrame, n: int = DEFAULT_RESULTS) -> D
     return fields.join(side, "url").select(*fields.columns, "score", "rank")
 
 
-def _measure(rows: DataFrame, id_col: str, vector_col: str) -> Row:
+def measure(rows: DataFrame, id_col: str, vector_col: str) -> Row:
     """Number of rows and their size in memory."""
     width = 4 * F.size(vector_col) + F.octet_length(F.col(id_col).cast("string")) + 64
     return rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(width.cast("long")), F.lit(0)).alias("bytes")).first()
@@ -148,14 +148,14 @@ def search_batch(
         raise ValueError("top_k must be positive")
     docs = in_context(kb, context).select("url", "embeddings").filter(vector_length(F.col("embeddings")) > 0)
     asked = queries.select("query_id", "embedding").filter(vector_length(F.col("embedding")) > 0)
-    size = _measure(asked, "query_id", "embedding")
+    size = measure(asked, "query_id", "embedding")
     sink = _sink(queries.schema["query_id"].dataType)
     slices = max(1, math.ceil(size["bytes"] / slice_bytes), math.ceil(size["n"] * top_k / slice_hits))
     if slices == 1:
         packed = asked.sparkSession.sparkContext.broadcast(asked.toArrow())
         part = docs.mapInArrow(_stream_topk(lambda: QuerySlice.from_table(packed.value), top_k, threshold), sink)
     else:
-        blocks = max(1, math.ceil(_measure(docs, "url", "embeddings")["bytes"] / cell_bytes))
+        blocks = max(1, math.ceil(measure(docs, "url", "embeddings")["bytes"] / cell_bytes))
         left = docs.select(
             "url",
             "embeddings",

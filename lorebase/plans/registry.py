@@ -126,9 +126,12 @@ def search_batch_threshold(spark, sf_dir):
 
 @query
 def search_batch_grid(spark, sf_dir):
-    """The same search in the layout for query tables too large to broadcast."""
+    """The same search in the layout for query tables too large to broadcast: a grid of at least 3 x 3 cells."""
     kb, asked = bed.derived_kb(spark, sf_dir), bed.query_table(spark, sf_dir)
-    return search.search_batch(kb, asked, 5, -1.0, slice_bytes=60_000, cell_bytes=60_000)
+    third = search.measure(asked, "query_id", "embedding")["bytes"] // 3
+    return search.search_batch(
+        kb, asked, 5, -1.0, slice_bytes=min(search.SLICE_BYTES, third), cell_bytes=min(search.CELL_BYTES, third)
+    )
 
 
 @query
@@ -283,7 +286,8 @@ def resolve_links(spark, sf_dir):
 @query
 def site_metadata(spark, sf_dir):
     ranked = bed.ranked_pages(spark, sf_dir)
-    pages = materialize(extract.parse_pages(ranked).select("page_id", "url", "host", "rank", "title", "description"), "meta")
+    parts = parsed(spark, sf_dir).select("page_id", "title", "description")
+    pages = materialize(parts.join(ranked, "page_id"), "meta")
     bases = pages.filter(F.col("rank") == 0).select("host", F.col("url").alias("base_url"), "title", "description")
     of_site = pages.join(bases.select("host", "base_url"), "host")
     return extract.stamp_site_metadata(of_site, bases).select("page_id", "base_url", "title", "description")

@@ -75,8 +75,8 @@ def host(url: str = "url"):
 
 
 def ranked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages numbered from 0 within their host."""
-    pages = table(spark, sf_dir, "pages").withColumn("host", host())
+    """Page ids and urls numbered from 0 within their host."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", host().alias("host"))
     return index_within(pages, ["host"], [F.col("page_id")], "rank")
 
 
@@ -102,7 +102,11 @@ def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     away = '<li><a href="https://elsewhere.invalid/">away</a></li>'
     appended = F.concat("html", F.lit("<ul>"), F.coalesce("items", F.lit("")), F.lit(away), F.lit("</ul>"))
-    return ranked.join(lists, "page_id", "left").select("page_id", "url", appended.alias("html"), "host", "rank")
+    html = table(spark, sf_dir, "pages").select("page_id", "html")
+    return (
+        html.join(ranked.join(lists, "page_id", "left"), "page_id")
+        .select("page_id", "url", appended.alias("html"), "host", "rank")
+    )
 
 
 def document_files(spark: SparkSession, sf_dir: str) -> str:
