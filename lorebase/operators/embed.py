@@ -59,6 +59,14 @@ def embed(
     )
 
 
+def embed_query(text: str, embedder: Embedder | None = None) -> list[float]:
+    """The vector of one query text, for ``search``. Tables of queries go through ``embed``."""
+    vector, error = _vectors(embedder or HashingEmbedder(), [text])[0]
+    if error:
+        raise ValueError(error)
+    return [float(x) for x in vector]
+
+
 def split_rejects(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good rows without the error column, rejected rows with it)."""
     return df.filter(F.col("error").isNull()).drop("error"), df.filter(F.col("error").isNotNull())

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from lorebase.operators import mutate, reports, scan
 from lorebase.operators import search as vector_search
+from lorebase.operators.embed import Embedder, embed_query
 from lorebase.schema import KB_COLUMNS, KB_SCHEMA, conform
 from lorebase.session import materialize
 
@@ -138,12 +139,18 @@ class KnowledgeBase:
         return scan.contexts(self.stored())
 
     def search(
-        self, query: Sequence[float], n: int = vector_search.DEFAULT_RESULTS, context: str | None = None
+        self,
+        query: str | Sequence[float],
+        n: int = vector_search.DEFAULT_RESULTS,
+        context: str | None = None,
+        embedder: Embedder | None = None,
     ) -> DataFrame:
-        """Fields, score and rank of the ``n`` nearest documents. LookupError if the context is empty.
+        """Fields, score and rank of the ``n`` documents nearest to a text or vector.
 
+        LookupError if there is no document in the context.
         The hits are found on the vectors alone; their contents are then read by bucket and url.
         """
+        query = embed_query(query, embedder) if isinstance(query, str) else query
         stored = self.stored()
         if scan.in_context(stored, context).select("url").isEmpty():
             raise LookupError("no documents found for search")

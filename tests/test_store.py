@@ -117,6 +117,9 @@ def test_search_and_reports(spark, tmp_path):
     query = kb.get_document("u4")["embeddings"]
     rows = kb.search(query, 2).collect()
     assert rows[0].url == "u4" and rows[0].content == "text number 4 é" and len(rows) == 2
+    assert kb.search("text number 7 é", 1, "x").first().url == "u7"
+    with pytest.raises(ValueError):
+        kb.search("")
     shown = reports.search_report(kb.search(query, 1)).collect()
     assert [(r["rank"], r.url, r.score) for r in shown] == [(1, "u4", "1.0000")]
     listed = reports.list_report(kb.documents()).first()
