@@ -48,3 +48,17 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+
+# -- toxicity ------------------------------------------------------------------------------
+
+
+@query
+def op2_toxicity(spark, sf_dir):
+    from lorebase.llm import toxicity as tox
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~tox.held_out(F.col("doc_id")))
+    scored = docs.withColumn("score", tox.score_column(tox.fit(docs, labels), F.col("text")))
+    predicted = (F.col("score") >= tox.THRESHOLD).cast("int")
+    return scored.select("doc_id", tox.held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted"))
