@@ -62,3 +62,40 @@ def op2_toxicity(spark, sf_dir):
     scored = docs.withColumn("score", tox.score_column(tox.fit(docs, labels), F.col("text")))
     predicted = (F.col("score") >= tox.THRESHOLD).cast("int")
     return scored.select("doc_id", tox.held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted"))
+
+
+# -- n-gram Jaccard join -------------------------------------------------------------------
+
+
+@query
+def op5_ngram_jaccard_join(spark, sf_dir):
+    from lorebase.llm.ngram_join import linked_components
+
+    return linked_components(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op5_ngram_jaccard_join"] = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+grams AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN []
+                             WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                             ELSE [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)] END) AS g
+  FROM words),
+sets AS (SELECT DISTINCT doc_id, g FROM grams),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+inter AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i
+  FROM sets a JOIN sets b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT x, y FROM inter JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+  WHERE 100 * i >= 90 * (p.n + q.n - i)),
+reach AS (
+  SELECT doc_id, doc_id AS r FROM documents
+  UNION
+  SELECT reach.doc_id, links.y FROM reach JOIN links ON links.x = reach.r)
+SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r) AS component_id
+FROM documents d JOIN reach USING (doc_id) LEFT JOIN sizes USING (doc_id) GROUP BY d.doc_id
+"""
