@@ -99,3 +99,18 @@ reach AS (
 SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r) AS component_id
 FROM documents d JOIN reach USING (doc_id) LEFT JOIN sizes USING (doc_id) GROUP BY d.doc_id
 """
+
+
+# -- byte-level BPE ------------------------------------------------------------------------
+
+
+@query
+def op8_byte_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    from lorebase.llm import bpe
+
+    how = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = bpe.encode(docs, *how).drop("text")
+    return bpe.decode(ids, *how).select("doc_id", *bpe.digests(ids))
