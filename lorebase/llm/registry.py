@@ -114,3 +114,14 @@ def op8_byte_bpe(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ids = bpe.encode(docs, *how).drop("text")
     return bpe.decode(ids, *how).select("doc_id", *bpe.digests(ids))
+
+
+# -- benchmark decontamination -------------------------------------------------------------
+
+
+@query
+def op10_benchmark_decontamination(spark, sf_dir):
+    from lorebase.llm.decontaminate import leaks
+
+    found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_words", "n_covered", F.size("tiles").cast("long").alias("n_tiles"))
