@@ -125,3 +125,37 @@ def op10_benchmark_decontamination(spark, sf_dir):
 
     found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "n_words", "n_covered", F.size("tiles").cast("long").alias("n_tiles"))
+
+
+# -- repeated substrings -------------------------------------------------------------------
+
+
+@query
+def op6_suffix_array_dedup(spark, sf_dir):
+    from lorebase.llm.substring_dedup import remove_repeats
+
+    done = remove_repeats(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op6_suffix_array_dedup"] = """
+WITH raw AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+size AS (SELECT doc_id, b, octet_length(b) AS n FROM raw),
+starts AS (
+  SELECT doc_id, p, md5(b[p:p + 399]) AS h
+  FROM (SELECT doc_id, b, unnest(range(1, n - 398)) AS p FROM size WHERE n >= 400)),
+twice AS (SELECT h FROM starts GROUP BY h HAVING count(*) > 1),
+hits AS (SELECT doc_id, p FROM starts SEMI JOIN twice USING (h)),
+edges AS (SELECT *, p > lag(p) OVER w + 400 OR lag(p) OVER w IS NULL AS fresh FROM hits WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+runs AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM edges),
+spans AS (SELECT doc_id, run, min(p) AS a, max(p) + 400 AS z FROM runs GROUP BY doc_id, run),
+gaps AS (
+  SELECT doc_id, a, z, lag(z, 1, 1) OVER w AS before, lead(a) OVER w AS after FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY a)),
+cut AS (
+  SELECT g.doc_id, sum(z - a) AS removed, count(*) AS spans,
+         string_agg(hex(b[before:a - 1]) || CASE WHEN after IS NULL THEN hex(b[z:n]) ELSE '' END, '' ORDER BY a) AS kept
+  FROM gaps g JOIN size USING (doc_id) GROUP BY g.doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans,
+       sha256(CASE WHEN removed IS NULL THEN b ELSE unhex(kept) END) AS kept_sha256
+FROM size LEFT JOIN cut USING (doc_id)
+"""

@@ -37,7 +37,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+LETTER_CODE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _BASE = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -98,7 +98,7 @@ class Words:
         begin = np.concatenate([[0], np.cumsum(length)[:-1]])
         letters = self.data[inside]
         place = np.arange(len(letters)) - np.repeat(begin, length)
-        value = _BYTE[LOWER[letters] if lower else letters] * _powers(int(length.max()))[place]
+        value = LETTER_CODE[LOWER[letters] if lower else letters] * _powers(int(length.max()))[place]
         return mix(np.add.reduceat(value, begin) + length.astype(np.uint64))
 
     def grams(self, n: int, skip: int = 0) -> tuple[np.ndarray, np.ndarray]:
