@@ -159,3 +159,14 @@ SELECT doc_id, n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce
        sha256(CASE WHEN removed IS NULL THEN b ELSE unhex(kept) END) AS kept_sha256
 FROM size LEFT JOIN cut USING (doc_id)
 """
+
+
+# -- quality rules -------------------------------------------------------------------------
+
+
+@query
+def op4_quality_rules(spark, sf_dir):
+    from lorebase.llm import quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
