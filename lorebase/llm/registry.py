@@ -170,3 +170,20 @@ def op4_quality_rules(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+# -- personal data -------------------------------------------------------------------------
+
+
+@query
+def op1_pii(spark, sf_dir):
+    from lorebase.llm import pii
+
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+    def of(kind):
+        return F.filter("spans", lambda s: s["kind"] == kind)
+
+    base = F.filter("spans", lambda s: s["kind"] != "term")
+    counts = [F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.span_text(base), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"))
