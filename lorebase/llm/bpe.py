@@ -28,6 +28,7 @@ from __future__ import annotations
 import base64
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 from lorebase.llm.frames import free_name
 from lorebase.llm.words import as_bytes, pieces
 
-REMEMBERED = 250_000
+REMEMBERED = 600_000
 ROW_BYTES = 256
 WORDS_A_QUERY = 20_000
 TOKENS_A_QUERY = 1_000_000
@@ -58,13 +59,14 @@ WITH RECURSIVE step(w, round, pos, tok) AS (
    FROM step JOIN best ON step.w = best.w WHERE pos <> gone)
 )
 SELECT w, list(tok ORDER BY pos) AS ids
-FROM (SELECT * FROM step QUALIFY round = max(round) OVER (PARTITION BY w)) GROUP BY w ORDER BY w
+FROM step JOIN (SELECT w, max(round) AS round FROM step GROUP BY w) USING (w, round) GROUP BY w ORDER BY w
 """
 
 DECODE = """
-SELECT d, string_agg(letters, '' ORDER BY pos) AS letters
-FROM tokens LEFT JOIN vocabulary USING (tok) GROUP BY d ORDER BY d
+SELECT d, string_agg(letters, '') AS letters
+FROM (SELECT d, letters FROM tokens JOIN vocabulary USING (tok) ORDER BY pos) GROUP BY d ORDER BY d
 """
+"""One thread reads the ordered rows, so each document's letters are put together in order."""
 
 
 class Tokenizer:
@@ -78,7 +80,7 @@ class Tokenizer:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.find = regex.compile(pattern).findall
         self.byte = np.array([self.ranks[bytes([k])] for k in range(256)], np.int32)
-        self.known: dict[str, np.ndarray] = {}
+        self.forget()
         splits = [
             (a, b, rank)
             for token, rank in self.ranks.items()
@@ -87,7 +89,7 @@ class Tokenizer:
         ]
         a, b, rank = np.array(splits, np.int64).reshape(-1, 3).T
         self.merges = {(x, y): r for x, y, r in splits}
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
         self._table("merges", {"a": a.astype(np.int32), "b": b.astype(np.int32), "rank": rank})
         # A character for each byte, so that the engine's strings can carry any bytes.
         letters = [t.decode("latin-1") for t in self.ranks]
@@ -99,13 +101,24 @@ class Tokenizer:
         self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
         self.con.unregister("given")
 
+    def forget(self) -> None:
+        """``known`` numbers the words; word k has the ids flat[ends[k]:ends[k+1]]."""
+        self.known: dict[str, int] = {}
+        self.ends, self.flat = np.zeros(1, np.int64), np.zeros(0, np.int32)
+
+    def remember(self, words: list[str], size: np.ndarray, ids: np.ndarray) -> None:
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(size)])
+        self.flat = np.concatenate([self.flat, ids])
+
     def learn(self, words: list[str]) -> None:
         """Encode new words and remember them."""
         short = []
         for word in words:
             raw = word.encode()
             if len(raw) > ROW_BYTES:
-                self.known[word] = self.long_word(raw)
+                ids = self.long_word(raw)
+                self.remember([word], np.array([len(ids)]), ids)
             else:
                 short.append((word, raw))
         for at in range(0, len(short), WORDS_A_QUERY):
@@ -120,9 +133,7 @@ class Tokenizer:
             self.con.register("letters", pa.table(letters))
             found = self.con.sql(ENCODE).to_arrow_table().column("ids").combine_chunks()
             self.con.unregister("letters")
-            ends, flat = found.offsets.to_numpy(), found.values.to_numpy()
-            for k, (word, _) in enumerate(part):
-                self.known[word] = flat[ends[k] : ends[k + 1]].copy()
+            self.remember([word for word, _ in part], np.diff(found.offsets.to_numpy()), found.flatten().to_numpy().astype(np.int32))
 
     def long_word(self, raw: bytes) -> np.ndarray:
         """The same contraction, leftmost least pair first, from a heap of pairs."""
@@ -143,27 +154,31 @@ class Tokenizer:
                     heappush(heap, (r, x))
         return np.array([t for t in tok if t >= 0], np.int32)
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text; the new words of all of them are learnt at once."""
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ends, ids): text k has ids[ends[k]:ends[k+1]]; the new words of all texts are learnt at once."""
         cut = [self.find(text) if text else [] for text in texts]
-        new = {w: None for words in cut for w in words if w not in self.known}
+        new = set().union(*cut).difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = {w: None for words in cut for w in words}
+            self.forget()
+            new = set().union(*cut)
         self.learn(list(new))
-        known = self.known
-        return [np.concatenate([known[w] for w in words]) if words else np.zeros(0, np.int32) for words in cut]
-
-    def decode(self, ids: list[np.ndarray]) -> list[bytes]:
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-        if len(flat) and (flat.min() < 0 or flat.max() > self.top):
+        size = np.array([len(words) for words in cut], np.int64)
+        word = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, size.sum())
+        begin, count = self.ends[word], self.ends[word + 1] - self.ends[word]
+        done = np.concatenate([[0], np.cumsum(count)])
+        ids = self.flat[np.repeat(begin - done[:-1], count) + np.arange(done[-1])]
+        return done[np.concatenate([[0], np.cumsum(size)])], ids
+
+    def decode(self, ends: np.ndarray, ids: np.ndarray) -> list[bytes]:
+        """The bytes of ids[ends[k]:ends[k+1]] for every k."""
+        if len(ids) and (ids.min() < 0 or ids.max() > self.top):
             raise ValueError("an id is not in the vocabulary")
-        size = np.array([len(x) for x in ids], np.int64)
-        tokens = {"d": np.repeat(np.arange(len(ids), dtype=np.int32), size), "pos": np.arange(len(flat), dtype=np.int64), "tok": flat}
+        size = np.diff(ends)
+        tokens = {"d": np.repeat(np.arange(len(size), dtype=np.int32), size), "pos": np.arange(len(ids), dtype=np.int64), "tok": ids}
         self.con.register("tokens", pa.table(tokens))
         found = self.con.execute(DECODE).fetchall()
         self.con.unregister("tokens")
-        out = [b""] * len(ids)
+        out = [b""] * len(size)
         for d, letters in found:
             out[d] = letters.encode("latin-1")
         return out
@@ -175,9 +190,12 @@ def tokenizer(path: str, pattern: str) -> Tokenizer:
     return Tokenizer(path, pattern)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """``docs`` plus ids (array of int)."""
-    name = free_name(docs, "ids")
+def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", and_decode: bool = False) -> DataFrame:
+    """``docs`` plus ids (array of int), and with ``and_decode`` also decoded (the bytes of these ids).
+
+    Both in one step spare a second Python worker a task.
+    """
+    added = {free_name(docs, "ids"): ArrayType(IntegerType())} | ({free_name(docs, "decoded"): BinaryType()} if and_decode else {})
 
     def run(batches):
         tok = tokenizer(path, pattern)
@@ -185,12 +203,20 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") ->
             at = batch.schema.get_field_index(text_col)
             for lo, hi in pieces(as_bytes(batch.column(at))[1], BYTES_A_PREPARATION):
                 part = batch.slice(lo, hi - lo)
-                ids = tok.encode(part.column(at).to_pylist())
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                flat = np.concatenate(ids).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=[*part.schema.names, name])
+                ends, ids = tok.encode(part.column(at).to_pylist())
+                new = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))]
+                if and_decode:
+                    new.append(_decoded(tok, ends, ids))
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *added])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, ArrayType(IntegerType()))]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *(StructField(n, t) for n, t in added.items())]))
+
+
+def _decoded(tok: Tokenizer, ends: np.ndarray, ids: np.ndarray) -> pa.Array:
+    out = []
+    for lo, hi in pieces(ends, TOKENS_A_QUERY):
+        out += tok.decode(ends[lo : hi + 1] - ends[lo], ids[ends[lo] : ends[hi]])
+    return pa.array(out, pa.binary())
 
 
 def decode(tokens: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
@@ -200,18 +226,16 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids_col: str = "ids") ->
     def run(batches):
         tok = tokenizer(path, pattern)
         for batch in batches:
-            at = batch.schema.get_field_index(ids_col)
-            lists = batch.column(at)
-            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            for lo, hi in pieces(np.concatenate([[0], np.cumsum(sizes)]), TOKENS_A_QUERY):
-                part = batch.slice(lo, hi - lo)
-                rows = [np.zeros(0, np.int32) if not x.is_valid else x.values.to_numpy(zero_copy_only=False) for x in part.column(at)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(tok.decode(rows), pa.binary())], names=[*part.schema.names, name])
+            lists = batch.column(batch.schema.get_field_index(ids_col))
+            size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+            ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _decoded(tok, ends, ids)], names=[*batch.schema.names, name])
 
     return tokens.mapInArrow(run, StructType([*tokens.schema.fields, StructField(name, BinaryType())]))
 
 
-def digests(decoded: DataFrame, ids_col: str = "ids", bytes_col: str = "decoded") -> list:
+def digests(ids_col: str = "ids", bytes_col: str = "decoded") -> list:
     """Columns n_tokens, ids_sha256 and decoded_sha256."""
     ids = F.concat_ws(" ", F.col(ids_col).cast("array<string>"))
     return [F.size(ids_col).cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col(bytes_col), 256).alias("decoded_sha256")]

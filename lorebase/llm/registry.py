@@ -112,8 +112,7 @@ def op8_byte_bpe(spark, sf_dir):
 
     how = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode(docs, *how).drop("text")
-    return bpe.decode(ids, *how).select("doc_id", *bpe.digests(ids))
+    return bpe.encode(docs, *how, and_decode=True).select("doc_id", *bpe.digests())
 
 
 # -- benchmark decontamination -------------------------------------------------------------
