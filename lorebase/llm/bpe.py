@@ -46,21 +46,25 @@ TOKENS_A_QUERY = 1_000_000
 BYTES_A_PREPARATION = 4 << 20
 
 ENCODE = """
-WITH RECURSIVE step(w, round, pos, tok) AS (
-  SELECT w, 0, pos, tok FROM letters
+WITH RECURSIVE step(w, round, pos, tok, beside, after) AS (
+  SELECT w, 0::SMALLINT, pos, tok, lead(tok) OVER words, lead(pos) OVER words
+  FROM letters WINDOW words AS (PARTITION BY w ORDER BY pos)
   UNION ALL
-  (WITH pairs AS (
-     SELECT w, pos, tok, lead(tok) OVER words AS beside, lead(pos) OVER words AS after
-     FROM step WINDOW words AS (PARTITION BY w ORDER BY pos)),
-   best AS (
-     SELECT w, min(rank * 65536 + pos) AS least, arg_min(after, rank * 65536 + pos) AS gone
-     FROM pairs JOIN merges ON a = tok AND b = beside GROUP BY w)
-   SELECT step.w, round + 1, pos, CASE WHEN pos = least % 65536 THEN (least // 65536)::INTEGER ELSE tok END
-   FROM step JOIN best ON step.w = best.w WHERE pos <> gone)
+  (WITH best AS (
+     SELECT w, min(rank * 65536 + pos) AS least FROM step JOIN merges ON a = tok AND b = beside GROUP BY w),
+   pair AS (
+     SELECT best.w, (least // 65536)::INTEGER AS made, least % 65536 AS spot, y.beside AS then_tok, y.after AS then_pos
+     FROM best JOIN step x ON x.w = best.w AND x.pos = least % 65536 JOIN step y ON y.w = x.w AND y.pos = x.after)
+   SELECT step.w, round + 1, pos,
+          CASE WHEN pos = spot THEN made ELSE tok END,
+          CASE WHEN pos = spot THEN then_tok WHEN after = spot THEN made ELSE beside END,
+          CASE WHEN pos = spot THEN then_pos ELSE after END
+   FROM step JOIN pair ON step.w = pair.w AND (pos <= spot OR pos >= coalesce(then_pos, 65536)))
 )
 SELECT w, list(tok ORDER BY pos) AS ids
 FROM step JOIN (SELECT w, max(round) AS round FROM step GROUP BY w) USING (w, round) GROUP BY w ORDER BY w
 """
+"""Rows carry the token and the place beside them, so that a round needs no ordering."""
 
 DECODE = """
 SELECT d, string_agg(letters, '') AS letters
