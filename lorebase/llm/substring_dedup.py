@@ -163,7 +163,8 @@ def _on(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
 def repeated_starts(docs: DataFrame, length: int) -> DataFrame:
     """(doc_id, mark, first, n): runs of starts whose strings occur elsewhere, too."""
     all_phrases = phrase_table(docs, length)
-    cores = all_phrases.groupBy("core").agg(F.count("*").alias("k")).filter("k > 1").select("core")
+    # Written, so that the join below has two plain shuffles, of which the engine can split a frequent core.
+    cores = materialize(all_phrases.groupBy("core").agg(F.count("*").alias("k")).filter("k > 1").select("core"), "cores")
     open_ = materialize(all_phrases.join(cores, "core"), "phrases")
     dictionary = open_.groupBy("core", "phrase").agg(F.count("*").alias("uses"), F.min(F.struct("doc_id", "mark", "first", "n")).alias("at"))
     dictionary = materialize(dictionary, "dictionary")
@@ -236,4 +237,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, end: long>>, kept binary"
-    return _on(docs, broadcast_if_small(marks), "left").select("doc_id", "text", "runs").mapInArrow(cut, schema)
+    return _on(docs, marks, "left").select("doc_id", "text", "runs").mapInArrow(cut, schema)
