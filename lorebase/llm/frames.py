@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -31,3 +32,13 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], s
                 yield fn(batch)
 
     return df.mapInArrow(run, schema)
+
+
+def settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` plus columns that are computed once a row, whatever refers to them later.
+
+    The optimizer may put an expression in the place of its column, even inside a function applied
+    to every element of an array. It never looks through a generator, here one of a single row.
+    """
+    once = df.select("*", F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_once"))
+    return once.select(*df.columns, *[F.col("_once")[n].alias(n) for n in columns])

@@ -28,6 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorebase.llm.frames import settled
 from lorebase.session import broadcast_if_small, materialize
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -54,43 +55,55 @@ ALPHA_REMOVE = 1.05
 _BLOCK = 128
 
 
-def running_sums(steps: Column) -> Column:
-    """Sums of the first 1, 2, 3... elements, from sums of blocks, so that long arrays stay cheap."""
+def located(df: DataFrame, **found: str) -> DataFrame:
+    """``df`` (with text) where each given column of matches becomes array<struct<value, start, before, after>>.
+
+    ``found`` maps a column, all matches of a pattern in text, to that pattern. Splitting the text
+    finds the same matches, and the lengths of pieces and matches add up to the places. Sums of
+    blocks keep the running sums cheap for long arrays.
+    """
 
     def total(part: Column) -> Column:
         return F.aggregate(part, F.lit(0), lambda a, x: a + x)
 
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / _BLOCK).cast("int")), lambda b: total(F.slice(steps, b * _BLOCK + 1, F.lit(_BLOCK)))
-    )
-    before = F.transform(blocks, lambda _, b: total(F.slice(blocks, F.lit(1), b)))
+    def each(make):
+        return {f"{make.__name__}_{name}": make(name) for name in found}
 
-    def here(_, i):
-        block = F.floor(i / _BLOCK).cast("int")
-        return F.get(before, block) + total(F.slice(steps, block * _BLOCK + 1, i - block * _BLOCK + 1))
+    def gaps(name):
+        return F.when(F.size(name) > 0, F.split("text", found[name], -1)).otherwise(F.array(F.lit("")))
 
-    return F.transform(steps, here)
+    def steps(name):
+        pieces = F.slice(f"gaps_{name}", F.lit(1), F.size(name))
+        behind = F.concat(F.array(F.lit("")), F.slice(name, F.lit(1), F.greatest(F.size(name) - 1, F.lit(0))))
+        return F.zip_with(pieces, F.slice(behind, F.lit(1), F.size(name)), lambda x, y: F.char_length(x) + F.char_length(y))
 
+    def blocks(name):
+        first = F.sequence(F.lit(0), F.floor(F.size(f"steps_{name}") / _BLOCK).cast("int"))
+        return F.transform(first, lambda b: total(F.slice(f"steps_{name}", b * _BLOCK + 1, F.lit(_BLOCK))))
 
-def located(text: Column, pattern: str, matches: Column) -> Column:
-    """array<struct<value, start, before, after>> of ``matches`` (all matches of ``pattern``).
+    def before(name):
+        return F.transform(f"blocks_{name}", lambda _, b: total(F.slice(f"blocks_{name}", F.lit(1), b)))
 
-    The text between matches gives the places: splitting finds the same matches.
-    """
-    gaps = F.split(text, pattern, -1)
-    steps = F.zip_with(
-        F.slice(gaps, F.lit(1), F.size(matches)), F.concat(F.array(F.lit("")), F.slice(matches, F.lit(1), F.size(matches) - 1)),
-        lambda gap, match: F.char_length(gap) + F.char_length(match),
-    )
-    starts = running_sums(steps)
-    found = F.transform(
-        matches,
-        lambda m, i: F.struct(
-            m.alias("value"), F.get(starts, i).alias("start"), F.right(F.get(gaps, i), F.lit(REACH)).alias("before"),
-            F.left(F.get(gaps, i + 1), F.lit(REACH)).alias("after"),
-        ),
-    )
-    return F.when(F.size(matches) > 0, found).otherwise(F.slice(found, F.lit(1), F.lit(0)))
+    def starts(name):
+        def here(_, i):
+            block = F.floor(i / _BLOCK).cast("int")
+            return F.get(f"before_{name}", block) + total(F.slice(f"steps_{name}", block * _BLOCK + 1, i - block * _BLOCK + 1))
+
+        return F.transform(f"steps_{name}", here)
+
+    def places(name):
+        return F.transform(
+            name,
+            lambda m, i: F.struct(
+                m.alias("value"), F.get(f"starts_{name}", i).alias("start"), F.right(F.get(f"gaps_{name}", i), F.lit(REACH)).alias("before"),
+                F.left(F.get(f"gaps_{name}", i + 1), F.lit(REACH)).alias("after"),
+            ),
+        )
+
+    out = df
+    for make in (gaps, steps, blocks, before, starts, places):
+        out = settled(out, **each(make))
+    return out.select(*[c for c in df.columns if c not in found], *[F.col(f"places_{name}").alias(name) for name in found])
 
 
 def digits(value: Column) -> Column:
@@ -133,13 +146,10 @@ def base_spans(docs: DataFrame) -> DataFrame:
             entity(kind, m["value"]).alias("entity"), m["before"].alias("before"), m["after"].alias("after"),
         )
 
-    for kind in KINDS:
-        found = F.regexp_extract_all("text", F.lit(STEADY[kind]), F.lit(0))
-        docs = docs.withColumn(f"_{kind}", found)
-    for order, kind in enumerate(KINDS):
-        good = F.filter(located(F.col("text"), STEADY[kind], F.col(f"_{kind}")), keep(kind))
-        docs = docs.withColumn(f"_{kind}", F.transform(good, as_span(kind, order)))
-    return docs.withColumn("spans", F.array_sort(F.concat(*[f"_{k}" for k in KINDS]))).drop(*[f"_{k}" for k in KINDS])
+    out = settled(docs, **{f"_{k}": F.regexp_extract_all("text", F.lit(STEADY[k]), F.lit(0)) for k in KINDS})
+    out = located(out, **{f"_{k}": STEADY[k] for k in KINDS})
+    spans = [F.transform(F.filter(f"_{k}", keep(k)), as_span(k, n)) for n, k in enumerate(KINDS)]
+    return settled(out, spans=F.array_sort(F.concat(*spans))).drop(*[f"_{k}" for k in KINDS])
 
 
 def core(word: Column) -> Column:
@@ -203,17 +213,16 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     joined = found.join(broadcast_if_small(marked), "mark", "left")
 
     words = F.when(F.col("terms").isNotNull(), F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    joined = joined.withColumn("words", words)
-    place = located(F.col("text"), WORD, F.col("words"))
+    joined = located(settled(joined, words=words), words=WORD)
     skip = lambda w: F.char_length(F.regexp_extract(w, r"^[^\p{L}\p{N}]*+", 0))
     each = F.transform(
-        place,
+        "words",
         lambda w: F.struct(
             (w["start"] + skip(w["value"])).alias("start"), (w["start"] + skip(w["value"]) + F.char_length(core(w["value"]))).alias("end"),
             F.get(F.filter("terms", lambda t: t["term"] == F.lower(core(w["value"]))), F.lit(0))["action"].alias("action"),
         ),
     )
-    joined = joined.withColumn("told", F.when(F.size("words") > 0, F.filter(each, lambda w: w["action"].isNotNull())))
+    joined = settled(joined, told=F.when(F.size("words") > 0, F.filter(each, lambda w: w["action"].isNotNull())))
     outside = F.filter("told", lambda w: ~F.exists("spans", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
 
     def span(s, order, kind, action):
