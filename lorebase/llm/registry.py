@@ -186,3 +186,42 @@ def op1_pii(spark, sf_dir):
     base = F.filter("spans", lambda s: s["kind"] != "term")
     counts = [F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(pii.span_text(base), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"))
+
+
+# -- licences ------------------------------------------------------------------------------
+
+
+@query
+def op3_license_scan(spark, sf_dir):
+    from lorebase.llm import licences
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licences.notices(docs, licences.fit(docs))
+
+
+# -- token counts --------------------------------------------------------------------------
+
+
+@query
+def op7_token_counts(spark, sf_dir):
+    """Counts before and after three edits of every document: its source put in front, 20 characters
+    of its middle replaced by its language, and its last 10 characters deleted."""
+    import public_tokenizers
+
+    from lorebase.llm import token_counts
+    from lorebase.session import materialize
+
+    how = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    size = F.char_length("text")
+
+    def step(seq, start, end, said):
+        return F.struct(F.lit(seq).alias("seq"), start.cast("int").alias("start"), end.cast("int").alias("end"), said.alias("replacement"))
+
+    steps = F.array(
+        step(1, F.lit(0), F.lit(0), F.concat("source", F.lit(": "))), step(2, size / 2, size / 2 + 20, F.col("lang")),
+        step(3, size - 10, size, F.lit("")),
+    )
+    edits = docs.select("doc_id", F.explode(steps).alias("s")).select("doc_id", "s.*")
+    state = materialize(token_counts.count_tokens(docs, *how), "token-state")
+    return token_counts.recount(docs, state, edits, *how).select("doc_id", "n_before", "n_tokens", "n_read")
