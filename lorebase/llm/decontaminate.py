@@ -28,7 +28,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -177,11 +176,11 @@ def is_clean(blocks: list[SeedIndex], text: Column, coverage: float = COVERAGE)
     """Whether no item of ``blocks`` leaks into ``text``, as a column for any frame."""
 
     def check(index: SeedIndex):
-        @F.pandas_udf("boolean")
-        def clean(texts: pd.Series) -> pd.Series:
+        @F.arrow_udf("boolean")
+        def clean(texts: pa.Array) -> pa.Array:
             out = np.ones(len(texts), bool)
-            out[[d for d, _, _ in index.leaks(pa.array(texts, pa.string(), from_pandas=True), coverage)]] = False
-            return pd.Series(out)
+            out[[d for d, _, _ in index.leaks(texts, coverage)]] = False
+            return pa.array(out)
 
         return clean(text)
 

@@ -26,7 +26,6 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -164,11 +163,11 @@ def fit(
 def score_column(model: Model, text: Column) -> Column:
     """The score of ``text`` as a column, for any frame."""
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = model.scorer()
         for texts in batches:
-            yield pd.Series(scorer(pa.array(texts, pa.string(), from_pandas=True)))
+            yield pa.array(scorer(texts))
 
     return score(text)
 
