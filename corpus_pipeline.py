@@ -56,8 +56,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and the digests of them and of what they decode to."""
     how = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
-    ids = bpe.encode(docs.select("doc_id", "text"), *how).drop("text")
-    return bpe.decode(ids, *how).select("doc_id", "ids", *bpe.digests(ids))
+    return bpe.encode(docs.select("doc_id", "text"), *how, and_decode=True).select("doc_id", "ids", *bpe.digests())
 
 
 STAGES = [
