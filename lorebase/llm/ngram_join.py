@@ -8,8 +8,8 @@
    are cut into steps so that linked sets lie in one step or in neighbouring ones, which fixes m
    for both. A few parts more than d + 1 let empty parts go without a key; a set with more empty
    parts than that keeps their keys.
-3. **Neighbourhoods.** Sets that share a key are joined to the least of them; the components of
-   these pairs are the groups to compare. A group with more than ``cell`` elements is cut by size
+3. **Neighbourhoods.** Sets that share a key are tied in a chain; the components of these ties
+   are the groups to compare. A group with more than ``cell`` elements is cut by size
    step and hash into blocks, and pairs of blocks that can hold linked sets are tasks of their
    own, so no task grows with a group and no pair is left out.
 4. **Prefix tree.** A task orders the n-grams of its group, frequent ones first, and stores the
@@ -37,7 +37,7 @@ from hashlib import blake2b
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorebase.llm.components import components
@@ -84,10 +84,11 @@ class Dealer:
 
     @lru_cache(maxsize=4096)  # noqa: B019
     def parts(self, step: int) -> tuple[int, int]:
-        """(parts, empty parts that may go without a key) for steps ``step`` and ``step + 1``."""
+        """(parts, empty parts that may go without a key) for a set of ``step`` and one of it or the next step."""
         while len(self.steps) <= step + 2:
             self.steps.append(self.steps[-1] * self.den // self.num + 1)
-        differ = (self.den - self.num) * 2 * (self.steps[step + 2] - 1) // (self.den + self.num)
+        most = self.steps[step + 1] + self.steps[step + 2] - 2  # elements of two sets, one of either step
+        differ = (self.den - self.num) * most // (self.den + self.num)
         if not differ:
             return 0, 0  # only equal sets are similar enough
         spare = 1 + differ // 12
@@ -112,24 +113,51 @@ class Dealer:
 
 
 def set_table(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n_shingles, step, digest, keys) of every row."""
+    """(doc_id, n_shingles, step, digest) of every row."""
 
     def make(batches):
         dealer = Dealer(num, den)
         for batch in batches:
-            sizes, steps, digests, keys = [], [], [], []
+            sizes, steps, digests = [], [], []
             for grams in gram_sets(batch.column("text"), n):
                 sizes.append(len(grams))
                 steps.append(dealer.step(len(grams)) if len(grams) else -1)
                 digests.append(blake2b(grams.tobytes(), digest_size=16).digest())
-                keys.append(dealer.keys(grams))
-            ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             arrays = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(steps, pa.int32()), pa.array(digests, pa.binary())]
-            arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "step", "digest", "keys"])
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "step", "digest"])
 
-    return docs.mapInArrow(make, "doc_id long, n_shingles long, step int, digest binary, keys array<long>")
+    return docs.mapInArrow(make, "doc_id long, n_shingles long, step int, digest binary")
+
+
+def neighbours(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(doc_id, hub): pairs that tie together all sets which share a key.
+
+    A task ties the sets of a batch that share a key to the least of them and sends on only that
+    one, so a key of very many sets reaches the shuffle once a batch. There, each set with a key
+    is tied to the one before it; one shuffle moves every key once.
+    """
+
+    def make(batches):
+        dealer = Dealer(num, den)
+        for batch in batches:
+            keys = [dealer.keys(grams) for grams in gram_sets(batch.column("text"), n)]
+            doc = np.repeat(batch.column("doc_id").to_numpy(), [len(k) for k in keys])
+            key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+            order = np.lexsort((doc, key))
+            key, doc = key[order], doc[order]
+            first = np.diff(key, prepend=key[:1] + 1) != 0
+            hub = doc[np.flatnonzero(first)][np.cumsum(first) - 1] if len(key) else doc
+            here = np.unique(np.stack([doc[~first], hub[~first]], axis=1), axis=0)
+            here = here[here[:, 0] != here[:, 1]]
+            apart = mix(here[:, 0].astype(np.uint64) ^ mix(here[:, 1].astype(np.uint64))).view(np.int64)  # keys that deal these pairs out evenly
+            hubs = pa.array(np.concatenate([np.zeros(first.sum(), np.int64), here[:, 1]]), mask=np.arange(first.sum() + len(here)) < first.sum())
+            arrays = [pa.array(np.concatenate([key[first], apart])), pa.array(np.concatenate([doc[first], here[:, 0]])), hubs]
+            yield pa.RecordBatch.from_arrays(arrays, names=["key", "doc_id", "hub"])
+
+    rows = docs.mapInArrow(make, "key long, doc_id long, hub long")
+    before = F.lag("doc_id").over(Window.partitionBy("key").orderBy("doc_id"))
+    tied = rows.select("doc_id", F.coalesce("hub", before).alias("hub"))
+    return tied.filter("hub IS NOT NULL AND hub != doc_id").distinct()
 
 
 # -- prefix tree ---------------------------------------------------------------------------
@@ -273,11 +301,16 @@ def linked_components(
     known = sets.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     nodes = materialize(known.groupBy("digest").agg(F.min("doc_id").alias("rep")), "gram-nodes")
 
-    # Pairs that share a key, as (least, other).
-    chosen = known.filter(F.size("keys") > 0).join(nodes, "digest").filter(F.col("doc_id") == F.col("rep"))
-    keyed = chosen.select(F.explode("keys").alias("key"), "doc_id")
-    shared = keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top")).filter("hub != top").select("key", "hub")
-    near = components(keyed.join(shared, "key").filter("doc_id != hub").select("hub", "doc_id"))
+    # Pairs that share a key, between the nodes of their sets.
+    at = known.select("doc_id", "digest").join(nodes, "digest").groupBy("doc_id")
+    at = at.agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
+    # A doc_id that is repeated with other texts is compared with all of them, under its own name.
+    own = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("doc_id"))
+    home = materialize(at.select("doc_id", own.alias("rep"), (F.col("a") != F.col("b")).alias("several")), "gram-homes")
+    tied = neighbours(docs.filter("doc_id IS NOT NULL"), n, num, den)
+    tied = tied.join(home.select("doc_id", F.col("rep").alias("b")), "doc_id").select("hub", "b").distinct()
+    tied = tied.join(home.select(F.col("doc_id").alias("hub"), F.col("rep").alias("a")), "hub").select("a", "b")
+    near = components(tied)
 
     member = materialize(near.select(F.col("hi").alias("doc_id"), F.col("lo").alias("comp")).unionByName(near.select(F.col("lo").alias("doc_id"), F.col("lo").alias("comp")).distinct()), "gram-members")
     size = known.select("doc_id", "n_shingles", "step").groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.max("step").alias("step"))
@@ -305,10 +338,9 @@ def linked_components(
     links = cells.applyInPandas(join_cell, "lo long, hi long")
 
     # Rows that repeat a doc_id with other texts tie the nodes of those texts.
-    at = known.select("doc_id", "digest").join(nodes, "digest").groupBy("doc_id")
-    again = at.agg(F.min("rep").alias("a"), F.collect_set("rep").alias("reps")).filter(F.size("reps") > 1)
-    ties = again.select("a", F.explode("reps").alias("b"))
-    found = components(links.unionByName(ties.select(F.col("a").alias("lo"), F.col("b").alias("hi"))))
+    several = known.join(home.filter("several").select("doc_id"), "doc_id").select("doc_id", "digest")
+    ties = several.join(nodes, "digest").select(F.col("doc_id").alias("lo"), F.col("rep").alias("hi"))
+    found = components(links.unionByName(ties))
 
     label = nodes.join(found, nodes["rep"] == found["hi"], "left").select("digest", F.coalesce("lo", "rep").alias("component"))
     rows = sets.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest"))

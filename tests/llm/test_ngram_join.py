@@ -58,9 +58,9 @@ def test_odd_rows(odd, frame):
 
 
 def test_repeated_ids_tie_their_texts(frame):
-    a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
-    got = result(linked_components(frame([(5, a), (5, b), (3, b), (9, a)])))
-    assert [r[2] for r in got] == [3, 3, 3, 3]
+    a, b = " ".join(f"a{k}" for k in range(100)), " ".join(f"b{k}" for k in range(100))
+    got = result(linked_components(frame([(5, a), (5, b), (3, b), (9, f"{a[:-3]}new"), (7, f"x {b}"), (11, "c d e f g")])))
+    assert {r[0]: r[2] for r in got} == {3: 3, 5: 3, 7: 3, 9: 3, 11: 11}
 
 
 def test_keys_meet_for_every_linked_pair():
