@@ -6,6 +6,7 @@ applied to distinct references in Arrow batches.
 
 from __future__ import annotations
 
+import codecs
 import re
 from typing import NamedTuple
 from urllib.parse import quote, unquote
@@ -111,9 +112,21 @@ def host_of(u: Url) -> str:
     return (u.authority or "").rsplit("@", 1)[-1]
 
 
+def _kept_escapes(error: UnicodeDecodeError) -> tuple[str, int]:
+    return "".join(f"%{b:02X}" for b in error.object[error.start : error.end]), error.end
+
+
+codecs.register_error("kept_escapes", _kept_escapes)
+_LOOKS_ESCAPED = re.compile("%25(?=[0-9A-Fa-f]{2})")
+
+
 def site_path(u: Url) -> str:
-    """Decoded path, '/' when empty: the name of a page within its site."""
-    return unquote(u.path) or "/"
+    """Decoded path, '/' when empty: the name of a page within its site.
+
+    Escaped bytes that are not UTF-8 stay escaped (and so does a percent sign that would look like
+    such an escape), so pages with other bytes in their addresses have other paths.
+    """
+    return unquote(_LOOKS_ESCAPED.sub("%2525", u.path), errors="kept_escapes") or "/"
 
 
 def fetch_key(u: Url) -> str:

@@ -26,7 +26,7 @@ def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity; 0.0 when a magnitude is zero, an error when the lengths differ."""
     differs = vector_length(a) != vector_length(b)
     score = cosine_from(dot(a, b), magnitude(a), magnitude(b))
-    failure = F.raise_error(F.lit("vectors must have the same length")).cast("double")
+    failure = F.raise_error(F.lit("vectors differ in length")).cast("double")
     return F.when(differs, failure).otherwise(score)
 
 

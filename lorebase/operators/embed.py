@@ -13,7 +13,7 @@ from lorebase.functions.embedders import HashingEmbedder
 from lorebase.session import spread_small
 
 Embedder = Callable[[list[str]], Sequence]
-EMPTY = "empty embedding returned"
+EMPTY = "the embedder gave no vector"
 
 
 def _vectors(embedder: Embedder, texts: list[str]) -> list[tuple]:
@@ -24,7 +24,7 @@ def _vectors(embedder: Embedder, texts: list[str]) -> list[tuple]:
             raise ValueError(f"{len(vectors)} vectors for {len(texts)} texts")
     except Exception as e:
         if len(texts) == 1:
-            return [(None, f"failed to generate embedding: {e}")]
+            return [(None, f"the embedder failed: {e}")]
         return [pair for t in texts for pair in _vectors(embedder, [t])]
     return [(np.asarray(v, np.float32), None) if v is not None and len(v) else (None, EMPTY) for v in vectors]
 

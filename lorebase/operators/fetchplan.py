@@ -28,7 +28,7 @@ def plan_fetches(requests: DataFrame, delay: int, rows_per_task: int = ROWS_PER_
         return rows.withColumn("start", start).drop("_i")
 
     spec = Window.partitionBy("host", "_chunk").orderBy(*order)
-    rows = ordered_chunks(requests, ["host"], order).withColumn("_i", F.row_number().over(spec).cast("long") - 1)
+    rows = ordered_chunks(requests, ["host"], order, rows_per_task).withColumn("_i", F.row_number().over(spec).cast("long") - 1)
     rows = rows.withColumn("_run", F.max(lead).over(spec.rowsBetween(*running)))
     before = preceding_chunks(["host"])
     summary = (

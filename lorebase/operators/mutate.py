@@ -14,12 +14,21 @@ from lorebase.session import BROADCAST_BYTES, fits_broadcast, materialize
 def latest_by_url(incoming: DataFrame, order_col: str | None = None) -> DataFrame:
     """Last write per url. Combined on the map side, so a url repeated in a third of the rows is fine.
 
-    Rows with the same order value are settled by their contents, never by arrival.
+    Rows with the same order value are settled by all of their contents, never by arrival.
+    Without an order column, a url that occurs with different contents is an error: nothing
+    tells which of them is the last.
     """
     docs = conform(incoming, *([F.col(order_col).alias("_order")] if order_col else []))
     stored = F.struct(*KB_COLUMNS)
-    order = F.struct(*(["_order"] if order_col else []), "checksum", "context", "title", "description", "source_type")
-    return conform(docs.groupBy("url").agg(F.max_by(stored, order).alias("_doc")).select("_doc.*"))
+    contents = F.struct("checksum", "context", "title", "description", "source_type", "content", "embeddings")
+    if order_col:
+        last = docs.groupBy("url").agg(F.max_by(stored, F.struct("_order", contents)).alias("_doc"))
+        return conform(last.select("_doc.*"))
+    mark = F.xxhash64(*KB_COLUMNS)
+    last = docs.groupBy("url").agg(F.any_value(stored).alias("_doc"), F.min(mark).alias("_a"), F.max(mark).alias("_b"))
+    unclear = F.raise_error(F.concat(F.lit("order column needed: different documents for "), F.col("_doc.url")))
+    checked = F.when(F.col("_a") == F.col("_b"), F.col("_doc")).otherwise(unclear.cast(docs.select(stored.alias("s")).schema["s"].dataType))
+    return conform(last.select(checked.alias("_doc")).select("_doc.*"))
 
 
 def keep_others(kb: DataFrame, urls: DataFrame, max_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:

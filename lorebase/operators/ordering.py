@@ -41,13 +41,16 @@ def join_one(left: DataFrame, right: DataFrame, key: str, rows_per_task: int = R
     return spread.drop("_parts").join(copies.drop("_parts"), [key, "_salt"]).drop("_salt")
 
 
-def ordered_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+def ordered_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Range-partition by (keys, order) and label rows with their partition as ``_chunk``.
 
+    There are as many chunks as it takes for about ``rows_per_task`` rows in each; a number that
+    is given is not merged to fewer at run time.
     The labels are written to the shared folder, because range bounds come from a sample and
     a recomputed partition could otherwise disagree with the summary built from it.
     """
-    ranged = df.repartitionByRange(*[F.col(k) for k in keys], *order)
+    chunks = max(1, -(-df.count() // rows_per_task))
+    ranged = df.repartitionByRange(chunks, *[F.col(k) for k in keys], *order)
     return materialize(ranged.withColumn("_chunk", F.spark_partition_id()), "chunks")
 
 
@@ -72,7 +75,7 @@ def index_within(
     if largest_group(df, keys) <= rows_per_task:
         spec = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(out, F.row_number().over(spec).cast("long") - 1)
-    rows = ordered_chunks(df, keys, order)
+    rows = ordered_chunks(df, keys, order, rows_per_task)
     local = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     summary = (
         rows.groupBy(*keys, "_chunk")

@@ -8,15 +8,13 @@ from pyspark.sql import functions as F
 from lorebase.functions.vectors import vector_length
 from lorebase.operators.ordering import ordered_slice
 
-LIST_REPORT_LIMIT = 1000
-
 
 def document_output(df: DataFrame) -> DataFrame:
     return df.select("url", "title", "description", "content", "checksum")
 
 
-def list_report(kb: DataFrame, limit: int = LIST_REPORT_LIMIT) -> DataFrame:
-    """Lengths instead of payloads, for the first ``limit`` urls."""
+def list_report(kb: DataFrame, limit: int | None = None) -> DataFrame:
+    """Lengths instead of payloads in the order of urls, for every document or the first ``limit``."""
     narrow = kb.select(
         "url",
         "source_type",
@@ -24,7 +22,7 @@ def list_report(kb: DataFrame, limit: int = LIST_REPORT_LIMIT) -> DataFrame:
         F.octet_length("content").alias("content_length"),
         vector_length(F.col("embeddings")).alias("embeddings_length"),
     )
-    return ordered_slice(narrow, [F.col("url")], limit)
+    return narrow.orderBy("url") if limit is None else ordered_slice(narrow, [F.col("url")], limit)
 
 
 def search_report(output: DataFrame, verbose: bool = False) -> DataFrame:

@@ -14,6 +14,7 @@ from lorebase.functions.topk import QuerySlice, TopK
 from lorebase.functions.vectors import cosine_from, dot, magnitude, vector_length
 from lorebase.operators.ordering import DRIVER_ROWS, index_within, ordered_slice
 from lorebase.operators.scan import in_context
+from lorebase.session import broadcast_if_small, materialize
 
 DEFAULT_RESULTS = 3
 SLICE_BYTES = 32 << 20
@@ -80,11 +81,11 @@ def search_skipped(kb: DataFrame, query: Sequence[float] | DataFrame, context: s
     )
 
 
-def search_output(kb: DataFrame, hits: DataFrame, n: int = DEFAULT_RESULTS) -> DataFrame:
-    """Document fields of the hits. ``n`` bounds the hits, and with it what is broadcast."""
-    side = F.broadcast(hits) if n <= DRIVER_ROWS else hits
+def search_output(kb: DataFrame, hits: DataFrame) -> DataFrame:
+    """Document fields of the hits, which are written once, measured, and broadcast only if small."""
+    hits = broadcast_if_small(materialize(hits.select("url", "score", "rank"), "hits"))
     fields = kb.select("url", "title", "description", "content", "checksum")
-    return fields.join(side, "url").select(*fields.columns, "score", "rank")
+    return fields.join(hits, "url").select(*fields.columns, "score", "rank")
 
 
 def measure(rows: DataFrame, id_col: str, vector_col: str) -> Row:

@@ -201,7 +201,7 @@ ORACLES: dict[str, str] = {
     "kb_get_document": f"WITH {KB} SELECT {FLAT} FROM kb WHERE url = 'doc://src3/3'",
     "kb_contexts": f"WITH {KB} SELECT DISTINCT context FROM kb WHERE context <> ''",
     "list_report": f"""WITH {KB} SELECT url, source_type, checksum, strlen(content) AS content_length,
-        coalesce(len(embeddings), 0) AS embeddings_length FROM kb ORDER BY url LIMIT 1000""",
+        coalesce(len(embeddings), 0) AS embeddings_length FROM kb""",
     "document_output": f"WITH {KB} SELECT url, title, description, content, checksum FROM kb",
     "json_rows": f"""WITH {KB} SELECT to_json(struct_pack(url := url, title := title, description := description,
         content := content, checksum := checksum))::VARCHAR AS json FROM kb""",
@@ -228,7 +228,8 @@ ORACLES: dict[str, str] = {
     "delete_prefix": f"WITH {KB} SELECT {FLAT} FROM kb WHERE NOT {like('DOC://src1')}",
     "delete_prefix_context": f"WITH {KB} SELECT {FLAT} FROM kb WHERE NOT ({like('doc://src1')} AND context = 'en')",
     "delete_wildcard": f"WITH {KB} SELECT {FLAT} FROM kb WHERE NOT {like('doc://src1_/')}",
-    "clean": f"WITH {KB} SELECT {FLAT} FROM kb WHERE false",
+    "clean": f"""WITH {KB} SELECT 'before' AS stage, url, checksum FROM kb
+        UNION ALL SELECT 'after', url, checksum FROM kb WHERE context = 'en'""",
     "checksums": "SELECT doc_id, sha256(text) AS checksum FROM documents",
     "kb_store": f"""WITH {KB}, {BATCH} SELECT {FLAT} FROM kb
         WHERE NOT starts_with(url, 'doc://src1/') AND url NOT IN (SELECT url FROM latest)
@@ -276,7 +277,7 @@ ORACLES: dict[str, str] = {
               FROM n q, n d WHERE q.id[1] = 'q' AND d.id[1] = 'd')
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, url) AS rank FROM s
         WHERE score >= 0 QUALIFY rank <= 3""",
-    "rejects": """SELECT doc_id::VARCHAR AS url, CASE WHEN quality = 0 THEN 'empty embedding returned'
+    "rejects": """SELECT doc_id::VARCHAR AS url, CASE WHEN quality = 0 THEN 'the embedder gave no vector'
         ELSE 'url and content are required' END AS error
         FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS DISTINCT FROM 1""",
     "ingest_rows": f"""SELECT {TURN_URL} AS url, '' AS title, '' AS description, text AS content,

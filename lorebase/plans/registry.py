@@ -187,7 +187,14 @@ def delete_wildcard(spark, sf_dir):
 
 @query
 def clean(spark, sf_dir):
-    return flat(mutate.clean(bed.derived_kb(spark, sf_dir)))
+    """Urls stored before a clean, after it, and after an upsert that follows."""
+    kb = KnowledgeBase.open(spark, new_work_path(spark, "kb"))
+    docs = materialize(bed.derived_kb(spark, sf_dir), "docs")
+    shown = []
+    for stage, step in (("before", lambda: kb.upsert(docs)), ("cleaned", kb.clean), ("after", lambda: kb.upsert(scan.in_context(docs, "en")))):
+        step()
+        shown.append(kb.documents().select(F.lit(stage).alias("stage"), "url", "checksum"))
+    return shown[0].unionByName(shown[1]).unionByName(shown[2])
 
 
 @query
@@ -414,5 +421,5 @@ def ingest_files(spark, sf_dir):
 def stream_ingest(spark, sf_dir):
     folder = bed.document_files(spark, sf_dir)
     kb = KnowledgeBase.open(spark, new_work_path(spark, "kb"))
-    start_stream(spark, folder, kb, "files", new_work_path(spark, "stream")).awaitTermination()
+    start_stream(spark, folder, kb, "files", new_work_path(spark, "stream"), new_work_path(spark, "stream-rejects")).awaitTermination()
     return by_content(kb.documents())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 64 << 20
 """Largest join side that is shipped to every executor."""
 
+BUCKET_BYTES = 256 << 20
+"""Size of a bucket of an intermediate table, of which a join reads one in a task."""
+
 ROWS_PER_TASK = 2_000_000
 """Largest ordered group that is handled by one task; larger ones are split (see ordering.py)."""
 
@@ -40,7 +44,7 @@ def work_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     path = tempfile.mkdtemp(prefix="lorebase-")
     spark.conf.set("spark.checkpoint.dir", path)
@@ -73,17 +77,17 @@ def is_small(df: DataFrame) -> bool:
 def materialize_by(df: DataFrame, key: str, label: str = "stage") -> DataFrame:
     """Like ``materialize``, bucketed by ``key`` so that repeated joins on it do not shuffle this side.
 
-    Buckets and shuffle partitions are equally many, so rows that were just grouped by ``key``
-    leave each bucket in one file. The catalog entry is only needed while the table is opened.
-    A small table is left unbucketed: many files would cost more than its shuffles.
+    The table is written plainly and measured first; there is a bucket for each ``BUCKET_BYTES``.
+    The catalog entry is only needed while the table is opened. A small table is left unbucketed:
+    many files would cost more than its shuffles.
     """
+    df, spark = materialize(df, label), df.sparkSession
     if is_small(df):
-        return materialize(df, label)
-    spark = df.sparkSession
+        return df
     path = new_work_path(spark, label)
     name = "lorebase_" + uuid.uuid4().hex
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    buckets = max(1, -(-measured_bytes(df, df.columns) // BUCKET_BYTES))
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
     table = spark.table(name)
     spark.sql(f"DROP TABLE {name}")
     return table
@@ -91,12 +95,15 @@ def materialize_by(df: DataFrame, key: str, label: str = "stage") -> DataFrame:
 
 def fits_broadcast(df: DataFrame, columns: list[str], max_bytes: int = BROADCAST_BYTES) -> bool:
     """Measure ``columns`` of ``df`` (string or binary-sized values) against the broadcast limit."""
+    return measured_bytes(df, columns) <= max_bytes
+
+
+def measured_bytes(df: DataFrame, columns: list[str]) -> int:
     # 64 bytes per row cover the hash table entry and fixed-width values.
     width = F.lit(64)
     for name in columns:
         width = width + F.coalesce(F.octet_length(F.col(name).cast("string")), F.lit(0))
-    total = df.select(F.coalesce(F.sum(width.cast("long")), F.lit(0)).alias("n")).first()["n"]
-    return total <= max_bytes
+    return df.select(F.coalesce(F.sum(width.cast("long")), F.lit(0)).alias("n")).first()["n"]
 
 
 def broadcast_if_small(df: DataFrame, columns: list[str] | None = None, max_bytes: int = BROADCAST_BYTES) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lorebase.operators import mutate, reports, scan
+from lorebase.operators import mutate, scan
 from lorebase.operators import search as vector_search
 from lorebase.operators.embed import Embedder, embed_query
 from lorebase.schema import KB_COLUMNS, KB_SCHEMA, conform
@@ -38,7 +38,7 @@ class KnowledgeBase:
     def open(cls, spark: SparkSession, path: str, buckets: int = DEFAULT_BUCKETS) -> KnowledgeBase:
         """Open, creating an empty knowledge base if there is none.
 
-        ``buckets`` sets the layout at creation (aim at about 1 GB per bucket) and is fixed after.
+        ``buckets`` sets the layout at creation (aim at about 1 GB per bucket); ``rebucket`` refines it.
         """
         if not 0 < buckets <= MAX_BUCKETS:
             raise ValueError(f"buckets must be between 1 and {MAX_BUCKETS}")
@@ -71,6 +71,14 @@ class KnowledgeBase:
     def documents(self) -> DataFrame:
         return scan.documents(self.stored())
 
+    def rebucket(self, buckets: int) -> KnowledgeBase:
+        """The newest snapshot in more buckets, as a layout of its own that ``open`` finds from now on."""
+        if not self.buckets < buckets <= MAX_BUCKETS:
+            raise ValueError(f"buckets must be between {self.buckets + 1} and {MAX_BUCKETS}")
+        finer = KnowledgeBase(self.spark, self.path, buckets)
+        finer._write(finer._bucketed(self.documents()), 0)
+        return finer
+
     def _bucketed(self, docs: DataFrame) -> DataFrame:
         """Group rows by bucket for writing; AQE splits large buckets and merges small ones."""
         return conform(docs, bucket_of(F.col("url"), self.buckets).alias("bucket")).hint("rebalance", "bucket")
@@ -153,16 +161,11 @@ class KnowledgeBase:
         query = embed_query(query, embedder) if isinstance(query, str) else query
         stored = self.stored()
         if scan.in_context(stored, context).select("url").isEmpty():
-            raise LookupError("no documents found for search")
-        hits = vector_search.search(stored, query, n, context)
-        if n <= reports.LIST_REPORT_LIMIT:
-            rows = hits.collect()  # at most n
-            hits = self.spark.createDataFrame(rows, hits.schema)  # the search is not run again
-            urls = [r["url"] for r in rows]
-            homes = hits.select(bucket_of(F.col("url"), self.buckets).alias("b")).distinct()
-            buckets = [r["b"] for r in homes.collect()]
-            stored = stored.filter(F.col("bucket").isin(buckets) & F.col("url").isin(urls))
-        return vector_search.search_output(stored, hits, n).orderBy("rank")
+            raise LookupError("the context holds nothing to search")
+        hits = materialize(vector_search.search(stored, query, n, context), "hits")
+        homes = hits.select(bucket_of(F.col("url"), self.buckets).alias("b")).distinct()
+        buckets = [r["b"] for r in homes.collect()]  # at most MAX_BUCKETS numbers
+        return vector_search.search_output(stored.filter(F.col("bucket").isin(buckets)), hits).orderBy("rank")
 
 
 def _filesystem(spark: SparkSession, path: str):

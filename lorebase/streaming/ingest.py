@@ -17,19 +17,25 @@ def stream_ingest(
     kb: KnowledgeBase,
     context: str,
     checkpoint: str,
+    rejects_path: str,
     embedder: Embedder | None = None,
     max_files_per_trigger: int = 10_000,
-    in_place: bool = True,
+    in_place: bool = False,
 ) -> StreamingQuery:
     """Ingest every file not seen before, then stop (trigger AvailableNow).
 
     A batch may be replayed after a failure: the upsert is idempotent by url, and versions of
-    one file inside a batch are settled by modification time. Batches are small next to the
-    table, so by default each rewrites only the buckets it touches.
+    one file inside a batch are settled by modification time. Rejected files are written with
+    their reasons below ``rejects_path``, a folder for each batch that a replay replaces.
+
+    Each batch makes a snapshot, which copies the table. ``in_place`` rewrites only the buckets a
+    batch touches instead; it replaces their only copy, so a crash while it moves files can lose
+    rows of these buckets. Use it where the table can be rebuilt.
     """
 
-    def apply(batch: DataFrame, _: int) -> None:
+    def apply(batch: DataFrame, batch_id: int) -> None:
         done = embed_documents(file_documents(batch, context), embedder)
+        done.rejects.write.mode("overwrite").parquet(f"{rejects_path}/batch={batch_id}")
         kb.upsert(done.documents, "modified", in_place=in_place)
 
     arriving = (

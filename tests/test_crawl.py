@@ -135,7 +135,7 @@ def test_ingest_site(spark):
     page = docs["http://h//a"]
     assert (page.title, page.description, page.content, page.context) == ("Home", "Base", "# A two", "docs")
     assert page.source_type == "web_scrape" and len(page.embeddings) == 64
-    assert [(r.url, r.error) for r in done.rejects.collect()] == [("http://h//e", "empty embedding returned")]
+    assert [(r.url, r.error) for r in done.rejects.collect()] == [("http://h//e", "the embedder gave no vector")]
 
 
 def test_ingest_site_per_page_and_unchanged(spark):

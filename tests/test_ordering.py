@@ -88,3 +88,9 @@ def test_contexts(spark):
         kb_of(spark, 1).withColumn("context", F.lit(None).cast("string"))
     )
     assert {r.context for r in scan.contexts(kb).collect()} == {"even", "odd"}
+
+
+def test_chunks_hold_about_the_rows_asked_for(spark):
+    rows = spark.range(5000).selectExpr("1 AS k", "id")
+    sizes = ordering.ordered_chunks(rows, ["k"], [F.col("id")], 500).groupBy("_chunk").count().collect()
+    assert len(sizes) >= 9 and max(r["count"] for r in sizes) <= 1000

@@ -125,7 +125,7 @@ def test_cosine_expression(spark):
     scores = [r.s for r in pair.select(vectors.cosine(F.col("a"), F.col("b")).alias("s")).collect()]
     assert scores == [exact([1, 2], [2, 4]), 0.0]
     uneven = spark.createDataFrame([([1.0, 2.0], [2.0])], "a array<float>, b array<float>")
-    with pytest.raises(Exception, match="same length"):
+    with pytest.raises(Exception, match="differ in length"):
         uneven.select(vectors.cosine(F.col("a"), F.col("b"))).collect()
 
 

@@ -140,7 +140,7 @@ def test_one_bad_text_costs_only_itself(spark):
     good, bad = split_rejects(embed(df, embedder=fussy))
     assert {r.content: list(r.embeddings) for r in good.collect()} == {"ok": [2.0, 1.0], "fine": [4.0, 1.0]}
     errors = {r.content: r.error for r in bad.collect()}
-    assert errors == {"bad": "failed to generate embedding: refused", "none": "empty embedding returned", None: "no text"}
+    assert errors == {"bad": "the embedder failed: refused", "none": "the embedder gave no vector", None: "no text"}
 
 
 def write_files(folder):
@@ -171,20 +171,26 @@ def test_stream_ingest(spark, tmp_path, in_place):
     write_files(folder)
 
     def drain():
-        query = stream_ingest(spark, str(folder), kb, "files", str(tmp_path / "cp"), max_files_per_trigger=2, in_place=in_place)
+        paths = str(tmp_path / "cp"), str(tmp_path / "rejects")
+        query = stream_ingest(spark, str(folder), kb, "files", *paths, max_files_per_trigger=2, in_place=in_place)
         query.awaitTermination()
         return {r.title: r.content for r in kb.documents().collect()}
 
     assert set(drain()) == {"guide.md", "with space.txt", "bom.txt"}
     (folder / "late.txt").write_text("late")
     assert drain()["late.txt"] == "late"
+    (folder / "late2.txt").write_bytes(b"\xe9")
+    drain()
+    rejects = spark.read.parquet(str(tmp_path / "rejects"))
+    assert {r.url.rsplit("/", 1)[1] for r in rejects.collect()} == {"latin.txt", "late2.txt"}
+    assert rejects.filter("error IS NULL").isEmpty()
 
 
 def test_stream_replay_gives_the_same_rows(spark, tmp_path):
     folder, kb = tmp_path / "in", KnowledgeBase.open(spark, str(tmp_path / "kb"))
     write_files(folder)
     for run in ("cp1", "cp2"):  # a new checkpoint sees every file again
-        stream_ingest(spark, str(folder), kb, "files", str(tmp_path / run)).awaitTermination()
+        stream_ingest(spark, str(folder), kb, "files", str(tmp_path / run), str(tmp_path / f"{run}-rejects")).awaitTermination()
     assert kb.documents().count() == 3
 
 
@@ -201,3 +207,35 @@ def test_rows_need_url_and_content(spark):
     done = ingest.ingest_rows(rows)
     assert [(r.url, r.context, r.source_type) for r in done.documents.collect()] == [("v", "", "")]
     assert done.rejects.filter(F.col("error") == "url and content are required").count() == 2
+
+
+def test_ties_are_settled_by_contents(spark):
+    rows = [("u", "a", "x", 1, [1.0]), ("u", "b", "x", 1, [1.0]), ("u", "b", "x", 1, [2.0])]
+    for some in (rows, rows[::-1]):
+        batch = spark.createDataFrame(some, "url string, content string, context string, at int, embeddings array<float>")
+        assert [(r.content, r.embeddings) for r in mutate.latest_by_url(batch, "at").collect()] == [("b", [2.0])]
+
+
+def test_duplicates_without_an_order(spark):
+    same = spark.createDataFrame([("u", "a"), ("u", "a"), ("v", "b")], "url string, content string")
+    assert sorted(r.content for r in mutate.latest_by_url(same).collect()) == ["a", "b"]
+    with pytest.raises(Exception, match="order column needed"):
+        mutate.latest_by_url(spark.createDataFrame([("u", "a"), ("u", "b")], "url string, content string")).collect()
+
+
+def test_rebucket(spark, tmp_path):
+    kb = KnowledgeBase.open(spark, str(tmp_path), buckets=2)
+    rows = spark.createDataFrame([(f"u{k}", f"c{k}") for k in range(40)], "url string, content string")
+    kb.upsert(rows)
+    finer = kb.rebucket(8)
+    again = KnowledgeBase.open(spark, str(tmp_path))
+    assert again.buckets == finer.buckets == 8
+    assert again.get_document("u7")["content"] == "c7" and again.documents().count() == 40
+    with pytest.raises(ValueError):
+        finer.rebucket(8)
+
+
+def test_list_report_holds_every_document(spark):
+    kb = spark.range(1500).selectExpr("cast(id AS string) AS url", "'' AS source_type", "'' AS checksum", "'' AS content", "array(cast(1 AS float)) AS embeddings")
+    assert reports.list_report(kb).count() == 1500
+    assert reports.list_report(kb, 10).count() == 10

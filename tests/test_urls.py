@@ -47,3 +47,8 @@ def test_columns():
     assert urls.describe(urls.parse("https://h/a%20b?x#f")) == ("https://h/a%20b?x#f", "h", "/a b", "https://h/a%20b?x")
     assert urls.host_of(urls.parse("mailto:a@b")) == ""
     assert urls.describe(None) == (None,) * 4
+
+
+def test_paths_of_other_bytes_are_other_paths():
+    paths = [urls.site_path(urls.parse(f"http://h/{p}")) for p in ("caf%E9", "caf%E8", "%C4%E3", "%BA%C3", "caf%C3%A9", "%25E9", "100%25", "a%20b")]
+    assert paths == ["/caf%E9", "/caf%E8", "/%C4%E3", "/%BA%C3", "/caf\u00e9", "/%25E9", "/100%", "/a b"]
