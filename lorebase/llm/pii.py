@@ -17,7 +17,7 @@ Disclosure
     with the entity in sight or not, but never inside a base span.
 
 Counts cover all documents. Everything is DataFrame expressions; words are joined with the
-candidate terms, which are broadcast only if measured to be small.
+disclosing terms, which are broadcast only if measured to be small.
 
 Defined results: a null or empty text has no spans. Repeated rows get equal spans and count as
 documents. Columns other than the id and the text are not read. Offsets are code points.
@@ -171,33 +171,33 @@ def context_terms(before: Column, after: Column) -> Column:
 def disclosing_terms(
     found: DataFrame, support: int = SUPPORT, alpha_generalise: float = ALPHA_GENERALISE, alpha_remove: float = ALPHA_REMOVE
 ) -> tuple[DataFrame, DataFrame]:
-    """(term, action, kind) of the terms that disclose an entity, and (mark, term) of the texts that hold candidates.
+    """(term, action, kind) of the terms that disclose an entity, and (mark, term) of the texts that hold them.
 
-    ``found`` is a written table (doc_id, text, mark, spans) with spans from ``base_spans``.
+    Only terms that disclose, rare by nature, are looked up in the texts; the frequent words of the
+    surroundings are told apart by counts of all words. ``found`` is a written table (doc_id, text, mark, spans) with spans from ``base_spans``.
     """
+    rows = found.groupBy("mark").agg(F.count("*").alias("rows"))  # documents with one and the same text
     near = found.select("mark", F.explode("spans").alias("s")).select("mark", "s.kind", "s.entity", "s.before", "s.after")
-    near = near.withColumn("surroundings", F.xxhash64("before", "after"))
+    near = materialize(near.withColumn("surroundings", F.xxhash64("before", "after")), "pii-near")
     known = near.groupBy("kind", "entity").agg(F.count_distinct("surroundings").alias("seen")).filter(F.col("seen") >= support)
+    with_entity = near.select("mark", "kind", "entity").distinct().join(rows, "mark").groupBy("kind", "entity").agg(F.sum("rows").alias("with_entity"))
     near = near.join(known.drop("seen"), ["kind", "entity"]).withColumn("term", F.explode(context_terms(F.col("before"), F.col("after"))))
-    pairs = near.groupBy("kind", "entity", "term").agg(F.count_distinct("surroundings").alias("seen"), F.count_distinct("mark").alias("both"))
-    pairs = materialize(pairs.filter(F.col("seen") >= support), "pii-pairs")
+    near = materialize(near.select("mark", "kind", "entity", "term", "surroundings").distinct(), "pii-contexts")
+    pairs = near.groupBy("kind", "entity", "term").agg(F.count_distinct("surroundings").alias("seen")).filter(F.col("seen") >= support)
+    both = near.select("mark", "kind", "entity", "term").distinct().join(rows, "mark").groupBy("kind", "entity", "term").agg(F.sum("rows").alias("both"))
 
-    candidates = broadcast_if_small(materialize(pairs.select("term").distinct(), "pii-terms"))
     words = found.select("mark", F.explode(terms(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("term"))
-    held = materialize(words.join(candidates, "term").distinct(), "pii-held")
-
-    n = found.select("mark").distinct().count()
-    with_term = held.groupBy("term").agg(F.count("*").alias("with_term"))
-    entities = found.select("mark", F.explode("spans").alias("s")).select("mark", "s.kind", "s.entity").distinct()
-    with_entity = entities.groupBy("kind", "entity").agg(F.count("*").alias("with_entity"))
-    told = pairs.join(with_term, "term").join(with_entity, ["kind", "entity"])
+    with_term = words.groupBy("term").agg(F.count("*").alias("with_term"))
+    told = pairs.join(both, ["kind", "entity", "term"]).join(with_entity, ["kind", "entity"]).join(with_term, "term")
     share = F.col("both") / F.col("with_term")  # PMI = IC + log2 of this share
-    information = F.log2(F.lit(float(max(n, 1))) / F.col("with_entity"))
+    information = F.log2(F.lit(float(max(found.count(), 1))) / F.col("with_entity"))
     told = told.withColumn("information", information).withColumn("pmi", information + F.log2(share)).filter("information > 0")
     action = F.when(F.col("pmi") * alpha_remove >= F.col("information"), 2).when(F.col("pmi") * alpha_generalise >= F.col("information"), 1)
     told = told.withColumn("action", action).filter("action IS NOT NULL")
     best = told.groupBy("term").agg(F.max(F.struct("action", "pmi", "kind")).alias("best"))
-    return best.select("term", F.when(F.col("best.action") == 2, "remove").otherwise("generalise").alias("action"), "best.kind"), held
+    best = best.select("term", F.when(F.col("best.action") == 2, "remove").otherwise("generalise").alias("action"), "best.kind")
+    best = materialize(best, "pii-terms")
+    return best, words.join(broadcast_if_small(best.select("term")), "term").distinct()
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
