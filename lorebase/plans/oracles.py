@@ -243,7 +243,7 @@ ORACLES: dict[str, str] = {
         CASE WHEN page_id % 3 = 0 THEN 'text/html; charset=utf-8' ELSE 'text/html' END AS content_type
         FROM pages WHERE page_id % 7 <> 0 AND page_id % 3 <> 2""",
     "page_title": f"WITH {PAGES} SELECT page_id, title FROM parsed",
-    "page_description": f"WITH {PAGES} SELECT page_id, description, NULL::VARCHAR AS error FROM parsed",
+    "page_description": "SELECT page_id, 'About & around ' || page_id AS description, NULL::VARCHAR AS error FROM pages",
     "main_text": f"WITH {PAGES} SELECT page_id, main_text FROM parsed",
     "markdown": f"WITH {PAGES} SELECT page_id, markdown FROM parsed",
     "parse_pages": f"""WITH {PAGES} SELECT page_id, title, description, main_text, markdown, len(hrefs) AS n_links,
@@ -262,6 +262,8 @@ ORACLES: dict[str, str] = {
     "crawl_last_page": f"WITH RECURSIVE {walk(5)} SELECT base_url, path, url, depth FROM last",
     "crawl_report": f"""WITH RECURSIVE {walk(5)} SELECT base_url, path, strlen(html) AS html_length
         FROM last JOIN linked ON linked.host = last.host AND linked.rank = last.cap""",
+    "page_maps": f"""WITH RECURSIVE {walk(5)}, {parsed("linked")} SELECT base_url, path, p.html, p.markdown
+        FROM last JOIN parsed p ON p.host = last.host AND p.rank = last.cap""",
     "crawl_summary": f"""WITH RECURSIVE {walk(5)} SELECT base_url, count(DISTINCT path) AS n_paths
         FROM reached GROUP BY base_url""",
     "fetch_plan": FETCH,

@@ -258,7 +258,11 @@ def page_title(spark, sf_dir):
 
 @query
 def page_description(spark, sf_dir):
-    return parsed(spark, sf_dir).select("page_id", "description", "error")
+    """The given pages have no description; each gets one that names it."""
+    pages = bed.table(spark, sf_dir, "pages")
+    meta = F.concat(F.lit('<meta name="description" content="About &amp; around '), F.col("page_id").cast("string"), F.lit('"><title>'))
+    described = pages.withColumn("html", F.replace("html", F.lit("<title>"), meta))
+    return extract.parse_pages(described).select("page_id", "description", "error")
 
 
 @query
@@ -336,6 +340,12 @@ def crawl_report(spark, sf_dir):
     return crawl.crawl_report(crawl.last_page_per_path(reached).join(index.select("key", "html"), "key"))
 
 
+@query
+def page_maps(spark, sf_dir):
+    reached, index = crawled(spark, sf_dir)
+    return extract.page_maps(crawl.last_page_per_path(reached).join(index.select("key", "html", "markdown"), "key"))
+
+
 @query
 def crawl_summary(spark, sf_dir):
     return crawl.crawl_summary(crawled(spark, sf_dir)[0])
