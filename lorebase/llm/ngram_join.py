@@ -12,8 +12,9 @@
    are the groups to compare. A group with more than ``cell`` elements is cut by size
    step and hash into blocks, and pairs of blocks that can hold linked sets are tasks of their
    own, so no task grows with a group and no pair is left out.
-4. **Prefix tree.** A task orders the n-grams of its group, frequent ones first, and stores the
-   ordered sets in a trie, so that sets share the path of their common start. Each set is laid
+4. **Prefix tree.** A task orders the n-grams of its group, rare ones first, and stores the
+   ordered sets in a trie, so that sets share the path of their common start and unlike sets are
+   left soon. Each set is laid
    along the trie once: nodes add to the overlap of their parent, and a subtree is left when its
    overlap so far plus the least of what remains of the set and of the subtree's longest set
    cannot reach what its shortest set demands. Links are joined in place, and a task returns a
@@ -46,6 +47,9 @@ from lorebase.session import broadcast_if_small, materialize
 
 CELL = 1 << 20
 """Elements of all sets that one trie task holds."""
+LARGE_TRIE = 1 << 15
+"""From so many elements on, nodes of a trie are cut into links of at most ``LINK``."""
+LINK = 64
 
 
 # -- sets and keys -------------------------------------------------------------------------
@@ -170,10 +174,10 @@ class Trie:
         sizes = np.array([len(s) for s in sets])
         _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         rank = np.empty(len(count), np.int64)
-        rank[np.argsort(-count, kind="stable")] = np.arange(len(count))
+        rank[np.argsort(count, kind="stable")] = np.arange(len(count))
         ordered = [np.sort(x) for x in np.split(rank[token], np.cumsum(sizes)[:-1])]
         by_content = sorted(range(len(sets)), key=lambda k: ordered[k].astype(">i8").tobytes())
-        self.sets, self.vocabulary = ordered, len(count)
+        self.sets, self.has = ordered, np.zeros(len(count), np.int64)  # which n-grams the set in hand has
         parent, begin, end, holder = [-1], [0], [0], np.zeros(len(sets), np.int64)
         stack = [0]  # nodes on the path of the set before
         flat, before = [], None
@@ -204,7 +208,24 @@ class Trie:
                 stack.append(new)
             holder[k] = stack[-1]
             before = s
-        self._finish(np.array(parent), np.array(begin), np.array(end), {node: s for node, s, *_ in flat}, holder, sizes)
+        self._finish(*self._cut(parent, begin, end, {node: s for node, s, *_ in flat}, holder, sizes.sum()), sizes)
+
+    @staticmethod
+    def _cut(parent, begin, end, source, holder, elements):
+        """In a large trie long nodes become chains, so that a set can leave them early."""
+        if elements < LARGE_TRIE:
+            return np.array(parent), np.array(begin), np.array(end), source, holder
+        out, last, sources = ([], [], []), np.zeros(len(parent), np.int64), {}
+        for node in np.argsort(end, kind="stable"):  # parents end before their children
+            above = last[parent[node]] if parent[node] >= 0 else -1
+            for at in range(begin[node], max(end[node], begin[node] + 1), LINK):
+                if node in source:
+                    sources[len(out[0])] = source[node]
+                for field, value in zip(out, (above, at, min(at + LINK, end[node]))):
+                    field.append(value)
+                above = len(out[0]) - 1
+            last[node] = above
+        return *map(np.array, out), sources, last[holder]
 
     def _finish(self, parent, begin, end, source, holder, sizes):
         depth = np.zeros(len(parent), np.int64)
@@ -232,19 +253,30 @@ class Trie:
     def similar(self, k: int, num: int, den: int) -> np.ndarray:
         """Sets whose similarity to set ``k`` is at least num/den, itself included."""
         s = self.sets[k]
-        has = np.zeros(self.vocabulary, np.int64)
+        has = self.has
         has[s] = 1
-        hits = np.concatenate([[0], np.cumsum(has[self.flat])])
-        gained = hits[self.segment[1:]] - hits[self.segment[:-1]]
-        left = len(s) - np.concatenate([np.cumsum(has), [0]])[self.last]
         overlap = np.full(len(self.parent), -1)
         overlap[0] = 0
         for lo, hi in zip(self.level[1:-1], self.level[2:]):
             above = overlap[self.parent[lo:hi]]
-            reach = above + gained[lo:hi]
-            most = reach + np.minimum(left[lo:hi], self.longest[lo:hi] - self.end[lo:hi])
-            alive = (above >= 0) & ((num + den) * most >= num * (len(s) + self.shortest[lo:hi]))
-            overlap[lo:hi] = np.where(alive, reach, -1)
+            here = lo + np.flatnonzero(above >= 0)
+            if not len(here):
+                break
+            if 4 * len(here) > hi - lo:  # most of the level: its elements lie side by side
+                first = self.segment[lo]
+                hits = np.concatenate([[0], np.cumsum(has[self.flat[first : self.segment[hi]]])])
+                gained = hits[self.segment[here + 1] - first] - hits[self.segment[here] - first]
+            else:
+                size = self.segment[here + 1] - self.segment[here]
+                begin = np.cumsum(size) - size
+                every = np.repeat(self.segment[here] - begin, size) + np.arange(size.sum())
+                gained = np.add.reduceat(has[self.flat[every]], begin)
+            reach = above[here - lo] + gained
+            left = len(s) - np.searchsorted(s, self.last[here], "right")
+            most = reach + np.minimum(left, self.longest[here] - self.end[here])
+            alive = (num + den) * most >= num * (len(s) + self.shortest[here])
+            overlap[here[alive]] = reach[alive]
+        has[s] = 0
         own = overlap[self.holder]
         return np.flatnonzero((own >= 0) & ((num + den) * own >= num * (len(s) + self.sizes)))
 

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from lorebase.llm import ngram_join
 from lorebase.llm.components import components
 from lorebase.llm.ngram_join import Dealer, Trie, linked_components
 
@@ -75,7 +76,10 @@ def test_keys_meet_for_every_linked_pair():
             assert np.intersect1d(dealer.keys(x), dealer.keys(y)).size
 
 
-def test_trie_finds_all():
+@pytest.mark.parametrize(("large", "link"), [(1 << 15, 64), (0, 64), (0, 3), (0, 1)])
+def test_trie_finds_all(monkeypatch, large, link):
+    monkeypatch.setattr(ngram_join, "LARGE_TRIE", large)
+    monkeypatch.setattr(ngram_join, "LINK", link)
     rng = random.Random(4)
     base = list(range(40))
     sets = [np.array(sorted(set(rng.sample(base, rng.randrange(25, 41)) + [100 + rng.randrange(50)])), np.uint64) for _ in range(60)]
