@@ -53,10 +53,11 @@ SUPPORT = 3
 ALPHA_GENERALISE = 1.5
 ALPHA_REMOVE = 1.05
 _BLOCK = 128
+_CHUNK = 256
 
 
 def located(df: DataFrame, **found: str) -> DataFrame:
-    """``df`` (with text) where each given column of matches becomes array<struct<value, start, before, after>>.
+    """``df`` (with text) where each given column of matches becomes array<struct<value, start>>.
 
     ``found`` maps a column, all matches of a pattern in text, to that pattern. Splitting the text
     finds the same matches, and the lengths of pieces and matches add up to the places. Sums of
@@ -92,13 +93,7 @@ def located(df: DataFrame, **found: str) -> DataFrame:
         return F.transform(f"steps_{name}", here)
 
     def places(name):
-        return F.transform(
-            name,
-            lambda m, i: F.struct(
-                m.alias("value"), F.get(f"starts_{name}", i).alias("start"), F.right(F.get(f"gaps_{name}", i), F.lit(REACH)).alias("before"),
-                F.left(F.get(f"gaps_{name}", i + 1), F.lit(REACH)).alias("after"),
-            ),
-        )
+        return F.transform(name, lambda m, i: F.struct(m.alias("value"), F.get(f"starts_{name}", i).alias("start")))
 
     out = df
     for make in (gaps, steps, blocks, before, starts, places):
@@ -134,6 +129,12 @@ def entity(kind: str, value: Column) -> Column:
     return digits(value) if kind in ("card", "phone") else F.lower(value)
 
 
+def between(chunks: str, start: Column, end: Column) -> Column:
+    """Characters [start, end) of the text whose pieces of ``_CHUNK`` characters are given; end - start is at most ``_CHUNK``."""
+    k = F.floor(start / _CHUNK).cast("int")
+    return F.substring(F.concat_ws("", F.get(chunks, k), F.get(chunks, k + 1)), start - k * _CHUNK + 1, end - start)
+
+
 def base_spans(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) plus spans: array<struct<start, order, end, kind, entity, before, after>>, sorted."""
 
@@ -143,13 +144,20 @@ def base_spans(docs: DataFrame) -> DataFrame:
     def as_span(kind, order):
         return lambda m: F.struct(
             m["start"].alias("start"), F.lit(order).alias("order"), (m["start"] + F.char_length(m["value"])).alias("end"), F.lit(kind).alias("kind"),
-            entity(kind, m["value"]).alias("entity"), m["before"].alias("before"), m["after"].alias("after"),
+            entity(kind, m["value"]).alias("entity"),
         )
 
+    def with_context(s):
+        first = F.greatest(s["start"] - REACH - 1, F.lit(0))
+        return F.struct(*[s[c].alias(c) for c in ("start", "order", "end", "kind", "entity")],
+            between("chunks", first, s["start"]).alias("before"), between("chunks", s["end"], s["end"] + REACH + 1).alias("after"))
+
     out = settled(docs, **{f"_{k}": F.regexp_extract_all("text", F.lit(STEADY[k]), F.lit(0)) for k in KINDS})
     out = located(out, **{f"_{k}": STEADY[k] for k in KINDS})
     spans = [F.transform(F.filter(f"_{k}", keep(k)), as_span(k, n)) for n, k in enumerate(KINDS)]
-    return settled(out, spans=F.array_sort(F.concat(*spans))).drop(*[f"_{k}" for k in KINDS])
+    out = settled(out, bare=F.array_sort(F.concat(*spans))).drop(*[f"_{k}" for k in KINDS])
+    chunks = F.when(F.size("bare") > 0, F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{_CHUNK}}}+"), F.lit(0)))
+    return settled(settled(out, chunks=chunks), spans=F.transform("bare", with_context)).drop("bare", "chunks")
 
 
 def core(word: Column) -> Column:
@@ -162,9 +170,9 @@ def terms(words: Column) -> Column:
 
 
 def context_terms(before: Column, after: Column) -> Column:
-    """Whole words near a span; one cut by the reach does not count."""
-    before = F.when(F.char_length(before) < REACH, before).otherwise(F.regexp_replace(before, rf"^{WORD}", ""))
-    after = F.when(F.char_length(after) < REACH, after).otherwise(F.regexp_replace(after, rf"{WORD}$", ""))
+    """Whole words within ``REACH`` characters of a span, given one character more on either side; a word cut there does not count."""
+    before = F.when(F.char_length(before) <= REACH, before).otherwise(F.regexp_replace(before, rf"^{WORD}", ""))
+    after = F.when(F.char_length(after) <= REACH, after).otherwise(F.regexp_replace(after, rf"{WORD}$", ""))
     return terms(F.regexp_extract_all(F.concat_ws(" ", before, after), F.lit(WORD), F.lit(0)))
 
 

@@ -67,3 +67,20 @@ def test_copies_prove_nothing(frame):
 def test_places_of_many_matches(frame, n):
     text = "é1.1.1.1ü" * n
     assert result(pii.find_personal_data(frame([(1, text)]))) == [(1, brute(text))]
+
+
+def test_numbers_do_not_end_the_surroundings(frame):
+    names = ["ada", "bob", "cyd", "dee", "eve", "fay"]
+    rows = [(k, f"{n} redfox paid 17 orders with 4111 1111 1111 1111 in 2024 via bluejay {n}") for k, n in enumerate(names)]
+    rows += [(k, f"text {k} about other things") for k in range(10, 40)]
+    got = pii.find_personal_data(frame(rows)).collect()
+    words = {r["text"][s["start"] : s["end"]] for r in got for s in r["spans"] if s["kind"] == "term"}
+    assert {"redfox", "bluejay"} <= words
+
+
+def test_surroundings_are_the_text_within_reach(frame):
+    texts = ["é" * a + " 10 a@b.co " + "\U0001f600" * 300 + " 10.0.0.1\n" + "x 12 " * b for a in (0, 79, 255, 600) for b in (0, 16, 400)]
+    for r in pii.base_spans(frame(list(enumerate(texts))).select("doc_id", "text")).collect():
+        for s in r["spans"]:
+            assert s["before"] == r["text"][max(s["start"] - pii.REACH - 1, 0) : s["start"]]
+            assert s["after"] == r["text"][s["end"] : s["end"] + pii.REACH + 1]
