@@ -165,8 +165,8 @@ def core(word: Column) -> Column:
 
 
 def terms(words: Column) -> Column:
-    """The words that can be terms: four characters or more, a letter among them, lower case."""
-    return F.array_distinct(F.filter(F.transform(words, lambda w: F.lower(core(w))), lambda t: (F.char_length(t) >= 4) & t.rlike(r"\p{L}")))
+    """The words that can be terms: all with a letter or number, lower case."""
+    return F.array_distinct(F.filter(F.transform(words, lambda w: F.lower(core(w))), lambda t: t != ""))
 
 
 def context_terms(before: Column, after: Column) -> Column:

@@ -84,3 +84,12 @@ def test_surroundings_are_the_text_within_reach(frame):
         for s in r["spans"]:
             assert s["before"] == r["text"][max(s["start"] - pii.REACH - 1, 0) : s["start"]]
             assert s["after"] == r["text"][s["end"] : s["end"] + pii.REACH + 1]
+
+
+def test_short_words_and_numbers_disclose(frame):
+    places = ["from a river", "near the wood", "by that hill", "at one shore", "in our park", "on its isle"]
+    rows = [(k, f"note {k} {p} says Ann 李明 7731 of kim@mail.org") for k, p in enumerate(places)]
+    rows += [(k, f"text {k} says of other things") for k in range(10, 40)] + [(50, "(Ann) says 李明 has badge 7731, of old --")]
+    got = {r["doc_id"]: r for r in pii.find_personal_data(frame(rows)).collect()}
+    words = [got[50]["text"][s["start"] : s["end"]] for s in got[50]["spans"]]
+    assert words == ["Ann", "李明", "7731"]
