@@ -213,7 +213,7 @@ def op7_token_counts(spark, sf_dir):
 
     how = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    size = F.char_length("text")
+    size = F.char_length(F.coalesce("text", F.lit("")))
 
     def step(seq, start, end, said):
         return F.struct(F.lit(seq).alias("seq"), start.cast("int").alias("start"), end.cast("int").alias("end"), said.alias("replacement"))

@@ -12,7 +12,7 @@ and the sums above them are updated.
 
 Defined results: a null or empty text has no tokens. Edits of one document apply in the order of
 their seq (ties: start, end, replacement); start and end are clamped to the text as it is then, a
-null replacement is empty. Edits of unknown documents do nothing. Rows that repeat a doc_id all
+null replacement is empty, a null start is 0, and a null end is the start, so nothing is deleted. Edits of unknown documents do nothing. Rows that repeat a doc_id all
 get its edits; a row without doc_id gets none. Other columns are not read.
 """
 
@@ -176,7 +176,9 @@ def recount(docs: DataFrame, state: DataFrame, edits: DataFrame, path: str, patt
     ``state`` is a written table from ``count_tokens``. n_read is the number of characters read again.
     """
     docs = docs.select(docs[f"`{id_col}`"].cast("long").alias("doc_id"), F.coalesce(docs[f"`{text_col}`"], F.lit("")).alias("text"))
-    steps = F.array_sort(F.collect_list(F.struct("seq", "start", "end", F.coalesce("replacement", F.lit("")).alias("replacement"))))
+    start = F.coalesce("start", F.lit(0))
+    place = start.alias("start"), F.coalesce("end", start).alias("end")
+    steps = F.array_sort(F.collect_list(F.struct("seq", *place, F.coalesce("replacement", F.lit("")).alias("replacement"))))
     steps = materialize(edits.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(steps.alias("steps")), "token-edits")
     rows = docs.withColumn("mark", F.xxhash64("text")).join(broadcast_if_small(state), "mark").join(broadcast_if_small(steps), "doc_id", "left")
 

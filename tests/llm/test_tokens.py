@@ -101,3 +101,26 @@ def test_count_query(spark, library):
         a = min(max(n - 10, 0), len(y))
         y = y[:a] + y[min(max(n, a), len(y)) :]
         assert (got[r["doc_id"]]["n_before"], got[r["doc_id"]]["n_tokens"]) == (len(library.encode_ordinary(x)), len(library.encode_ordinary(y)))
+
+
+def test_null_places(spark, frame, library):
+    docs = frame([(1, None), (2, "one two three"), (3, "one two three"), (4, "one two three")])
+    edits = [(1, 1, None, None, "new"), (2, 1, None, 4, "x "), (3, 1, 4, None, "and "), (4, None, None, None, None)]
+    edits = spark.createDataFrame(edits, "doc_id long, seq int, start int, end int, replacement string")
+    got = token_counts.recount(docs, token_counts.count_tokens(docs, PATH, P.PATTERN), edits, PATH, P.PATTERN).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == {1: "new", 2: "x two three", 3: "one and two three", 4: "one two three"}
+    assert all(r["n_tokens"] == len(library.encode_ordinary(r["text"])) for r in got)
+
+
+def test_count_query_over_odd_rows(odd, library, tmp_path):
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for r in odd.collect():
+        x = r["text"] or ""
+        n, y = len(x), f"{r['source']}: {x}"
+        for a, b, said in ((n / 2, n / 2 + 20, r["lang"] or ""), (n - 10, n, "")):
+            a = min(max(int(a), 0), len(y))
+            y = y[:a] + said + y[min(max(int(b), a), len(y)) :]
+        want.append((r["doc_id"], len(library.encode_ordinary(x)), len(library.encode_ordinary(y)) if r["doc_id"] is not None else len(library.encode_ordinary(x))))
+    got = QUERIES["op7_token_counts"](odd.sparkSession, str(tmp_path)).collect()
+    assert sorted(want, key=repr) == sorted(((r["doc_id"], r["n_before"], r["n_tokens"]) for r in got), key=repr)
