@@ -118,3 +118,19 @@ def test_licence_query(spark):
     want = Counter(r["doc_id"] for r in docs for line in r["text"].split("\n") if any(s in line for s in ("icensed under", "eleased under the MIT")))
     got = Counter(r["doc_id"] for r in QUERIES["op3_license_scan"](spark, "/root/testdata/sf0.01").collect())
     assert got == want
+
+
+WRAPPED = {
+    "bsd-3-clause": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:",
+    "gpl-3.0": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation.",
+    "mit": "Permission is hereby granted, free of charge, to any\nperson obtaining a copy of this software and\nassociated documentation files (the Software)",
+    "apache-2.0": "Licensed under the Apache License, Version 2.0 (the License);\nyou may not use this file except in compliance\nwith the License.",
+}
+
+
+def test_wrapped_notices(frame, scanner):
+    rows = [(k, f"A title\n\n{t}\n\nmore text") for k, t in enumerate(WRAPPED.values())]
+    rows += [(10 + k, "A title\n#\n# " + t.replace("\n", "\n# ") + "\nmore text follows here") for k, t in enumerate(WRAPPED.values())]
+    got = {(r["doc_id"], r["line"], r["family"]) for r in licences.notices(frame(rows), scanner).collect()}
+    want = {(k + d, 2, f) for d in (0, 10) for k, f in enumerate(WRAPPED)}
+    assert got == want
