@@ -134,3 +134,11 @@ def test_wrapped_notices(frame, scanner):
     got = {(r["doc_id"], r["line"], r["family"]) for r in licences.notices(frame(rows), scanner).collect()}
     want = {(k + d, 2, f) for d in (0, 10) for k, f in enumerate(WRAPPED)}
     assert got == want
+
+
+def test_neighbouring_licences_are_not_confirmed(frame, scanner):
+    other = [t.replace("GNU", f"GNU {k}") for k in ("Lesser", "Affero") for t in licences.TEMPLATES["gpl-3.0"]]
+    other += ["Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n"
+              "1. Redistributions of source code must retain the notice.\n2. Redistributions in binary form must\nreproduce the notice."]
+    other += ["Licensed under the BSD 2-Clause License.", "Licensed under CC BY-SA 4.0.", "Licensed under the Apache License, Version 1.1."]
+    assert licences.notices(frame(list(enumerate(other))), scanner).collect() == []
