@@ -179,8 +179,8 @@ def rank_index(docs: DataFrame, error: int = ERROR) -> DataFrame:
     start; ``residuals`` holds a signed byte for every boundary from rank 0 to n (little-endian
     16-bit or wider numbers if ``error`` is more than 127).
     """
-    segment = "array<struct<rank: bigint, place: bigint, run: bigint, steps: bigint>>"
-    out = T.StructType([docs.schema["doc_id"]]).add("n", "long").add("segments", segment).add("residuals", "binary")
+    segment = T.StructType([T.StructField(name, T.LongType()) for name in ("rank", "place", "run", "steps")])
+    out = T.StructType([docs.schema["doc_id"]]).add("n", "long").add("segments", T.ArrayType(segment)).add("residuals", "binary")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -264,3 +264,27 @@ SELECT doc_id, n, form,
        sha256(t) AS restored_sha256
 FROM parts
 """
+
+
+# -- exact top-k search --------------------------------------------------------------------
+
+
+@query
+def op13_exact_top_k(spark, sf_dir):
+    from lorebase.llm import impact_search
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return impact_search.top_k(impact_search.build_index(vectors), vectors.filter("vec_id % 100 = 0"))
+
+
+ORACLES["op13_exact_top_k"] = """
+WITH whole AS (
+  SELECT vec_id, [floor(1024 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM whole q JOIN whole c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM pairs)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""

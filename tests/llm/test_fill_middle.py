@@ -74,7 +74,7 @@ def test_stored_index(odd):
         assert r["n"] == len(ends) - 1 == len(off) - 1 and segments[0]["rank"] == 0
         for rank in {0, r["n"], r["n"] // 2, r["n"] // 3}:
             s = [s for s in segments if s["rank"] <= rank][-1]
-            assert s["place"] + s["run"] * (rank - s["rank"]) // s["steps"] + off[rank] == ends[rank]
+            assert s["place"] + s["run"] * (rank - s["rank"]) // s["steps"] + int(off[rank]) == ends[rank]
 
 
 def test_query(spark):
