@@ -15,9 +15,9 @@ approximated, and ties are settled by id.
 
 Vectors that are null or hold a null, NaN or infinite component take no part. Vectors of different
 lengths are never compared. Repeated ids are rows like any other: a query takes every row whose id
-differs from its own, and an id with several queries is asked once for each of its different
-vectors' rows. Rows without an id are not candidates. Columns other than the two named ones are not
-read. No queries or no vectors give no rows.
+differs from its own, and an id with several query rows is asked once for each of them. Rows without
+an id are not candidates. Scores beyond the range of a long count as its nearest end. Columns other
+than the two named ones are not read. No queries or no vectors give no rows.
 """
 
 from __future__ import annotations
@@ -214,7 +214,7 @@ class Best:
             wide = limit is None or query.dtype == object or 4 * (limit + LEVELS) * int(np.abs(query).sum()) >= SAFE
             if wide:
                 at = np.flatnonzero(block.ids != self.ids[q])
-                score = block.vectors[at].astype(object) @ query.astype(object)
+                score = np.array([min(max(x, -(1 << 63)), (1 << 63) - 1) for x in block.vectors[at].astype(object) @ query.astype(object)], object)
             else:
                 full = len(self.score[q]) == self.k
                 at, score = block.best(query, self.ids[q], self.k, int(self.score[q][-1]) if full else -SAFE)
@@ -256,7 +256,7 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_i
 
     The queries are written and measured. A slice of at most about ``slice_bytes`` of them is
     shipped at a time and the index is scanned once a slice; a task gives k rows a query, which are
-    merged by (query, part of the tasks) and then by query. A score that no long can hold is an error.
+    merged by (query, part of the tasks) and then by query.
     """
     if k <= 0:
         raise ValueError("k must be positive")

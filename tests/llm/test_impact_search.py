@@ -20,7 +20,7 @@ def brute(rows, queries, k=10):
     for i in queries:
         if i in whole:
             d, q = whole[i]
-            hits = [(-sum(a * b for a, b in zip(q, v)), c) for c, v in whole.values() if c != d and len(v) == len(q)]
+            hits = [(-min(max(sum(a * b for a, b in zip(q, v)), -(2**63)), 2**63 - 1), c) for c, v in whole.values() if c != d and len(v) == len(q)]
             out += [(d, r, c, -s) for r, (s, c) in enumerate(sorted(hits)[:k], 1)]
     return sorted(out)
 
