@@ -91,6 +91,24 @@ def index_within(
     )
 
 
+def best_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, deal: Column, parts: int, fan: int = 64) -> DataFrame:
+    """The first ``k`` rows of each group in ``order`` (total), numbered from 1 as ``rank``.
+
+    Rows are dealt by the hash ``deal`` over ``parts`` parts of their group; each part keeps its
+    first k, and ``fan`` parts at a time are merged until one is left. So no task gets a whole group:
+    the first merge sees a part of one, every later one at most ``fan`` x k rows. The engine's own
+    limit of a ranked window ends at a thousand rows.
+    """
+    top, parts = df.withColumn("_part", F.pmod(deal, F.lit(max(1, parts)))), max(1, parts)
+    while True:
+        spec = Window.partitionBy(*keys, *(["_part"] if parts > 1 else [])).orderBy(*order)
+        top = top.withColumn("rank", F.row_number().over(spec)).filter(F.col("rank") <= k)
+        if parts == 1:
+            return top.drop("_part")
+        parts = -(-parts // fan)
+        top = top.withColumn("_part", F.pmod(F.col("_part"), F.lit(parts)))
+
+
 def ordered_slice(df: DataFrame, order: Sequence[Column], limit: int, offset: int = 0) -> DataFrame:
     """Rows [offset, offset+limit) of ``df`` in ``order``.
 
