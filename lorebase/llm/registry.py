@@ -288,3 +288,47 @@ ranked AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM pairs)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
+
+
+# -- phrases -------------------------------------------------------------------------------
+
+
+@query
+def op11_phrase_collocations(spark, sf_dir):
+    from lorebase.llm.phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_phrase_collocations"] = """
+WITH lower AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents),
+pieces AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM lower),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+runs AS (
+  SELECT lang, k, unnest([array_to_string(w[i:i + k - 1], ' ') FOR i IN range(1, len(w) - k + 2)]) AS phrase
+  FROM words, (SELECT unnest(range(1, 6)) AS k)),
+counts AS (SELECT lang, k, phrase, count(*) AS f FROM runs GROUP BY lang, k, phrase),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE k = 1 GROUP BY lang),
+often AS (SELECT *, string_split(phrase, ' ') AS w FROM counts WHERE f >= 100),
+cuts AS (
+  SELECT lang, phrase, f AS a, w, unnest(range(1, k)) AS cut FROM often WHERE k >= 2),
+parts AS (
+  SELECT c.lang, c.phrase, c.a, c.cut, p.f AS l, r.f AS r, n,
+         ((1000::HUGEINT * c.a * n) // (p.f::HUGEINT * r.f))::BIGINT AS score
+  FROM cuts c JOIN totals t ON t.lang = c.lang
+  JOIN often p ON p.lang = c.lang AND p.phrase = array_to_string(c.w[1:c.cut], ' ')
+  JOIN often r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.cut + 1:], ' ')),
+lowest AS (SELECT * FROM parts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner_phrases AS (
+  SELECT DISTINCT o.lang, o.f AS longer, array_to_string(o.w[i:i + k - 1], ' ') AS phrase
+  FROM often o, (SELECT unnest(range(1, 6)) AS i), (SELECT unnest(range(2, 5)) AS k)
+  WHERE o.k > 2 AND k < o.k AND i + k - 1 <= o.k),
+inside AS (SELECT lang, phrase, max(longer) AS longer FROM inner_phrases GROUP BY lang, phrase),
+kept AS (SELECT l.* FROM lowest l LEFT JOIN inside i USING (lang, phrase) WHERE i.longer IS NULL OR 100 * i.longer < 100 * l.a),
+ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase::BLOB) AS rank, phrase, a, l, r, n, score FROM kept)
+SELECT * FROM ranked WHERE rank <= 2000
+"""
