@@ -21,6 +21,7 @@ there are. No texts give no rows. A long text is cut at the end of a piece, whic
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
@@ -218,14 +219,15 @@ def frequent_phrases(
     counts, complete, totals, scan, last = None, [], None, 0, 0
     while scan < shards or scan < last + shards:
         scan += 1
-        told = spark.sparkContext.broadcast(reached)
+        told = spark.sparkContext.broadcast(zlib.compress(reached, 1))
         shard = shard_of.filter(F.col("shard") == (scan - 1) % shards).select("lang", "code", "text")
-        seen = shard.mapInArrow(_count(lambda told=told: told.value, scan, shards, longest), COUNTED)
+        seen = shard.mapInArrow(_count(lambda told=told: np.frombuffer(zlib.decompress(told.value), np.uint8), scan, shards, longest), COUNTED)
         seen = seen.withColumn("reached", F.lit(None).cast("int"))
         rows = seen if counts is None else seen.unionByName(counts)
         summed = rows.groupBy(*PHRASE).agg(F.sum("n").alias("n"), F.min("reached").alias("reached"))
         first = F.coalesce("reached", F.when(F.col("n") >= threshold, F.lit(scan)))
         summed = materialize(summed.withColumn("reached", first), "phrases")
+        told.destroy()
         closes = F.col("since") + shards
         complete.append(summed.filter((closes == scan) & (F.col("n") >= threshold)))
         if scan == shards:

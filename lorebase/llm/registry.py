@@ -323,9 +323,9 @@ parts AS (
   JOIN often r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.cut + 1:], ' ')),
 lowest AS (SELECT * FROM parts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
 inner_phrases AS (
-  SELECT DISTINCT o.lang, o.f AS longer, array_to_string(o.w[i:i + k - 1], ' ') AS phrase
-  FROM often o, (SELECT unnest(range(1, 6)) AS i), (SELECT unnest(range(2, 5)) AS k)
-  WHERE o.k > 2 AND k < o.k AND i + k - 1 <= o.k),
+  SELECT DISTINCT o.lang, o.f AS longer, array_to_string(o.w[i:i + size - 1], ' ') AS phrase
+  FROM often o, (SELECT unnest(range(1, 6)) AS i), (SELECT unnest(range(2, 5)) AS size)
+  WHERE size < o.k AND i + size - 1 <= o.k),
 inside AS (SELECT lang, phrase, max(longer) AS longer FROM inner_phrases GROUP BY lang, phrase),
 kept AS (SELECT l.* FROM lowest l LEFT JOIN inside i USING (lang, phrase) WHERE i.longer IS NULL OR 100 * i.longer < 100 * l.a),
 ranked AS (
