@@ -1,4 +1,4 @@
-"""One pass over the text of a page: title, description, links, main text, Markdown.
+"""One pass over the text of a page: title, description, links, main text, blocks.
 
 No tree is built. The reader keeps the names of the open elements, which is enough to know
 where the main content ends, and the formatting in force, which as in browsers outlives an
@@ -8,9 +8,10 @@ enclosing paragraph until its own end tag.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
-from lorebase.functions.markdown import MarkdownWriter
+from lorebase.functions.blocks import BlockWriter
 
 # Fixed values of the HTML standard: element categories.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -79,17 +80,18 @@ def collapse(text: str) -> str:
 
 
 class PageReader:
-    def __init__(self, markdown: bool = True):
+    def __init__(self):
         self.title = ""
         self.description = ""
         self.hrefs: list[str] = []
         self.in_body = False
         self.open: list[str] = []
+        self.how_often: Counter[str] = Counter()  # names in ``open``, so that an absent one is not searched for
         self.texts: list[str] = []
         self.main_from: int | None = None
         self.main_to: int | None = None
         self.main_depth = -1
-        self.writer = MarkdownWriter() if markdown else None
+        self.writer = BlockWriter()
 
     # -- results -----------------------------------------------------------------
 
@@ -98,8 +100,8 @@ class PageReader:
             return collapse("".join(self.texts))
         return collapse("".join(self.texts[self.main_from : self.main_to]))
 
-    def markdown(self) -> str:
-        return self.writer.finish() if self.writer else ""
+    def blocks(self) -> list[tuple]:
+        return self.writer.finish()
 
     # -- scanning ----------------------------------------------------------------
 
@@ -163,8 +165,7 @@ class PageReader:
                 return
             self.in_body = True
         self.texts.append(content)
-        if self.writer:
-            self.writer.text(content)
+        self.writer.text(content)
 
     def start(self, name: str, attrs: list[tuple[str, str]], self_closing: bool) -> None:
         if name == "meta" and not self.description:
@@ -183,10 +184,10 @@ class PageReader:
         self.imply_ends(name)
         if name == "a":
             self.hrefs.extend(v for k, v in attrs if k == "href")
-            if "a" in self.open:
+            if self.how_often["a"]:
                 self.end("a")
         self.texts.append(" ")
-        empty = name in VOID or (self_closing and ("svg" in self.open or "math" in self.open))
+        empty = name in VOID or (self_closing and (self.how_often["svg"] or self.how_often["math"]))
         if self.in_body and self.main_from is None and (ids or name in ("main", "article")):
             self.main_from = len(self.texts)
             if empty:
@@ -195,7 +196,8 @@ class PageReader:
                 self.main_depth = len(self.open)
         if not empty:
             self.open.append(name)
-        if self.writer and self.in_body:
+            self.how_often[name] += 1
+        if self.in_body:
             self.writer.start(name, attrs)
 
     def end(self, name: str) -> None:
@@ -209,6 +211,8 @@ class PageReader:
         if name in FORMATTING:
             self.end_formatting(name)
             return
+        if not any(self.how_often[n] for n in names):
+            return
         for depth in range(len(self.open) - 1, -1, -1):
             if self.open[depth] in names:
                 self.pop_to(depth)
@@ -218,19 +222,18 @@ class PageReader:
 
     def end_formatting(self, name: str) -> None:
         """A formatting element ends on its own, leaving the blocks opened inside it open."""
-        if name not in self.open:
-            if self.writer:
-                self.writer.end(name)
+        if not self.how_often[name]:
+            self.writer.end(name)
             return
         depth = len(self.open) - 1 - self.open[::-1].index(name)
         if any(n in SPECIAL for n in self.open[depth + 1 :]):
             self.texts.append(" ")
             self.close_main(depth, depth + 1)
             del self.open[depth]
+            self.how_often[name] -= 1
             if depth < self.main_depth:
                 self.main_depth -= 1
-            if self.writer:
-                self.writer.end(name)
+            self.writer.end(name)
         else:
             self.pop_to(depth)
 
@@ -243,6 +246,8 @@ class PageReader:
             self.pop_nearest(*IMPLIED_ENDS[name])
 
     def pop_nearest(self, names, limit) -> None:
+        if not any(self.how_often[n] for n in names):
+            return
         for depth in range(len(self.open) - 1, -1, -1):
             if self.open[depth] in names:
                 self.pop_to(depth)
@@ -256,9 +261,10 @@ class PageReader:
         last = len(self.open) - 1
         for i in range(last, depth - 1, -1):
             name = self.open.pop()
+            self.how_often[name] -= 1
             # Formatting cut off by its block's end stays in force; only its own end tag, the
             # one that asked for this pop, switches it off.
-            if self.writer and (name not in FORMATTING or i == depth):
+            if name not in FORMATTING or i == depth:
                 self.writer.end(name)
 
     def close_main(self, first: int, stop: int) -> None:

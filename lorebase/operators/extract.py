@@ -6,11 +6,14 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lorebase.functions import urls
+from lorebase.functions.blocks import BLOCKS, markdown
 from lorebase.functions.page import PageReader
 from lorebase.session import broadcast_if_small, spread_small
 
@@ -20,7 +23,7 @@ PARSED = (
     .add("title", STRING)
     .add("description", STRING)
     .add("main_text", STRING)
-    .add("markdown", STRING)
+    .add("blocks", BLOCKS)
     .add("hrefs", T.ArrayType(STRING))
     .add("error", STRING)
 )
@@ -30,17 +33,17 @@ RESOLVED = T.StructType([*LOCATED.fields, T.StructField("same_site", T.BooleanTy
 
 def read_page(html: str | None) -> tuple:
     if html is None:
-        return "", "", "", "", [], "no html"
+        return "", "", "", [], [], "no html"
     try:
         page = PageReader().read(html)
-        return page.title, page.description, page.main_text(), page.markdown(), page.hrefs, None
+        return page.title, page.description, page.main_text(), page.blocks(), page.hrefs, None
     except Exception as e:  # one bad page must not fail the job
-        return "", "", "", "", [], f"{type(e).__name__}: {e}"
+        return "", "", "", [], [], f"{type(e).__name__}: {e}"
 
 
-@F.pandas_udf(PARSED)
-def _parse(html: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([read_page(h) for h in html], columns=PARSED.names)
+@F.arrow_udf(PARSED)
+def _parse(html: pa.Array) -> pa.Array:
+    return pa.array([read_page(h.as_py()) for h in html], to_arrow_type(PARSED))
 
 
 @F.pandas_udf(LOCATED)
@@ -66,11 +69,13 @@ def _resolve(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Itera
 def parse_pages(pages: DataFrame) -> DataFrame:
     """Add title, description, main_text, markdown, hrefs and error, reading each page once.
 
-    Only the html column travels to Python. The call is marked nondeterministic so that
-    filters on its results are not turned into a second call.
+    Only the html column travels to Python, which returns a page's blocks; their Markdown is
+    written by expressions. The call is marked nondeterministic so that filters on its results
+    are not turned into a second call.
     """
-    parsed = spread_small(pages).withColumn("_p", _parse.asNondeterministic()("html"))
-    return parsed.select(*pages.columns, "_p.*")
+    parsed = spread_small(pages).withColumn("_p", _parse.asNondeterministic()("html")).select(*pages.columns, "_p.*")
+    shown = [markdown(F.col("blocks")).alias("markdown") if c == "blocks" else F.col(c) for c in PARSED.names]
+    return parsed.select(*pages.columns, *shown)
 
 
 def locate(df: DataFrame, url_col: str = "url") -> DataFrame:

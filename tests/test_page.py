@@ -1,6 +1,10 @@
+import random
+import time
+
 import pytest
 
 from lorebase.functions.page import PageReader
+from lorebase.operators.extract import parse_pages
 
 
 def read(html):
@@ -80,11 +84,10 @@ def test_attribute_references_without_semicolon():
     ["<p title='open", "<", "<a href=", "</", "<!--", "<!doctype", "<p <p <p", "a < b", "<title>open", "<script>x", "<a" * 5000],
 )
 def test_broken_pages_are_read(html):
-    read(html).markdown()
+    read(html).blocks()
 
 
-@pytest.mark.parametrize(
-    "html, markdown",
+MARKDOWN = (
     [
         ("<h1>A</h1><h3>B</h3><p>c", "# A\n\n### B\n\nc"),
         ("<p>a <b>b</b> <i>c</i> <strong><em>d</em></strong>", "a **b** *c* ***d***"),
@@ -110,7 +113,73 @@ def test_broken_pages_are_read(html):
         ("<p>x<script>s</script><style>t</style>y<title>z</title>", "xy"),
         ("<head><title>t</title></head>", ""),
         ("<table><tr><td>a<td>b<tr><td>c</table>", "a b\n\nc"),
-    ],
+        ("<p>a\x00b", "a\x00b"),
+        ("<p><b>a <br> b</b> c<br><br>d", "**a  \nb** c  \n  \nd"),
+        ("<p><b>a</b> <b>b</b> <b>c </b><i>d</i>", "**a** **b** **c** *d*"),
+        ("<p><a href=/x>a</a><a href=/x>b</a> <a href=/y>c<img src=/z alt='*'></a>", "[ab](/x) [c![\\*](/z)](/y)"),
+        ("<p><b><i>a</i></b><i>b</i>", "***a****b*"),
+        ("<p><code>a <br>b</code> <code> ` </code>", "`a b` `` ` ``"),
+        ("<p><b> </b>a<b><br></b>b", "a  \nb"),
+        ("<p>a<br># b<br>2) c", "a  \n\\# b  \n2\\) c"),
+        ("<ul><li><ul><li>a<li>b</ul><li>c</ul>", "- - a\n  - b\n- c"),
+        ("<ul><li><blockquote>a<p>b<pre>c\n\nd</pre></blockquote></ul>", "- > a\n  >\n  > b\n  >\n  > ```\n  > c\n  >\n  > d\n  > ```"),
+        ("<blockquote><ul><li>a</ul></blockquote><blockquote>b</blockquote>", "> - a\n\n> b"),
+        ("<blockquote><ul><li>a</ul><ul><li>b</ul></blockquote>", "> - a\n>\n> <!--THE END-->\n>\n> - b"),
+        ("<a href='/a(b)'>l</a>\u2003x", "[l](</a(b)>)\u2003x"),
+        ("<a href='/x' title='say \"a\"'>l</a>", '[l](/x "say \\"a\\"")'),
+    ]
 )
-def test_markdown(html, markdown):
-    assert read(html).markdown() == markdown
+
+
+def test_markdown(spark):
+    pages = spark.createDataFrame([(i, html) for i, (html, _) in enumerate(MARKDOWN)], "i int, html string")
+    got = {r["i"]: r["markdown"] for r in parse_pages(pages).collect()}
+    for i, (html, want) in enumerate(MARKDOWN):
+        assert got[i] == want, html
+
+
+def visible(blocks) -> str:
+    return "".join(s[1] for b in blocks for s in b[6] if s[0] == "text")
+
+
+def test_blocks_keep_the_text():
+    """Whatever the tags, the spans hold the page's words in order, and none begins or ends a format with a blank."""
+    rng = random.Random(4)
+    tags = ["b", "i", "a", "code", "p", "li", "ul", "div", "blockquote", "h2", "em", "td", "br"]
+    for _ in range(400):
+        html, words = "<p>", []
+        for k in range(rng.randrange(30)):
+            tag = rng.choice(tags)
+            html += rng.choice([f"<{tag} href=/{k % 3}>", f"</{tag}>", " ", f"w{k}", f" w{k} "])
+            words += [f"w{k}"] if html.rstrip().endswith(f"w{k}") else []
+        blocks = read(html).blocks()
+        assert visible(blocks).replace(" ", "") == "".join(words), html
+        for block in blocks:
+            spans = block[6]
+            for before, span in zip([None, *spans], spans):
+                if before and span[0] == before[0] == "text":
+                    assert before[2:] != span[2:], html
+                for fields in ((5, 6), (5, 6, 2), (5, 6, 2, 3), (5, 6, 2, 3, 4)):
+                    begins = span[fields[-1]] or (fields == (5, 6) and span[5])
+                    if begins and (before is None or any(before[f] != span[f] for f in fields)):
+                        assert not (span[0] == "text" and span[1].startswith(" ")), html
+
+
+def test_deep_lists_take_linear_time():
+    def seconds(n):
+        deep = "<ul><li>" * n + "x" + "</ul>" * n
+        times = []
+        for _ in range(3):
+            start = time.process_time()
+            blocks = read(deep).blocks()
+            times.append(time.process_time() - start)
+        assert len(blocks) == 1 and blocks[0][3] == "- " * n
+        return min(times)
+
+    assert seconds(4000) < 8 * seconds(1000)
+
+
+def test_markdown_is_written_outside_of_python(spark):
+    pages = spark.createDataFrame([("u", "<p>a <b>b</b>")], "url string, html string")
+    plan = parse_pages(pages).select("markdown")._jdf.queryExecution().executedPlan().toString()
+    assert "array_join" in plan and "blocks" in plan
