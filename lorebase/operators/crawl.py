@@ -9,70 +9,68 @@ from pyspark.sql import functions as F
 
 from lorebase.operators.extract import locate, resolve_links
 from lorebase.operators.ordering import join_one
-from lorebase.session import ROWS_PER_TASK, materialize
+from lorebase.session import ROWS_PER_TASK, broadcast_if_small, materialize
 
 DEFAULT_DEPTH = 5
+LINKS = ["key", "page_url", "hrefs", "error"]
+"""What a crawl needs to know of a page."""
 
 
 def page_index(parsed: DataFrame) -> DataFrame:
     """One row per fetch key (URL without fragment) with all columns of the page.
 
-    Of several captures of one key the greatest (url, checksum of the Markdown) stays.
+    Of several captures of one key the greatest (url, checksum of the Markdown) stays. The pages
+    are written once, with their key; which of them go is found on keys and checksums, and only
+    the keys that occur more than once are joined back. Contents are neither sorted nor aggregated.
     """
+    shown = [F.col("url").alias("page_url"), *[F.col(c) for c in parsed.columns if c != "url"]]
+    checked = F.sha2(F.coalesce("markdown", F.lit("")), 256).alias("_sha")
     located = locate(parsed).filter(F.col("_at.key").isNotNull())
-    columns = F.struct(F.col("url").alias("page_url"), *[c for c in parsed.columns if c != "url"])
-    version = F.struct("url", F.sha2(F.coalesce("markdown", F.lit("")), 256))
-    return (
-        located.groupBy(F.col("_at.key").alias("key"))
-        .agg(F.max_by(columns, version).alias("_page"))
-        .select("key", "_page.*")
-    )
+    pages = materialize(located.select(F.col("_at.key").alias("key"), *shown, checked, F.monotonically_increasing_id().alias("_row")), "pages")
+    versions = pages.groupBy("key").agg(F.max(F.struct("page_url", "_sha", "_row")).alias("_last"), F.count("*").alias("_n"))
+    several = materialize(versions.filter("_n > 1").select("key", F.col("_last._row").alias("_kept")), "captures")
+    if not several.isEmpty():
+        pages = pages.join(broadcast_if_small(several), "key", "left").filter("_kept IS NULL OR _kept = _row").drop("_kept")
+    return pages.drop("_sha", "_row")
 
 
 def crawl(index: DataFrame, seeds: DataFrame, max_depth: int = DEFAULT_DEPTH, resolve: str = "base") -> DataFrame:
     """Pages reached from each seed: (base_url, url, key, path, depth), depth being the least number of links.
 
-    ``index`` holds one row per page with key, hrefs, error (and page_url), best bucketed by
-    key (``materialize_by``) since every round joins it. Each round joins
-    the frontier to the pages that exist, follows their links on the base's host, and drops
-    URLs that were tried before. URLs differing only in query or fragment are separate visits.
-    A round carries URLs only; it is written to the shared folder, so rounds do not pile up
-    lineage and a lost executor costs one round's tasks at most. ``resolve='page'`` resolves
-    links against the page they are on rather than against the base.
+    ``index`` holds one row per page with key, page_url, hrefs and error, best written and bucketed
+    by key (``materialize_by``) since every round joins it. A round takes the URLs not tried before
+    on the base's host, joins them to the index, once, and writes what was found of each with its
+    links: the next round follows these links, the result is read from these tables, and a lost
+    executor costs one round's tasks at most. URLs differing only in query or fragment are separate
+    visits. ``resolve='page'`` resolves links against the page they are on rather than the base.
     """
     if max_depth < 0:
         raise ValueError("max_depth must not be negative")
     if resolve not in ("base", "page"):
         raise ValueError("resolve must be 'base' or 'page'")
-    pages = index.select("key", "page_url", "hrefs", "error")
-    visit = ["base_url", "url"]
-    at = [F.col("_at.url").alias("url"), F.col("_at.key").alias("key"), F.col("_at.path").alias("path")]
-    frontier = materialize(
-        locate(seeds.select("base_url").distinct(), "base_url").filter(F.col("_at.url").isNotNull()).select("base_url", *at),
-        "crawl",
-    )
-    tried, found, size = [frontier.select(*visit)], [], frontier.count()
+    pages = index.select(*LINKS, F.lit(True).alias("_found"))
+    visit, against = ["base_url", "url"], "page_url" if resolve == "page" else "base_url"
+    at = [F.col(name).alias(name.split(".")[1]) for name in ("_at.url", "_at.key", "_at.path")]
+    targets = locate(seeds.select("base_url").distinct(), "base_url").filter(F.col("_at.url").isNotNull()).select("base_url", *at)
+    tried, reached, size = [], [], 0
     for depth in range(max_depth + 1):
-        fetched = frontier.join(pages.select("key"), "key", "left_semi").select("base_url", "url", "key", "path")
-        found.append(fetched.withColumn("depth", F.lit(depth)))
-        if depth == max_depth:
-            break
-        # A page whose parse failed is kept, but its links are not followed.
-        followed = pages.filter(F.col("error").isNull())
-        # A key can only be frequent in a large frontier.
-        sources = join_one(frontier, followed, "key") if size > ROWS_PER_TASK else frontier.join(followed, "key")
-        origin = ["base_url", *(["page_url"] if resolve == "page" else [])]
-        edges = sources.select(*origin, F.explode("hrefs").alias("href")).distinct()
-        links = resolve_links(edges, "base_url", "page_url" if resolve == "page" else None)
-        targets = links.select(
-            "base_url", F.col("_to.url").alias("url"), F.col("_to.key").alias("key"), F.col("_to.path").alias("path")
-        ).dropDuplicates(visit)
-        frontier = materialize(targets.join(reduce(DataFrame.unionByName, tried), visit, "left_anti"), "crawl")
-        size = frontier.count()  # from the Parquet footers
+        if size > ROWS_PER_TASK:  # a key can only be frequent among many URLs
+            visits = join_one(materialize(targets, "targets"), pages, "key", how="left")
+        else:
+            visits = targets.join(pages, "key", "left")
+        visits = materialize(visits, "crawl")
+        size = visits.count()  # from the Parquet footers
         if size == 0:
             break
-        tried.append(frontier.select(*visit))
-    return reduce(DataFrame.unionByName, found)
+        reached.append(visits.filter("_found").select("base_url", "url", "key", "path", F.lit(depth).alias("depth")))
+        tried.append(visits.select(*visit))
+        # A page whose parse failed is kept, but its links are not followed.
+        origin = dict.fromkeys(["base_url", against])
+        edges = visits.filter("_found AND error IS NULL").select(*origin, F.explode("hrefs").alias("href")).distinct()
+        links = resolve_links(edges, "base_url", against)
+        to = [F.col(f"_to.{name}").alias(name) for name in ("url", "key", "path")]
+        targets = links.select("base_url", *to).dropDuplicates(visit).join(reduce(DataFrame.unionByName, tried), visit, "left_anti")
+    return reduce(DataFrame.unionByName, reached) if reached else targets.limit(0).withColumn("depth", F.lit(0))
 
 
 def crawl_paths(reached: DataFrame) -> DataFrame:

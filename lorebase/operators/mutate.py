@@ -8,27 +8,31 @@ from pyspark.sql import functions as F
 from lorebase.functions.text import like_prefix
 from lorebase.operators.scan import documents
 from lorebase.schema import KB_COLUMNS, conform
-from lorebase.session import BROADCAST_BYTES, fits_broadcast, materialize
+from lorebase.session import BROADCAST_BYTES, broadcast_if_small, fits_broadcast, materialize
 
 
 def latest_by_url(incoming: DataFrame, order_col: str | None = None) -> DataFrame:
-    """Last write per url. Combined on the map side, so a url repeated in a third of the rows is fine.
+    """Last write per url. A url repeated in a third of the rows is fine.
 
-    Rows with the same order value are settled by all of their contents, never by arrival.
-    Without an order column, a url that occurs with different contents is an error: nothing
-    tells which of them is the last.
+    Rows with the same order value are settled by their contents, never by arrival. Without an
+    order column, a url that occurs with different contents is an error: nothing tells which of
+    them is the last. The rows are written once, here; the last of each url is found on order
+    values and digests, and only urls that occur more than once are joined back, so contents are
+    neither sorted nor aggregated.
     """
-    docs = conform(incoming, *([F.col(order_col).alias("_order")] if order_col else []))
-    stored = F.struct(*KB_COLUMNS)
-    contents = F.struct("checksum", "context", "title", "description", "source_type", "content", "embeddings")
-    if order_col:
-        last = docs.groupBy("url").agg(F.max_by(stored, F.struct("_order", contents)).alias("_doc"))
-        return conform(last.select("_doc.*"))
-    mark = F.xxhash64(*KB_COLUMNS)
-    last = docs.groupBy("url").agg(F.any_value(stored).alias("_doc"), F.min(mark).alias("_a"), F.max(mark).alias("_b"))
-    unclear = F.raise_error(F.concat(F.lit("order column needed: different documents for "), F.col("_doc.url")))
-    checked = F.when(F.col("_a") == F.col("_b"), F.col("_doc")).otherwise(unclear.cast(docs.select(stored.alias("s")).schema["s"].dataType))
-    return conform(last.select(checked.alias("_doc")).select("_doc.*"))
+    order = F.col(order_col) if order_col else F.lit(0)
+    docs = conform(incoming, order.alias("_order"), F.monotonically_increasing_id().alias("_row"))
+    docs = materialize(docs.withColumn("_mark", F.xxhash64(*KB_COLUMNS)), "incoming")
+    last = F.max(F.struct("_order", "checksum", "context", "_mark", "_row")).alias("_last")
+    versions = docs.groupBy("url").agg(last, F.count("*").alias("_n"), F.min("_mark").alias("_a"), F.max("_mark").alias("_b"))
+    kept = F.col("_last._row")
+    if not order_col:
+        unclear = F.raise_error(F.concat(F.lit("order column needed: different documents for "), F.col("url")))
+        kept = F.when(F.col("_a") == F.col("_b"), kept).otherwise(unclear.cast("long"))
+    several = materialize(versions.filter("_n > 1").select("url", kept.alias("_kept")), "versions")
+    if not several.isEmpty():
+        docs = docs.join(broadcast_if_small(several), "url", "left").filter("_kept IS NULL OR _kept = _row")
+    return docs.select(*KB_COLUMNS)
 
 
 def keep_others(kb: DataFrame, urls: DataFrame, max_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
@@ -53,10 +57,10 @@ def without_urls(kb: DataFrame, urls: DataFrame, max_bytes: int = BROADCAST_BYTE
 def upsert(kb: DataFrame, incoming: DataFrame, order_col: str | None = None) -> DataFrame:
     """Insert or replace by url: every column is replaced, so a new context moves the document.
 
-    ``incoming`` is read twice (keys, rows); materialize it first when it is costly to compute.
+    ``incoming`` is read and written once.
     """
     latest = latest_by_url(incoming, order_col)
-    kept = without_urls(documents(kb), incoming.select("url").distinct())
+    kept = without_urls(documents(kb), latest.select("url"))
     return kept.unionByName(latest)
 
 

@@ -23,22 +23,22 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return sizes.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first()["n"]
 
 
-def join_one(left: DataFrame, right: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Inner join to a ``right`` side with unique keys, when some keys of ``left`` may be very frequent.
+def join_one(left: DataFrame, right: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK, how: str = "inner") -> DataFrame:
+    """Inner or left join to a ``right`` side with unique keys, when some keys of ``left`` may be very frequent.
 
     Keys with more than ``rows_per_task`` rows are spread over salts, and only their rows of
     ``right`` are repeated. There are at most count/rows_per_task such keys, few enough to
     broadcast. Without any, this is a plain join, which can use the bucketing of ``right``.
     """
     if largest_group(left, [key]) <= rows_per_task:
-        return left.join(right, key)
+        return left.join(right, key, how)
     parts = F.ceil(F.col("_n") / rows_per_task).cast("int")
     frequent = left.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > rows_per_task)
     frequent = F.broadcast(frequent.select(key, parts.alias("_parts")))
     salts = F.coalesce("_parts", F.lit(1))
     spread = left.join(frequent, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*left.columns), salts).cast("int"))
     copies = right.join(frequent, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    return spread.drop("_parts").join(copies.drop("_parts"), [key, "_salt"]).drop("_salt")
+    return spread.drop("_parts").join(copies.drop("_parts"), [key, "_salt"], how).drop("_salt")
 
 
 def ordered_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 
 from lorebase.functions.topk import QuerySlice, TopK
 from lorebase.functions.vectors import cosine_from, dot, magnitude, vector_length
-from lorebase.operators.ordering import DRIVER_ROWS, index_within, ordered_slice
+from lorebase.operators.ordering import DRIVER_ROWS, best_within, index_within, ordered_slice
 from lorebase.operators.scan import in_context
 from lorebase.session import broadcast_if_small, materialize
 
@@ -21,8 +22,10 @@ SLICE_BYTES = 32 << 20
 """Query vectors held by one task at a time."""
 SLICE_HITS = 4_000_000
 """Partial results (queries x k) held by one task at a time."""
-CELL_BYTES = 64 << 20
-"""Document vectors in one cell of the query-slice x document-block grid."""
+MERGE_PARTS = 64
+"""Parts of the tasks whose hits are merged first, each by itself (see ``_merged``)."""
+LIMITED_K = 1000
+"""Up to this k the engine itself keeps no more than k rows of a ranked window before its shuffle."""
 
 
 def _query_column(query: Sequence[float] | DataFrame) -> Column:
@@ -116,14 +119,17 @@ def _stream_topk(load: Callable[[], QuerySlice], k: int, threshold: float):
     return run
 
 
-def _cell_topk(k: int, threshold: float):
-    def run(docs: pa.Table, queries: pa.Table) -> pa.Table:
-        best = TopK(QuerySlice(queries.column("query_id"), queries.column("embedding")), k, threshold)
-        for batch in docs.select(["url", "embeddings"]).to_batches():
-            best.add(batch.column(0), batch.column(1))
-        return best.result()
+def _merged(part: DataFrame, top_k: int) -> DataFrame:
+    """The k best of the tasks' partial hits: by (query, part of the tasks), then by query.
 
-    return run
+    No task sees a query's hits from all tasks at once. Above ``LIMITED_K`` the tasks are dealt to
+    more parts, and these are merged ``MERGE_PARTS`` at a time, because the engine no longer cuts
+    a window's input there.
+    """
+    parts = MERGE_PARTS if top_k <= LIMITED_K else MERGE_PARTS**2
+    best = [F.col("score").desc(), F.col("url")]
+    top = best_within(part, ["query_id"], best, top_k, F.xxhash64(F.spark_partition_id()), parts, MERGE_PARTS)
+    return top.withColumn("rank", F.col("rank").cast("long"))
 
 
 def search_batch(
@@ -134,16 +140,16 @@ def search_batch(
     context: str | None = None,
     slice_bytes: int = SLICE_BYTES,
     slice_hits: int = SLICE_HITS,
-    cell_bytes: int = CELL_BYTES,
 ) -> DataFrame:
     """Exact top-k for every row of ``queries(query_id, embedding)`` with score >= threshold.
 
     Pairs are scored block against block inside tasks and never become rows: each task emits
-    at most k rows per query, and a final per-query window merges those.
+    at most k rows per query, and the merge takes them in two levels.
 
-    The query side is measured first. If it fits one slice it is broadcast and the documents
-    are streamed past it without a shuffle. Otherwise both sides are laid out on a grid of
-    query slices x document blocks, one bounded cell per group. Both layouts are exact.
+    The query side is measured first. If it fits one slice it is shipped to the tasks and the
+    documents are streamed past it without a shuffle. Otherwise the queries are dealt into slices,
+    and the vectors, written once, are scanned for one slice after the other: the driver holds one
+    slice at a time, and documents are neither copied nor shuffled. Both ways are exact.
     """
     if top_k <= 0:
         raise ValueError("top_k must be positive")
@@ -152,27 +158,19 @@ def search_batch(
     size = measure(asked, "query_id", "embedding")
     sink = _sink(queries.schema["query_id"].dataType)
     slices = max(1, math.ceil(size["bytes"] / slice_bytes), math.ceil(size["n"] * top_k / slice_hits))
+
+    def scan(of: DataFrame) -> DataFrame:
+        packed = of.sparkSession.sparkContext.broadcast(of.toArrow())
+        return _merged(docs.mapInArrow(_stream_topk(lambda: QuerySlice.from_table(packed.value), top_k, threshold), sink), top_k)
+
     if slices == 1:
-        packed = asked.sparkSession.sparkContext.broadcast(asked.toArrow())
-        part = docs.mapInArrow(_stream_topk(lambda: QuerySlice.from_table(packed.value), top_k, threshold), sink)
-    else:
-        blocks = max(1, math.ceil(measure(docs, "url", "embeddings")["bytes"] / cell_bytes))
-        left = docs.select(
-            "url",
-            "embeddings",
-            F.pmod(F.xxhash64("url"), F.lit(blocks)).alias("block"),
-            F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"),
-        )
-        right = asked.select(
-            "query_id",
-            "embedding",
-            F.pmod(F.xxhash64("query_id"), F.lit(slices)).cast("int").alias("slice"),
-            F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"),
-        )
-        part = (
-            left.groupBy("block", "slice")
-            .cogroup(right.groupBy("block", "slice"))
-            .applyInArrow(_cell_topk(top_k, threshold), sink)
-        )
-    ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("url"))
-    return part.withColumn("rank", F.row_number().over(ranked).cast("long")).filter(F.col("rank") <= top_k)
+        return scan(asked)
+    docs = materialize(docs, "vectors")
+    # Dealt by row and not by id, so that a slice keeps its size whatever ids repeat.
+    asked = materialize(asked.withColumn("_row", F.monotonically_increasing_id()), "queries")
+    of_slice = F.pmod(F.xxhash64("_row"), F.lit(slices))
+    done = [materialize(scan(asked.filter(of_slice == s).drop("_row")), "hits").drop("rank") for s in range(slices)]
+    # Only an id that several slices hold has more than k hits here.
+    best = [F.col("score").desc(), F.col("url")]
+    top = best_within(reduce(DataFrame.unionByName, done), ["query_id"], best, top_k, F.xxhash64("url"), MERGE_PARTS, MERGE_PARTS)
+    return top.withColumn("rank", F.col("rank").cast("long"))

@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorebase.operators.crawl import DEFAULT_DEPTH, crawl, last_page_per_path, page_index
+from lorebase.operators.crawl import DEFAULT_DEPTH, LINKS, crawl, last_page_per_path, page_index
 from lorebase.operators.embed import Embedder, embed, split_rejects
 from lorebase.operators.extract import locate, parse_pages, stamp_site_metadata
 from lorebase.operators.ordering import join_one
@@ -44,12 +44,13 @@ def site_pages(pages: DataFrame, seeds: DataFrame) -> DataFrame:
 def crawl_site(
     pages: DataFrame, seeds: DataFrame, max_depth: int = DEFAULT_DEPTH, resolve: str = "base"
 ) -> tuple[DataFrame, DataFrame]:
-    """(one page per path with its key, page index). Pages are parsed once and the result is written."""
+    """(one page per path with its key, all pages by key). Pages are parsed once and the result is written."""
     own = site_pages(pages, seeds).select("url", "html")
     parsed = parse_pages(own).withColumn("html_length", F.octet_length("html")).drop("html", "main_text")
-    index = materialize_by(page_index(parsed), "key", "pages")
+    contents = page_index(parsed)
+    index = materialize_by(contents.select(*LINKS), "key", "index")
     winners = last_page_per_path(crawl(index, seeds, max_depth, resolve))
-    return materialize(winners, "winners"), index
+    return materialize(winners, "winners"), contents
 
 
 def ingest_site(
@@ -67,11 +68,11 @@ def ingest_site(
 
     Every document takes title and description of its base page unless ``per_page``.
     """
-    winners, index = crawl_site(pages, seeds, max_depth, resolve)
-    content = join_one(winners, index, "key").withColumnRenamed("markdown", "content")
+    winners, contents = crawl_site(pages, seeds, max_depth, resolve)
+    content = join_one(winners, contents, "key").withColumnRenamed("markdown", "content")
     if not per_page:
         bases = locate(seeds.select("base_url").distinct(), "base_url").select("base_url", F.col("_at.key").alias("key"))
-        base_meta = bases.join(index.select("key", "title", "description"), "key")
+        base_meta = bases.join(contents.select("key", "title", "description"), "key")
         content = stamp_site_metadata(content, materialize(base_meta.drop("key"), "sites"))
     docs = make_documents(content.filter(F.col("error").isNull()), context, "web_scrape", url_mode)
     done = embed_documents(docs, embedder, skip_unchanged)

@@ -219,6 +219,8 @@ ORACLES: dict[str, str] = {
     "search_batch_threshold": f"""WITH {KB}, {PAIRS} WHERE score >= 0.25)
         SELECT query_id, url, score, rank FROM ranked WHERE rank <= 8""",
     "search_batch_grid": f"WITH {KB}, {PAIRS}) SELECT query_id, url, score, rank FROM ranked WHERE rank <= 5",
+    "search_batch_wide": f"""WITH {KB}, {PAIRS} WHERE query_id % 10 = 0)
+        SELECT query_id, url, score, rank FROM ranked WHERE rank <= 1500""",
     "cosine_pairs": f"""SELECT a.vec_id, {cosine("a.embedding", "b.embedding")} AS score
         FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
     "embedding_json_roundtrip": f"""SELECT vec_id, len(embedding) AS length, {dot("embedding", "embedding")} AS square,

@@ -126,12 +126,16 @@ def search_batch_threshold(spark, sf_dir):
 
 @query
 def search_batch_grid(spark, sf_dir):
-    """The same search in the layout for query tables too large to broadcast: a grid of at least 3 x 3 cells."""
+    """The same search in the layout for query tables too large to ship at once: a scan for each of at least three slices."""
     kb, asked = bed.derived_kb(spark, sf_dir), bed.query_table(spark, sf_dir)
     third = search.measure(asked, "query_id", "embedding")["bytes"] // 3
-    return search.search_batch(
-        kb, asked, 5, -1.0, slice_bytes=min(search.SLICE_BYTES, third), cell_bytes=min(search.CELL_BYTES, third)
-    )
+    return search.search_batch(kb, asked, 5, -1.0, slice_bytes=min(search.SLICE_BYTES, third))
+
+
+@query
+def search_batch_wide(spark, sf_dir):
+    """More hits of each query than the engine limits a ranked window to."""
+    return search.search_batch(bed.derived_kb(spark, sf_dir), bed.query_table(spark, sf_dir).filter("query_id % 10 = 0"), 1500, -1.0)
 
 
 @query
@@ -205,11 +209,11 @@ def checksums(spark, sf_dir):
 
 @query
 def kb_store(spark, sf_dir):
-    """The same upsert and a prefix delete through snapshots on disk, the second upsert in place."""
+    """The same upsert and a prefix delete through snapshots on disk."""
     kb = KnowledgeBase.open(spark, new_work_path(spark, "kb"))
     kb.upsert(bed.derived_kb(spark, sf_dir))
     kb.delete_prefix("doc://src1/", literal=True)
-    kb.upsert(bed.upsert_batch(spark, sf_dir), "seq", in_place=True)
+    kb.upsert(bed.upsert_batch(spark, sf_dir), "seq")
     return flat(kb.documents())
 
 
@@ -309,9 +313,9 @@ def site_metadata(spark, sf_dir):
 
 def crawled(spark, sf_dir, max_depth=crawl.DEFAULT_DEPTH):
     pages = materialize(bed.linked_pages(spark, sf_dir), "linked")
-    index = crawl.page_index(extract.parse_pages(pages.select("url", "html")).drop("main_text"))
-    index = materialize_by(index, "key", "index")
-    return crawl.crawl(index, bed.site_seeds(pages), max_depth), index
+    contents = crawl.page_index(extract.parse_pages(pages.select("url", "html")).drop("main_text"))
+    index = materialize_by(contents.select(*crawl.LINKS), "key", "index")
+    return crawl.crawl(index, bed.site_seeds(pages), max_depth), contents
 
 
 @query
@@ -336,14 +340,14 @@ def crawl_last_page(spark, sf_dir):
 
 @query
 def crawl_report(spark, sf_dir):
-    reached, index = crawled(spark, sf_dir)
-    return crawl.crawl_report(crawl.last_page_per_path(reached).join(index.select("key", "html"), "key"))
+    reached, contents = crawled(spark, sf_dir)
+    return crawl.crawl_report(crawl.last_page_per_path(reached).join(contents.select("key", "html"), "key"))
 
 
 @query
 def page_maps(spark, sf_dir):
-    reached, index = crawled(spark, sf_dir)
-    return extract.page_maps(crawl.last_page_per_path(reached).join(index.select("key", "html", "markdown"), "key"))
+    reached, contents = crawled(spark, sf_dir)
+    return extract.page_maps(crawl.last_page_per_path(reached).join(contents.select("key", "html", "markdown"), "key"))
 
 
 @query

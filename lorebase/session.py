@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BROADCAST_BYTES = 64 << 20
 """Largest join side that is shipped to every executor."""
@@ -99,10 +100,13 @@ def fits_broadcast(df: DataFrame, columns: list[str], max_bytes: int = BROADCAST
 
 
 def measured_bytes(df: DataFrame, columns: list[str]) -> int:
-    # 64 bytes per row cover the hash table entry and fixed-width values.
+    # 64 bytes per row cover the hash table entry and fixed-width values; 8 an item of an array of numbers.
     width = F.lit(64)
     for name in columns:
-        width = width + F.coalesce(F.octet_length(F.col(name).cast("string")), F.lit(0))
+        kind = df.schema[name].dataType
+        numbers = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType)
+        size = 8 * F.size(name) if numbers else F.octet_length(F.col(name).cast("string"))
+        width = width + F.greatest(F.coalesce(size, F.lit(0)), F.lit(0))
     return df.select(F.coalesce(F.sum(width.cast("long")), F.lit(0)).alias("n")).first()["n"]
 
 

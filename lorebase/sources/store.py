@@ -1,14 +1,20 @@
-"""The knowledge base on disk: immutable Parquet snapshots, hash-partitioned by url.
-
-``<path>/buckets=<B>/v=<n>/bucket=<b>/*.parquet``; a snapshot counts once Spark's _SUCCESS
-marker is there. One writer at a time. A url lives in exactly one bucket, so a lookup reads
-one bucket and an in-place upsert rewrites only the buckets its urls fall in.
+"""The knowledge base on disk: Parquet files by bucket, and a table of which of them make up a snapshot.
+
+A url lives in one of B buckets, by its hash. ``<path>/data/buckets=<B>/v=<n>/bucket=<b>/`` holds a
+bucket as version n wrote it, sorted by url in files of disjoint ranges, and
+``<path>/snapshots/snapshot=<n>/`` names the version that each bucket of snapshot n has. A change
+writes the buckets it touches to a new version and then, as one file, the new table: until that file
+is there readers see the old snapshot, and no file that a snapshot names is ever replaced. Versions
+that no wanted snapshot names can be removed by hand. One writer at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Collection, Sequence
+from typing import NamedTuple
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,11 +23,24 @@ from lorebase.operators import mutate, scan
 from lorebase.operators import search as vector_search
 from lorebase.operators.embed import Embedder, embed_query
 from lorebase.schema import KB_COLUMNS, KB_SCHEMA, conform
-from lorebase.session import materialize
+from lorebase.session import materialize, measured_bytes
 
 STORED_SCHEMA = T.StructType([*KB_SCHEMA.fields, T.StructField("bucket", T.IntegerType())])
-DEFAULT_BUCKETS = 16
+TABLE = "buckets int, bucket int, version int"
+FEWEST_BUCKETS = 16
 MAX_BUCKETS = 65_536
+BUCKET_BYTES = 1 << 30
+"""Size of a bucket that the first upsert aims at."""
+FILE_BYTES = 128 << 20
+"""Size of a range of urls, before compression, that is written as one file of a bucket."""
+
+
+class Snapshot(NamedTuple):
+    number: int
+    buckets: int
+    """Number of buckets; 0 as long as nothing was ever written."""
+    versions: dict[int, int]
+    """Bucket -> version; a bucket without documents has none."""
 
 
 def bucket_of(url: Column, buckets: int) -> Column:
@@ -31,109 +50,132 @@ def bucket_of(url: Column, buckets: int) -> Column:
 class KnowledgeBase:
     """A handle on the newest snapshot under ``path``."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int):
-        self.spark, self.path, self.buckets = spark, path, buckets
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, buckets: int = DEFAULT_BUCKETS) -> KnowledgeBase:
+    def open(cls, spark: SparkSession, path: str, buckets: int | None = None) -> KnowledgeBase:
         """Open, creating an empty knowledge base if there is none.
 
-        ``buckets`` sets the layout at creation (aim at about 1 GB per bucket); ``rebucket`` refines it.
+        ``buckets`` sets the layout at creation. Without it the first upsert measures its documents
+        and takes one bucket for each ``BUCKET_BYTES``; ``rebucket`` refines the layout later.
         """
-        if not 0 < buckets <= MAX_BUCKETS:
+        if buckets is not None and not 0 < buckets <= MAX_BUCKETS:
             raise ValueError(f"buckets must be between 1 and {MAX_BUCKETS}")
-        path = path.rstrip("/")
-        found = _numbered_dirs(spark, path, "buckets=")
-        kb = cls(spark, path, found[-1] if found else buckets)
+        kb = cls(spark, path)
         if kb.version() is None:
-            kb._write(spark.createDataFrame([], STORED_SCHEMA), 0)
+            kb._publish(Snapshot(0, buckets or 0, {}))
         return kb
 
     # -- snapshots ---------------------------------------------------------------
 
-    def _root(self) -> str:
-        return f"{self.path}/buckets={self.buckets}"
-
-    def _snapshot(self, version: int) -> str:
-        return f"{self._root()}/v={version}"
-
     def version(self) -> int | None:
-        """The newest complete snapshot."""
-        for v in reversed(_numbered_dirs(self.spark, self._root(), "v=")):
-            if _exists(self.spark, f"{self._snapshot(v)}/_SUCCESS"):
-                return v
-        return None
-
-    def stored(self) -> DataFrame:
-        """All documents with their bucket, which filters and joins can prune on."""
-        return self.spark.read.schema(STORED_SCHEMA).parquet(self._snapshot(self.version()))
+        """The newest snapshot, from the names of the files alone."""
+        try:
+            files = self.spark.read.schema(TABLE).parquet(f"{self.path}/snapshots").inputFiles()
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise
+        return max((int(n) for f in files for n in re.findall(r"/snapshot=([0-9]+)/", f)), default=None)
+
+    def snapshot(self, number: int | None = None) -> Snapshot:
+        """The table of a snapshot, of the newest by default: a row for each bucket, at most ``MAX_BUCKETS``."""
+        number = self.version() if number is None else number
+        rows = self.spark.read.schema(TABLE).parquet(f"{self.path}/snapshots/snapshot={number}").collect()
+        return Snapshot(number, rows[0]["buckets"], {r["bucket"]: r["version"] for r in rows if r["bucket"] >= 0})
+
+    @property
+    def buckets(self) -> int:
+        return self.snapshot().buckets
+
+    def _folder(self, buckets: int, version: int) -> str:
+        return f"{self.path}/data/buckets={buckets}/v={version}"
+
+    def stored(self, snapshot: Snapshot | None = None, only: Collection[int] | None = None) -> DataFrame:
+        """Documents with their bucket, which filters and joins can prune on; ``only`` of some buckets."""
+        now = snapshot or self.snapshot()
+        paths = [f"{self._folder(now.buckets, v)}/bucket={b}" for b, v in sorted(now.versions.items()) if only is None or b in only]
+        if not paths:
+            return self.spark.createDataFrame([], STORED_SCHEMA)
+        read = self.spark.read.schema(STORED_SCHEMA).option("basePath", f"{self.path}/data/buckets={now.buckets}")
+        return read.parquet(*paths).select(*STORED_SCHEMA.names)
 
     def documents(self) -> DataFrame:
         return scan.documents(self.stored())
 
     def rebucket(self, buckets: int) -> KnowledgeBase:
-        """The newest snapshot in more buckets, as a layout of its own that ``open`` finds from now on."""
-        if not self.buckets < buckets <= MAX_BUCKETS:
-            raise ValueError(f"buckets must be between {self.buckets + 1} and {MAX_BUCKETS}")
-        finer = KnowledgeBase(self.spark, self.path, buckets)
-        finer._write(finer._bucketed(self.documents()), 0)
-        return finer
-
-    def _bucketed(self, docs: DataFrame) -> DataFrame:
-        """Group rows by bucket for writing; AQE splits large buckets and merges small ones."""
-        return conform(docs, bucket_of(F.col("url"), self.buckets).alias("bucket")).hint("rebalance", "bucket")
-
-    def _write(self, rows: DataFrame, version: int, overwrite: str = "static") -> int:
-        """Write rows that already lie by bucket. Sorted files give url bounds per row group."""
-        (
-            rows.select(*STORED_SCHEMA.names)
-            .sortWithinPartitions("bucket", "url")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", overwrite)
-            .partitionBy("bucket")
-            .parquet(self._snapshot(version))
-        )
-        return version
+        """The newest snapshot in more buckets, and each bucket in files of disjoint ranges again."""
+        now = self.snapshot()
+        if not now.buckets < buckets <= MAX_BUCKETS:
+            raise ValueError(f"buckets must be between {now.buckets + 1} and {MAX_BUCKETS}")
+        finer = Snapshot(now.number, buckets, {})
+        self._write(self._ranged(scan.documents(self.stored(now)), buckets), finer, ())
+        return self
+
+    @staticmethod
+    def _ranged(docs: DataFrame, buckets: int) -> DataFrame:
+        """Documents in ranges of (bucket, url), as many as it takes for about ``FILE_BYTES`` in each."""
+        ranges = max(1, -(-measured_bytes(docs, KB_COLUMNS) // FILE_BYTES))
+        return conform(docs, bucket_of(F.col("url"), buckets).alias("bucket")).repartitionByRange(ranges, "bucket", "url")
+
+    def _write(self, rows: DataFrame, now: Snapshot, touched: Collection[int]) -> int:
+        """Write ``rows``, all there is of the ``touched`` buckets, as a new version, and publish it with the other buckets."""
+        number = now.number + 1
+        folder = self._folder(now.buckets, number)
+        # Sorted files give url bounds per row group. A folder that no snapshot names may be left from a crash.
+        ordered = rows.select(*STORED_SCHEMA.names).sortWithinPartitions("bucket", "url")
+        ordered.write.mode("overwrite").partitionBy("bucket").parquet(folder)
+        written = self.spark.read.schema(STORED_SCHEMA).parquet(folder).select("bucket").distinct().collect()
+        kept = {b: v for b, v in now.versions.items() if b not in touched}
+        return self._publish(Snapshot(number, now.buckets, kept | {r["bucket"]: number for r in written}))
+
+    def _publish(self, now: Snapshot) -> int:
+        """One small file, so the snapshot is there as a whole or not at all."""
+        rows = [(now.buckets, -1, now.number), *((now.buckets, b, v) for b, v in now.versions.items())]
+        self.spark.createDataFrame(rows, TABLE).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/snapshots/snapshot={now.number}")
+        return now.number
 
     # -- mutations ---------------------------------------------------------------
 
-    def upsert(self, incoming: DataFrame, order_col: str | None = None, in_place: bool = False) -> int:
+    def upsert(self, incoming: DataFrame, order_col: str | None = None) -> int:
         """Insert or replace by url, as a new snapshot.
 
-        The rows that stay are copied split by split as they lie in their buckets; only the
-        incoming ones are shuffled. ``in_place`` rewrites only the touched buckets of the newest
-        snapshot, which suits frequent small batches against a large table; readers must not
-        run meanwhile.
+        Only the buckets that the urls fall in are read and written. Their rows that stay are
+        copied split by split as they lie; only the incoming ones are shuffled.
         """
-        latest = materialize(mutate.latest_by_url(incoming, order_col), "batch")
-        urls, arriving, version = latest.select("url"), self._bucketed(latest), self.version()
-        if not in_place:
-            kept, in_buckets = mutate.keep_others(self.stored(), urls)
-            rows = kept.unionByName(arriving) if in_buckets else self._bucketed(kept.drop("bucket").unionByName(latest))
-            return self._write(rows, version + 1)
-        homes = latest.select(bucket_of(F.col("url"), self.buckets).alias("b")).distinct()
-        touched = [r["b"] for r in homes.collect()]  # at most MAX_BUCKETS numbers
-        if touched:
-            old = self.stored().filter(F.col("bucket").isin(touched))
-            merged = mutate.without_urls(old, urls).drop("bucket").unionByName(latest)
-            self._write(self._bucketed(merged), version, "dynamic")
-        return version
+        latest, now = materialize(mutate.latest_by_url(incoming, order_col), "batch"), self.snapshot()
+        if not now.buckets:
+            size = -(-measured_bytes(latest, KB_COLUMNS) // BUCKET_BYTES)
+            now = now._replace(buckets=min(max(size, FEWEST_BUCKETS), MAX_BUCKETS))
+        homes = latest.select(bucket_of(F.col("url"), now.buckets).alias("b")).distinct()
+        touched = {r["b"] for r in homes.collect()}  # at most MAX_BUCKETS numbers
+        if not touched:
+            return now.number
+        kept, in_buckets = mutate.keep_others(self.stored(now, touched), latest.select("url"))
+        if in_buckets:
+            return self._write(kept.unionByName(self._ranged(latest, now.buckets)), now, touched)
+        return self._write(self._ranged(kept.drop("bucket").unionByName(latest), now.buckets), now, touched)
 
     def delete_prefix(self, prefix: str, context: str | None = None, literal: bool = False) -> int:
-        kept = self.stored().filter(~mutate.prefix_match(prefix, context, literal))
-        return self._write(kept, self.version() + 1)
+        """Only buckets that hold such a document are written anew; they are found on url and context."""
+        now, gone = self.snapshot(), mutate.prefix_match(prefix, context, literal)
+        touched = {r["bucket"] for r in self.stored(now).filter(gone).select("bucket").distinct().collect()}
+        return self._write(self.stored(now, touched).filter(~gone), now, touched) if touched else now.number
 
     def clean(self) -> int:
-        return self._write(self.stored().filter(F.lit(False)), self.version() + 1)
+        now = self.snapshot()
+        return self._publish(Snapshot(now.number + 1, now.buckets, {}))
 
     # -- reads -------------------------------------------------------------------
 
     def get_document(self, url: str, context: str | None = None) -> dict:
         """One document; the bucket filter leaves one directory to read. KeyError if absent."""
-        home = self.stored().filter(F.col("bucket") == bucket_of(F.lit(url), self.buckets))
+        now = self.snapshot()
+        home = self.stored(now).filter(F.col("bucket") == bucket_of(F.lit(url), now.buckets)) if now.buckets else self.stored(now)
         rows = scan.get_document(home, url, context).take(1)
         if not rows:
-            raise KeyError(f"document not found: {url}")
+            raise KeyError(f"no document has the url {url}")
         return rows[0].asDict()
 
     def list_documents(self, limit: int = scan.DEFAULT_LIMIT, context: str | None = None) -> DataFrame:
@@ -159,32 +201,14 @@ class KnowledgeBase:
         The hits are found on the vectors alone; their contents are then read by bucket and url.
         """
         query = embed_query(query, embedder) if isinstance(query, str) else query
-        stored = self.stored()
+        now = self.snapshot()
+        stored = self.stored(now)
         if scan.in_context(stored, context).select("url").isEmpty():
             raise LookupError("the context holds nothing to search")
         hits = materialize(vector_search.search(stored, query, n, context), "hits")
-        homes = hits.select(bucket_of(F.col("url"), self.buckets).alias("b")).distinct()
-        buckets = [r["b"] for r in homes.collect()]  # at most MAX_BUCKETS numbers
-        return vector_search.search_output(stored.filter(F.col("bucket").isin(buckets)), hits).orderBy("rank")
-
-
-def _filesystem(spark: SparkSession, path: str):
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), target
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    fs, target = _filesystem(spark, path)
-    return fs.exists(target)
-
-
-def _numbered_dirs(spark: SparkSession, path: str, prefix: str) -> list[int]:
-    """Numbers n of the directories ``<path>/<prefix><n>``, ascending."""
-    fs, target = _filesystem(spark, path)
-    if not fs.exists(target):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(target) if s.isDirectory()]
-    return sorted(int(n[len(prefix) :]) for n in names if n.startswith(prefix) and n[len(prefix) :].isdigit())
+        homes = hits.select(bucket_of(F.col("url"), now.buckets).alias("b")).distinct()
+        buckets = {r["b"] for r in homes.collect()}  # at most MAX_BUCKETS numbers
+        return vector_search.search_output(self.stored(now, buckets), hits).orderBy("rank")
 
 
 assert KB_COLUMNS == STORED_SCHEMA.names[:-1]

@@ -20,7 +20,6 @@ def stream_ingest(
     rejects_path: str,
     embedder: Embedder | None = None,
     max_files_per_trigger: int = 10_000,
-    in_place: bool = False,
 ) -> StreamingQuery:
     """Ingest every file not seen before, then stop (trigger AvailableNow).
 
@@ -28,15 +27,13 @@ def stream_ingest(
     one file inside a batch are settled by modification time. Rejected files are written with
     their reasons below ``rejects_path``, a folder for each batch that a replay replaces.
 
-    Each batch makes a snapshot, which copies the table. ``in_place`` rewrites only the buckets a
-    batch touches instead; it replaces their only copy, so a crash while it moves files can lose
-    rows of these buckets. Use it where the table can be rebuilt.
+    Each batch makes a snapshot, for which only the buckets that it touches are written.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         done = embed_documents(file_documents(batch, context), embedder)
         done.rejects.write.mode("overwrite").parquet(f"{rejects_path}/batch={batch_id}")
-        kb.upsert(done.documents, "modified", in_place=in_place)
+        kb.upsert(done.documents, "modified")
 
     arriving = (
         spark.readStream.format("binaryFile")

@@ -39,9 +39,16 @@ def test_batch_search_has_no_pair_rows(spark, kb):
     queries = bed.query_table(spark, SF_DIR)
     text = plan(search.search_batch(kb.stored(), queries, 5))
     assert "WindowGroupLimit" in text and "NestedLoop" not in text and "CartesianProduct" not in text
-    assert text.count("Exchange") == 1  # only the merge of the partial results
-    grid = plan(search.search_batch(kb.stored(), queries, 5, slice_bytes=10_000, cell_bytes=20_000))
-    assert "FlatMapCoGroupsInArrow" in grid and "NestedLoop" not in grid
+    # Only the merge of the partial results, by (query, part of the tasks) and by query.
+    assert text.count("Exchange") == 2 and "hashpartitioning(query_id" in text and "_part" in text.split("Exchange")[2]
+    sliced = plan(search.search_batch(kb.stored(), queries, 5, slice_bytes=10_000))
+    assert "CoGroup" not in sliced and "NestedLoop" not in sliced and "embeddings" not in sliced
+
+
+def test_wide_batch_search_is_merged_in_levels(spark, kb):
+    text = plan(search.search_batch(kb.stored(), bed.query_table(spark, SF_DIR), 1500))
+    exchanges = [line for line in text.splitlines() if "Exchange" in line]
+    assert len(exchanges) == 3 and sum("_part" in line for line in exchanges) == 2
 
 
 def test_list_reads_contents_within_the_bounds_of_its_slice(kb):
@@ -64,6 +71,40 @@ def test_upsert_shuffles_keys_not_contents(spark, kb):
     assert "BroadcastHashJoin" in text and "LeftAnti" in text and "SortMergeJoin" not in text
 
 
+def test_contents_are_not_aggregated(spark, monkeypatch):
+    """Which row of a url or page stays is found on keys and digests."""
+    plans = []
+    keep = mutate.materialize
+
+    def noted(df, *label):
+        plans.append(plan(df))
+        return keep(df, *label)
+
+    monkeypatch.setattr(mutate, "materialize", noted)
+    monkeypatch.setattr(crawl, "materialize", noted)
+    plans.append(plan(mutate.latest_by_url(bed.upsert_batch(spark, SF_DIR), "seq")))
+    pages = bed.linked_pages(spark, SF_DIR).select("url", "html")
+    plans.append(plan(crawl.page_index(extract.parse_pages(pages).drop("main_text"))))
+    lines = [line for text in plans for line in text.splitlines()]
+    assert any("HashAggregate" in line for line in lines)
+    for line in lines:
+        if "Aggregate(" in line or "Exchange hashpartitioning" in line or "Sort [" in line:
+            assert not any(wide in line for wide in ("content", "html", "markdown", "embeddings")), line
+    assert sum("SortAggregate" in line for line in lines) == 0 or not any("_doc" in line or "_page" in line for line in lines)
+
+
+def test_a_round_of_a_crawl_meets_the_index_once(spark, monkeypatch):
+    pages = bed.linked_pages(spark, SF_DIR).select("url", "html")
+    index = materialize(crawl.page_index(extract.parse_pages(pages)).select(*crawl.LINKS), "the-index")
+    rounds = []
+    keep = crawl.materialize
+    monkeypatch.setattr(crawl, "materialize", lambda df, *label: rounds.append(plan(df)) or keep(df, *label))
+    seeds = pages.select(F.col("url").alias("base_url")).limit(1)
+    result = plan(crawl.crawl(index, seeds, 3))
+    assert rounds and all(text.count("the-index") == 1 for text in rounds)
+    assert "the-index" not in result and "Join" not in result
+
+
 def test_literal_prefix_delete_is_pushed_down(kb):
     text = plan(mutate.delete_prefix(kb.stored(), "doc://src1", literal=True))
     assert "Not(StringStartsWith(url,doc://src1))" in text

@@ -109,7 +109,7 @@ def test_search_beyond_the_top_n_plan(kb, monkeypatch):
     assert search.search(kb, [1.0, 2.0], 3).orderBy("rank").collect() == want
 
 
-@pytest.mark.parametrize("layout", [{}, {"slice_bytes": 100, "cell_bytes": 200}])
+@pytest.mark.parametrize("layout", [{}, {"slice_bytes": 100}, {"slice_hits": 4}])
 def test_search_batch_layouts(spark, kb, layout):
     asked = [("q1", [1.0, 2.0]), ("q2", [0.0, 1.0]), ("q3", [1.0, 1.0, 1.0]), ("q4", [0.0, 0.0]), ("q5", None)]
     queries = spark.createDataFrame(asked, "query_id string, embedding array<float>")
