@@ -35,7 +35,7 @@ from lorebase.operators.ordering import best_within
 from lorebase.session import broadcast_if_small, materialize, new_work_path
 
 THRESHOLD, LONGEST, TOP = 100, 5, 2000
-SHARDS = 4
+SHARDS = 3
 BITS = 24
 HELD = 1 << 19
 NEVER = 255
