@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lorebase.functions import urls
+from lorebase.functions import links, urls
 from lorebase.functions.blocks import BLOCKS, markdown
 from lorebase.functions.page import PageReader
-from lorebase.session import broadcast_if_small, spread_small
+from lorebase.operators.ordering import join_one
+from lorebase.session import fits_broadcast, spread_small
 
 STRING = T.StringType()
 PARSED = (
@@ -61,7 +62,7 @@ def _resolve(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Itera
             home, base = parse(site), parse(against)
             ref = urls.parse(href) if href is not None else None
             target = urls.resolve(base, ref) if home and base and ref else None
-            same = bool(target) and urls.host_of(target) == urls.host_of(home)
+            same = bool(target) and urls.host_of(target) == urls.host_of(home) != ""
             rows.append((*urls.describe(target), same))
         yield pd.DataFrame(rows, columns=RESOLVED.names)
 
@@ -79,8 +80,15 @@ def parse_pages(pages: DataFrame) -> DataFrame:
 
 
 def locate(df: DataFrame, url_col: str = "url") -> DataFrame:
-    """Add ``_at``: normalised url, host with port, decoded path and fetch key of a URL column."""
-    return df.withColumn("_at", _locate.asNondeterministic()(url_col))
+    """Add ``_at``: normalised url, host with port, decoded path and fetch key of a URL column.
+
+    Usual URLs are taken apart by expressions; of the others' rows only they go to Python, and of
+    the usual ones nothing.
+    """
+    usual = links.usual_url(F.col(url_col))
+    odd = _locate.asNondeterministic()(F.when(~usual, F.col(url_col)))
+    both = links.located(df, url_col, "_usual").withColumn("_odd", odd)
+    return both.withColumn("_at", F.when(usual, F.col("_usual")).otherwise(F.col("_odd"))).drop("_usual", "_odd")
 
 
 def link_edges(parsed: DataFrame, url_col: str = "url") -> DataFrame:
@@ -92,17 +100,23 @@ def resolve_links(edges: DataFrame, base_col: str = "base_url", against: str | N
     """Resolve each href and keep those on the host of the base; schemes may differ.
 
     References are resolved against the base URL of the site (``against`` names another
-    column, such as the page itself). Unusable references and other hosts drop out.
+    column, such as the page itself). Unusable references and other hosts drop out. Usual
+    references are resolved by expressions; a filter leaves the others to Python, so ``edges``
+    is read twice.
     """
-    site, origin, href = F.col(base_col), F.col(against or base_col), F.col("href")
-    resolved = edges.withColumn("_to", _resolve.asNondeterministic()(site, origin, href))
-    return resolved.filter("_to.same_site")
+    against, href = against or base_col, F.col("href")
+    usual = links.usual_reference(href) & links.usual_url(F.col(base_col)) & links.usual_url(F.col(against))
+    done = links.resolved(edges.filter(usual), base_col, against, "href", "_to")
+    odd = edges.filter(~usual & ~links.leads_nowhere(href)).dropna(subset=[base_col, against, "href"])
+    rest = odd.withColumn("_to", _resolve.asNondeterministic()(F.col(base_col), F.col(against), href))
+    return done.unionByName(rest).filter("_to.same_site")
 
 
 def stamp_site_metadata(pages: DataFrame, base_meta: DataFrame) -> DataFrame:
-    """Give every page of a site the title and description of its base page."""
+    """Give every page of a site the title and description of its base page; a site may hold a third of the pages."""
     meta = base_meta.select("base_url", "title", "description")
-    return pages.drop("title", "description").join(broadcast_if_small(meta), "base_url")
+    own = pages.drop("title", "description")
+    return own.join(F.broadcast(meta), "base_url") if fits_broadcast(meta, meta.columns) else join_one(own, meta, "base_url")
 
 
 def page_maps(pages: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorebase.functions import links
 from lorebase.operators.crawl import DEFAULT_DEPTH, LINKS, crawl, last_page_per_path, page_index
 from lorebase.operators.embed import Embedder, embed, split_rejects
 from lorebase.operators.extract import locate, parse_pages, stamp_site_metadata
@@ -35,10 +36,15 @@ def embed_documents(docs: DataFrame, embedder: Embedder | None = None, kb: DataF
 
 
 def site_pages(pages: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Valid pages on the hosts of the seeds; other pages cannot be reached and are not parsed."""
+    """Valid pages on the hosts of the seeds; other pages cannot be reached and are not parsed.
+
+    Pages whose address takes more than expressions to read stay: this only spares work.
+    """
     hosts = materialize(locate(seeds, "base_url").select(F.col("_at.host").alias("host")).distinct(), "hosts")
-    located = locate(valid_pages(pages)).withColumn("host", F.col("_at.host")).drop("_at")
-    return located.join(broadcast_if_small(hosts), "host", "left_semi").drop("host")
+    host = F.when(links.usual_url(F.col("url")), F.col("_here.host"))
+    located = links.located(valid_pages(pages), "url", "_here").withColumn("host", host).drop("_here")
+    wanted = broadcast_if_small(hosts.withColumn("_wanted", F.lit(True)))
+    return located.join(wanted, "host", "left").filter("_wanted OR host IS NULL").drop("host", "_wanted")
 
 
 def crawl_site(

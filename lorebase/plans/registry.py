@@ -294,10 +294,20 @@ def page_links(spark, sf_dir):
 @query
 def resolve_links(spark, sf_dir):
     edges = extract.link_edges(parsed(spark, sf_dir)).withColumn("base_url", F.col("src_url"))
-    found = extract.resolve_links(edges)
+    found = extract.resolve_links(materialize(edges, "edges"))
     return found.select("src_url", "ord", F.col("_to.host").alias("host"), F.col("_to.path").alias("path"))
 
 
+@query
+def resolve_references(spark, sf_dir):
+    """Every page's address as the base of every kind of reference, some of which lead nowhere or elsewhere."""
+    pages = bed.table(spark, sf_dir, "pages").select(F.col("url").alias("src_url"))
+    kinds = F.array(*[F.lit(r) for r in bed.REFERENCES])
+    edges = pages.select("src_url", F.col("src_url").alias("base_url"), F.posexplode(kinds).alias("ord", "href"))
+    found = extract.resolve_links(edges)
+    return found.select("src_url", "ord", *[F.col(f"_to.{c}").alias(c) for c in ("url", "host", "path", "key")])
+
+
 @query
 def site_metadata(spark, sf_dir):
     ranked = bed.ranked_pages(spark, sf_dir)

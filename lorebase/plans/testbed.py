@@ -37,6 +37,13 @@ def derived_kb(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+REFERENCES = [
+    "x/y", "../x", "./z?q=1", "?q", "#f", "/abs/../up", "", "//other.invalid/p", "https://elsewhere.invalid/", "mailto:a@b", "a b", "%41%zz",
+    "caf\u00e9", "..", "/%7Euser/",
+]
+"""References to resolve against the pages' addresses."""
+
+
 def query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> DataFrame:
     return table(spark, sf_dir, "embeddings").filter(F.col("vec_id") == vec_id).select("embedding")
 
