@@ -8,17 +8,20 @@
    are cut into steps so that linked sets lie in one step or in neighbouring ones, which fixes m
    for both. A few parts more than d + 1 let empty parts go without a key; a set with more empty
    parts than that keeps their keys.
-3. **Neighbourhoods.** Sets that share a key are tied in a chain; the components of these ties
-   are the groups to compare. A group with more than ``cell`` elements is cut by size
-   step and hash into blocks, and pairs of blocks that can hold linked sets are tasks of their
-   own, so no task grows with a group and no pair is left out.
+3. **Neighbourhoods.** Keys that one set holds are dropped, and of keys with the same sets one is
+   kept. What is left is a small share of all keys; the sets of each are told apart by profiles,
+   counts of their elements by hash, whose overlap bounds that of the sets: sets whose profiles
+   overlap too little cannot be linked. The components of the ties that remain are the groups to
+   compare. Sets of a key that more than ``MANY`` have are all tied, untested. A group with more
+   than ``cell`` elements is cut by size step and hash into blocks, and pairs of blocks that can
+   hold linked sets are tasks of their own, so no task grows with a group and no pair is left out.
 4. **Prefix tree.** A task orders the n-grams of its group, rare ones first, and stores the
    ordered sets in a trie, so that sets share the path of their common start and unlike sets are
-   left soon. Each set is laid
-   along the trie once: nodes add to the overlap of their parent, and a subtree is left when its
-   overlap so far plus the least of what remains of the set and of the subtree's longest set
-   cannot reach what its shortest set demands. Links are joined in place, and a task returns a
-   spanning forest, never the pairs.
+   left soon. Linked sets share an n-gram among the first of either's order, so a set is laid
+   along the paths to sets that share one, once: nodes add to the overlap of their parent, and a
+   subtree is left when its overlap so far plus the least of what remains of the set and of the
+   subtree's longest set cannot reach what its shortest set demands. Links are joined in place,
+   and a task returns a spanning forest, never the pairs.
 5. **Components** of all links, by least doc_id.
 
 Words are runs of anything but ``[\\x20\\x09-\\x0D]``, A-Z lower-cased; a text of fewer than n words has one
@@ -45,8 +48,10 @@ from lorebase.llm.components import components
 from lorebase.llm.words import Words, as_bytes, mix, pieces
 from lorebase.session import broadcast_if_small, materialize
 
-CELL = 1 << 20
+CELL = 1 << 18
 """Elements of all sets that one trie task holds."""
+MANY = 4096
+"""Sets of one key up to which a task tests their profiles."""
 LARGE_TRIE = 1 << 15
 """From so many elements on, nodes of a trie are cut into links of at most ``LINK``."""
 LINK = 64
@@ -116,52 +121,108 @@ class Dealer:
         return np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
 
 
+def profile(grams: np.ndarray) -> bytes:
+    """How many elements each of 2^k hash classes has, about three on average; nothing if a byte can't hold that."""
+    if not len(grams):
+        return b""
+    classes = 1 << min(12, max(4, (len(grams) // 3).bit_length()))
+    counts = np.bincount((mix(grams) >> np.uint64(40)).astype(np.int64) & (classes - 1), minlength=classes)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 255 else b""
+
+
+def digest(grams: np.ndarray) -> bytes:
+    return blake2b(grams.tobytes(), digest_size=16).digest()
+
+
+def mark(grams: np.ndarray) -> int:
+    """The first half of the digest. Sets with one mark are candidates together; what they are is seen by the digest."""
+    return int.from_bytes(digest(grams)[:8], "little", signed=True)
+
+
 def set_table(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n_shingles, step, digest) of every row."""
+    """(doc_id, n_shingles, step, digest, mark, profile) of every row."""
 
     def make(batches):
         dealer = Dealer(num, den)
         for batch in batches:
-            sizes, steps, digests = [], [], []
-            for grams in gram_sets(batch.column("text"), n):
-                sizes.append(len(grams))
-                steps.append(dealer.step(len(grams)) if len(grams) else -1)
-                digests.append(blake2b(grams.tobytes(), digest_size=16).digest())
-            arrays = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(steps, pa.int32()), pa.array(digests, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "step", "digest"])
-
-    return docs.mapInArrow(make, "doc_id long, n_shingles long, step int, digest binary")
+            rows = [(len(g), dealer.step(len(g)) if len(g) else -1, digest(g), mark(g), profile(g)) for g in gram_sets(batch.column("text"), n)]
+            sizes, steps, digests, marks, profiles = zip(*rows) if rows else ((),) * 5
+            kinds = (sizes, pa.int64()), (steps, pa.int32()), (digests, pa.binary()), (marks, pa.int64()), (profiles, pa.binary())
+            arrays = [batch.column("doc_id"), *[pa.array(values, kind) for values, kind in kinds]]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "step", "digest", "mark", "profile"])
 
+    return docs.mapInArrow(make, "doc_id long, n_shingles long, step int, digest binary, mark long, profile binary")
 
-def neighbours(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(doc_id, hub): pairs that tie together all sets which share a key.
 
-    A task ties the sets of a batch that share a key to the least of them and sends on only that
-    one, so a key of very many sets reaches the shuffle once a batch. There, each set with a key
-    is tied to the one before it; one shuffle moves every key once.
-    """
+def shared_keys(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(key, mark) of the keys that several sets have. One shuffle moves each key of a set once a batch."""
 
     def make(batches):
         dealer = Dealer(num, den)
         for batch in batches:
-            keys = [dealer.keys(grams) for grams in gram_sets(batch.column("text"), n)]
-            doc = np.repeat(batch.column("doc_id").to_numpy(), [len(k) for k in keys])
-            key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            order = np.lexsort((doc, key))
-            key, doc = key[order], doc[order]
-            first = np.diff(key, prepend=key[:1] + 1) != 0
-            hub = doc[np.flatnonzero(first)][np.cumsum(first) - 1] if len(key) else doc
-            here = np.unique(np.stack([doc[~first], hub[~first]], axis=1), axis=0)
-            here = here[here[:, 0] != here[:, 1]]
-            apart = mix(here[:, 0].astype(np.uint64) ^ mix(here[:, 1].astype(np.uint64))).view(np.int64)  # keys that deal these pairs out evenly
-            hubs = pa.array(np.concatenate([np.zeros(first.sum(), np.int64), here[:, 1]]), mask=np.arange(first.sum() + len(here)) < first.sum())
-            arrays = [pa.array(np.concatenate([key[first], apart])), pa.array(np.concatenate([doc[first], here[:, 0]])), hubs]
-            yield pa.RecordBatch.from_arrays(arrays, names=["key", "doc_id", "hub"])
-
-    rows = docs.mapInArrow(make, "key long, doc_id long, hub long")
-    before = F.lag("doc_id").over(Window.partitionBy("key").orderBy("doc_id"))
-    tied = rows.select("doc_id", F.coalesce("hub", before).alias("hub"))
-    return tied.filter("hub IS NOT NULL AND hub != doc_id").distinct()
+            held = {mark(grams): dealer.keys(grams) for grams in gram_sets(batch.column("text"), n) if len(grams)}
+            marks = np.repeat(np.fromiter(held, np.int64, len(held)), [len(k) for k in held.values()])
+            keys = np.concatenate([*held.values(), np.zeros(0, np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(marks)], names=["key", "mark"])
+
+    rows = docs.mapInArrow(make, "key long, mark long")
+    by_key = Window.partitionBy("key").orderBy("mark")
+    beside = rows.withColumns({"before": F.lag("mark").over(by_key), "after": F.lead("mark").over(by_key)})
+    return beside.filter("before != mark OR after != mark").select("key", "mark").distinct()
+
+
+def tied_by_profile(sizes: np.ndarray, profiles: list[bytes], num: int, den: int) -> np.ndarray:
+    """Numbers that are the same for sets which may be linked, directly or by others."""
+    root = np.arange(len(sizes))
+    classes = min((len(p) for p in profiles if p), default=1)
+    table = np.stack([np.frombuffer(p, np.uint8).astype(np.int32).reshape(-1, classes).sum(axis=0) if p else np.full(classes, 1 << 30, np.int32) for p in profiles])
+    for k in range(len(sizes) - 1):
+        others = k + 1 + np.flatnonzero(root[k + 1 :] != root[k])
+        overlap = np.minimum(table[others], table[k]).sum(axis=1)
+        may = others[(num + den) * overlap >= num * (sizes[others] + sizes[k])]
+        if len(may):
+            root[np.isin(root, root[may])] = root[k]
+    return root
+
+
+def neighbours(shared: DataFrame, nodes: DataFrame, num: int, den: int, many: int = MANY) -> DataFrame:
+    """(a, b): marks of sets that share a key and, where that was tested, enough of their profiles."""
+    members = [F.count("*").alias("n"), *[F.bit_xor(F.xxhash64("mark", F.lit(k))).alias(f"x{k}") for k in (1, 2)]]
+    alike = shared.groupBy("key").agg(*members).groupBy("n", "x1", "x2").agg(F.min("key").alias("key"))
+    alike = materialize(alike.select("key", "n"), "gram-keys")
+    groups = shared.join(alike, "key")
+    large = groups.filter(F.col("n") > many)
+    hubs = large.join(large.groupBy("key").agg(F.min("mark").alias("a")), "key").select("a", F.col("mark").alias("b")).filter("a != b")
+    known = nodes.select("mark", "n_shingles", "profile")
+    rows = groups.filter(F.col("n") <= many).join(known, "mark").repartition("key").sortWithinPartitions("key")
+
+    def test(batches):
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
+            if table.num_rows:
+                rest = yield from groups_of(table, False)
+        if rest is not None:
+            yield from groups_of(rest, True)
+
+    def groups_of(table, last):
+        """Test the groups of a table; the last one waits for its further rows. Returns what waits."""
+        table = table.combine_chunks()
+        keys, marks, sizes = (table.column(c).to_numpy() for c in ("key", "mark", "n_shingles"))
+        profiles = table.column("profile").to_pylist()
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
+        found = []
+        for lo, hi in zip(cuts[:-1], cuts[1:] if last else cuts[1:-1]):
+            root = tied_by_profile(sizes[lo:hi], profiles[lo:hi], num, den)
+            _, first = np.unique(root, return_index=True)
+            hub = marks[lo:hi][first][np.searchsorted(root[first], root)]
+            found.append(np.stack([hub, marks[lo:hi]])[:, hub != marks[lo:hi]])
+        a, b = np.concatenate([*found, np.zeros((2, 0), np.int64)], axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        return None if last else table.slice(cuts[-2])
+
+    tested = rows.select("key", "mark", "n_shingles", "profile").mapInArrow(test, "a long, b long")
+    return tested.unionByName(hubs).distinct()
 
 
 # -- prefix tree ---------------------------------------------------------------------------
@@ -242,6 +303,9 @@ class Trie:
         self.last = np.array([x[-1] if len(x) else -1 for x in segments])
         self.level = np.searchsorted(depth[order], np.arange(depth.max() + 2))
         self.holder, self.sizes = place[holder], sizes
+        self.overlap, self.starts = np.full(len(order), -1), None
+        by_holder = np.argsort(self.holder, kind="stable")
+        self.by_holder = by_holder, self.holder[by_holder]
         self.shortest, self.longest = np.full(len(order), np.iinfo(np.int64).max), np.zeros(len(order), np.int64)
         np.minimum.at(self.shortest, self.holder, sizes)
         np.maximum.at(self.longest, self.holder, sizes)
@@ -250,35 +314,59 @@ class Trie:
             self.shortest[p] = min(self.shortest[p], self.shortest[node])
             self.longest[p] = max(self.longest[p], self.longest[node])
 
+    def _starting(self, num: int, den: int) -> None:
+        """Which sets have an n-gram among their first, of which linked sets share one."""
+        first = [s[: len(s) - -(-num * len(s) // den) + 1] for s in self.sets]
+        token, owner = np.concatenate(first), np.repeat(np.arange(len(first)), [len(f) for f in first])
+        order = np.argsort(token, kind="stable")
+        self.starts = num, den, first, owner[order], np.searchsorted(token[order], np.arange(len(self.has) + 1))
+
+    def _paths(self, k: int) -> np.ndarray:
+        """Nodes on the paths to the sets that share one of the first n-grams of set ``k``, in order."""
+        _, _, first, owner, cut = self.starts
+        lo, hi = cut[first[k]], cut[first[k] + 1]
+        size = hi - lo
+        begin = np.cumsum(size) - size
+        nodes = np.unique(self.holder[np.unique(owner[np.repeat(lo - begin, size) + np.arange(size.sum())])])
+        found = [nodes]
+        while len(nodes) > 1 or nodes[0]:
+            nodes = np.unique(self.parent[nodes])
+            found.append(nodes)
+        return np.unique(np.concatenate(found))
+
     def similar(self, k: int, num: int, den: int) -> np.ndarray:
         """Sets whose similarity to set ``k`` is at least num/den, itself included."""
-        s = self.sets[k]
-        has = self.has
+        if self.starts is None or self.starts[:2] != (num, den):
+            self._starting(num, den)
+        s, has, overlap, paths = self.sets[k], self.has, self.overlap, self._paths(k)
         has[s] = 1
-        overlap = np.full(len(self.parent), -1)
         overlap[0] = 0
-        for lo, hi in zip(self.level[1:-1], self.level[2:]):
-            above = overlap[self.parent[lo:hi]]
-            here = lo + np.flatnonzero(above >= 0)
+        level = np.searchsorted(paths, self.level)
+        for lo, hi in zip(level[1:-1], level[2:]):
+            above = overlap[self.parent[paths[lo:hi]]]
+            here = paths[lo:hi][above >= 0]
             if not len(here):
                 break
-            if 4 * len(here) > hi - lo:  # most of the level: its elements lie side by side
-                first = self.segment[lo]
-                hits = np.concatenate([[0], np.cumsum(has[self.flat[first : self.segment[hi]]])])
-                gained = hits[self.segment[here + 1] - first] - hits[self.segment[here] - first]
-            else:
-                size = self.segment[here + 1] - self.segment[here]
-                begin = np.cumsum(size) - size
-                every = np.repeat(self.segment[here] - begin, size) + np.arange(size.sum())
-                gained = np.add.reduceat(has[self.flat[every]], begin)
-            reach = above[here - lo] + gained
+            size = self.segment[here + 1] - self.segment[here]
+            begin = np.cumsum(size) - size
+            every = np.repeat(self.segment[here] - begin, size) + np.arange(size.sum())
+            reach = above[above >= 0] + np.add.reduceat(has[self.flat[every]], begin)
             left = len(s) - np.searchsorted(s, self.last[here], "right")
             most = reach + np.minimum(left, self.longest[here] - self.end[here])
             alive = (num + den) * most >= num * (len(s) + self.shortest[here])
             overlap[here[alive]] = reach[alive]
         has[s] = 0
-        own = overlap[self.holder]
-        return np.flatnonzero((own >= 0) & ((num + den) * own >= num * (len(s) + self.sizes)))
+        near = self._held(paths[overlap[paths] >= 0])
+        own = overlap[self.holder[near]]
+        overlap[paths] = -1
+        return near[(num + den) * own >= num * (len(s) + self.sizes[near])]
+
+    def _held(self, nodes: np.ndarray) -> np.ndarray:
+        """The sets that end at the nodes, in order."""
+        lo, hi = np.searchsorted(self.by_holder[1], nodes), np.searchsorted(self.by_holder[1], nodes, "right")
+        size = hi - lo
+        begin = np.cumsum(size) - size
+        return np.sort(self.by_holder[0][np.repeat(lo - begin, size) + np.arange(size.sum())])
 
 
 def link_forest(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -299,7 +387,7 @@ def link_forest(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int) ->
 
 
 def _cells(members: DataFrame, cell: int) -> DataFrame:
-    """(doc_id, comp, cells): the tasks that a set takes part in."""
+    """(mark, comp, cells): the tasks that a set takes part in."""
     room = members.groupBy("comp", "step").agg(F.sum("n_shingles").alias("elements"))
     whole = room.groupBy("comp").agg(F.sum("elements").alias("all"))
     large = whole.filter(F.col("all") > cell).select("comp")
@@ -310,7 +398,7 @@ def _cells(members: DataFrame, cell: int) -> DataFrame:
     beside = blocks.select("comp", (F.col("step") - 1).alias("step"), F.col("n").alias("above"))
     below = blocks.select("comp", (F.col("step") + 1).alias("step"), F.col("n").alias("below"))
     cut = members.join(blocks, ["comp", "step"]).join(beside, ["comp", "step"], "left").join(below, ["comp", "step"], "left")
-    mine = F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int")
+    mine = F.pmod(F.xxhash64("mark"), F.col("n")).cast("int")
 
     def name(step, a, b):
         return F.concat_ws(":", step.cast("string"), a.cast("string"), b.cast("string"))
@@ -321,60 +409,71 @@ def _cells(members: DataFrame, cell: int) -> DataFrame:
     same = F.transform(upto(F.col("n")), lambda j: name(F.col("step") * 2, F.least(mine, j), F.greatest(mine, j)))
     up = F.transform(upto(F.coalesce("above", F.lit(0))), lambda j: name(F.col("step") * 2 + 1, mine, j))
     down = F.transform(upto(F.coalesce("below", F.lit(0))), lambda j: name(F.col("step") * 2 - 1, j, mine))
-    return small.select("doc_id", "comp", "cells").unionByName(cut.select("doc_id", "comp", F.concat(same, up, down).alias("cells")))
+    return small.select("mark", "comp", "cells").unionByName(cut.select("mark", "comp", F.concat(same, up, down).alias("cells")))
 
 
 def linked_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 90, den: int = 100, cell: int = CELL
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 90, den: int = 100, cell: int = CELL,
+    many: int = MANY,
+) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for every row of ``docs``."""
     docs = docs.select(docs[f"`{id_col}`"].cast("long").alias("doc_id"), docs[f"`{text_col}`"].alias("text"))
     sets = materialize(set_table(docs, n, num, den), "gram-sets")
     known = sets.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    nodes = materialize(known.groupBy("digest").agg(F.min("doc_id").alias("rep")), "gram-nodes")
-
-    # Pairs that share a key, between the nodes of their sets.
-    at = known.select("doc_id", "digest").join(nodes, "digest").groupBy("doc_id")
-    at = at.agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
-    # A doc_id that is repeated with other texts is compared with all of them, under its own name.
-    own = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("doc_id"))
-    home = materialize(at.select("doc_id", own.alias("rep"), (F.col("a") != F.col("b")).alias("several")), "gram-homes")
-    tied = neighbours(docs.filter("doc_id IS NOT NULL"), n, num, den)
-    tied = tied.join(home.select("doc_id", F.col("rep").alias("b")), "doc_id").select("hub", "b").distinct()
-    tied = tied.join(home.select(F.col("doc_id").alias("hub"), F.col("rep").alias("a")), "hub").select("a", "b")
-    near = components(tied)
-
-    member = materialize(near.select(F.col("hi").alias("doc_id"), F.col("lo").alias("comp")).unionByName(near.select(F.col("lo").alias("doc_id"), F.col("lo").alias("comp")).distinct()), "gram-members")
-    size = known.select("doc_id", "n_shingles", "step").groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.max("step").alias("step"))
-    dealt = materialize(_cells(materialize(member.join(size, "doc_id"), "gram-sized"), cell), "gram-cells")
+    # A node is a set; ids of nodes are fixed by writing them.
+    same = [F.any_value(c).alias(c) for c in ("n_shingles", "step", "mark", "profile")]
+    nodes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), *same)
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "gram-nodes")
+
+    shared = materialize(shared_keys(docs.filter("doc_id IS NOT NULL"), n, num, den), "gram-shared")
+    near = components(neighbours(shared, nodes, num, den, many))
+    ends = near.select(F.col("hi").alias("mark"), F.col("lo").alias("comp")).unionByName(near.select(F.col("lo").alias("mark"), F.col("lo").alias("comp")).distinct())
+    sized = materialize(nodes.select("mark", "rep", "step", "n_shingles").join(ends, "mark"), "gram-sized")
+    dealt = sized.select("mark", "rep").join(_cells(sized.drop("rep").distinct(), cell), "mark").withColumnRenamed("rep", "doc_id")
+    dealt = materialize(dealt, "gram-cells")
 
     def to_sets(batches):
+        seen = set()
         for batch in batches:
-            blobs = [g.tobytes() for g in gram_sets(batch.column("text"), n)]
-            arrays = [batch.column("doc_id"), batch.column("comp"), batch.column("cells"), pa.array(blobs, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "comp", "cells", "grams"])
-
-    texts = docs.join(broadcast_if_small(dealt), "doc_id").select("doc_id", "comp", "cells", "text")
-    full = texts.mapInArrow(to_sets, "doc_id long, comp long, cells array<string>, grams binary")
+            grams, own = list(gram_sets(batch.column("text"), n)), []
+            for g, m in zip(grams, batch.column("mark").to_pylist(), strict=True):
+                # Of a doc_id that is repeated with other texts the one that is meant, and of equal rows one a task.
+                this = mark(g) == m and (name := digest(g)) not in seen
+                own.append(this)
+                if this:
+                    seen.add(name)
+            own = pa.array(own, pa.bool_())
+            blobs = pa.array([g.tobytes() for g in grams], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("comp"), batch.column("cells"), blobs], names=["comp", "cells", "grams"]).filter(own)
+
+    texts = docs.join(broadcast_if_small(dealt), "doc_id").select("mark", "comp", "cells", "text")
+    full = texts.mapInArrow(to_sets, "comp long, cells array<string>, grams binary")
 
     def join_cell(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("grams")
-        grams = [np.frombuffer(g, np.uint64) for g in pdf["grams"]]
-        some = [k for k, g in enumerate(grams) if len(g)]
-        if len(some) < 2:
-            return pd.DataFrame({"lo": [], "hi": []})
-        lo, hi, _ = link_forest(pdf["doc_id"].to_numpy()[some], [grams[k] for k in some], num, den)
-        return pd.DataFrame({"lo": lo[lo != hi], "hi": hi[lo != hi]})
-
-    cells = full.select("doc_id", "comp", F.explode("cells").alias("cell"), "grams").groupBy("comp", "cell")
-    links = cells.applyInPandas(join_cell, "lo long, hi long")
+        blobs = pdf["grams"].drop_duplicates().to_numpy()
+        none = pd.DataFrame({"lo": [], "hi": []}, dtype=object)
+        if len(blobs) < 2:
+            return none
+        lo, hi, _ = link_forest(np.arange(len(blobs)), [np.frombuffer(g, np.uint64) for g in blobs], num, den)
+        names = np.array([blake2b(g, digest_size=16).digest() for g in blobs], object)
+        return pd.DataFrame({"lo": names[lo[lo != hi]], "hi": names[hi[lo != hi]]}) if (lo != hi).any() else none
+
+    cells = full.select("comp", F.explode("cells").alias("cell"), "grams").groupBy("comp", "cell")
+    found = materialize(cells.applyInPandas(join_cell, "lo binary, hi binary"), "gram-links")
+    links = found.distinct().join(nodes.select(F.col("digest").alias("lo"), F.col("node").alias("a")), "lo")
+    links = links.join(nodes.select(F.col("digest").alias("hi"), F.col("node").alias("b")), "hi").select("a", "b")
 
     # Rows that repeat a doc_id with other texts tie the nodes of those texts.
-    several = known.join(home.filter("several").select("doc_id"), "doc_id").select("doc_id", "digest")
-    ties = several.join(nodes, "digest").select(F.col("doc_id").alias("lo"), F.col("rep").alias("hi"))
-    found = components(links.unionByName(ties))
-
-    label = nodes.join(found, nodes["rep"] == found["hi"], "left").select("digest", F.coalesce("lo", "rep").alias("component"))
+    texts_of = known.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a != b").select("doc_id")
+    several = known.join(broadcast_if_small(materialize(texts_of, "gram-repeats")), "doc_id").select("doc_id", "digest").distinct()
+    several = materialize(several.join(nodes.select("digest", "node"), "digest").select("doc_id", "node"), "gram-several")
+    ties = several.join(several.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").select("a", F.col("node").alias("b"))
+    label = components(links.unionByName(ties))
+
+    named = nodes.select("digest", "rep", "node").join(label, nodes["node"] == label["hi"], "left")
+    named = materialize(named.select("digest", "rep", F.coalesce("lo", "node").alias("class")), "gram-classes")
+    least = named.groupBy("class").agg(F.min("rep").alias("component"))
+    named = named.join(least, "class").select("digest", "component")
     rows = sets.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest"))
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return rows.join(label, "digest", "left").select("doc_id", "n_shingles", own.alias("component_id"))
+    return rows.join(named, "digest", "left").select("doc_id", "n_shingles", own.alias("component_id"))

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -46,10 +47,64 @@ def result(df):
     return sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in df.collect()), key=repr)
 
 
-@pytest.mark.parametrize(("n", "num", "cell"), [(3, 90, 1 << 20), (5, 80, 1 << 20), (3, 90, 200)])
-def test_equals_all_pairs(frame, n, num, cell):
+@pytest.mark.parametrize(("n", "num", "how"), [(3, 90, {}), (5, 80, {}), (3, 90, {"cell": 200}), (5, 80, {"many": 1, "cell": 900})])
+def test_equals_all_pairs(frame, n, num, how):
     rows = near_copies(n * num)
-    assert result(linked_components(frame(rows), n=n, num=num, cell=cell)) == brute(rows, n, num, 100)
+    assert result(linked_components(frame(rows), n=n, num=num, **how)) == brute(rows, n, num, 100)
+
+
+def test_shared_passages_tie_no_unlike_texts(frame):
+    """A passage of a third of each text gives common keys; the profiles tell the texts apart."""
+    rng = random.Random(3)
+    passage = [f"p{k}" for k in range(60)]
+    rows = [(d, " ".join(passage + [f"w{rng.randrange(10**6)}" for _ in range(120)])) for d in range(60)]
+    rows += [(100, rows[0][1] + " more"), (101, rows[1][1])]
+    docs = frame(rows)
+    sets = ngram_join.set_table(docs, 5, 80, 100).dropDuplicates(["digest"]).withColumnRenamed("doc_id", "rep")
+    shared = ngram_join.shared_keys(docs, 5, 80, 100)
+    marks = {r["mark"] for r in shared.collect()}
+    assert len(marks) > 40
+    ties = ngram_join.neighbours(shared, sets, 80, 100).collect()
+    assert len(ties) == 1  # the near copy; the exact one is the same set
+    assert result(linked_components(docs, n=5, num=80)) == brute(rows, 5, 80, 100)
+
+
+@pytest.mark.parametrize("cell", [1 << 18, 2000])
+def test_repeated_ids_in_large_groups(frame, cell):
+    """Document 5 has a near copy of the others' text and a much longer one: its links are those of both."""
+    rng = random.Random(8)
+    a = [f"a{k}" for k in range(100)]
+    rows = [(d, " ".join([*a[:-1], f"n{d}"])) for d in range(10, 40)]
+    rows += [(5, " ".join([*a[:-1], "five"])), (5, " ".join(f"b{rng.randrange(10**6)}" for _ in range(1500)))]
+    got = result(linked_components(frame(rows), cell=cell))
+    assert {r[2] for r in got} == {5} and got == brute(rows, 3, 90, 100)
+
+
+def test_profiles_bound_the_overlap():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        size = int(rng.integers(5, 3000))
+        x = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+        keep = int(rng.integers(0, len(x) + 1))
+        y = np.unique(np.concatenate([x[:keep], rng.integers(0, 2**63, int(rng.integers(1, size + 1))).astype(np.uint64)]))
+        same = len(np.intersect1d(x, y))
+        root = ngram_join.tied_by_profile(np.array([len(x), len(y)]), [ngram_join.profile(x), ngram_join.profile(y)], 80, 100)
+        assert root[0] == root[1] or 100 * same < 80 * (len(x) + len(y) - same)
+    crowd = ngram_join.profile(np.repeat(np.uint64(3), 300))  # more than a byte in one class
+    assert crowd == b"" and len(set(ngram_join.tied_by_profile(np.array([300, 300]), [crowd, crowd], 80, 100))) == 1
+
+
+def test_many_unlike_short_sets_take_linear_time():
+    rng = np.random.default_rng(7)
+
+    def seconds(n):
+        sets = [np.unique(rng.integers(0, 10**9, 12)).astype(np.uint64) for _ in range(n)]
+        trie, start = Trie(sets), time.process_time()
+        for k in range(n):
+            assert trie.similar(k, 90, 100).tolist() == [k]
+        return time.process_time() - start
+
+    assert seconds(8000) < 8 * seconds(2000)
 
 
 def test_odd_rows(odd, frame):
