@@ -40,15 +40,17 @@ def _query_column(query: Sequence[float] | DataFrame) -> Column:
 def _scored(kb: DataFrame, query: Sequence[float] | DataFrame, context: str | None) -> DataFrame:
     """url and score of every comparable document; contents stay out of the scan.
 
+    A stored magnitude is used as it is; it has the same bits as one computed here.
     A score that is not a number becomes NULL, to be sorted last and dropped after the cut: a
     filter here would be pushed below the projection and compute every score twice.
     """
-    vectors = in_context(kb, context).select("url", "embeddings")
+    stored = ["magnitude"] if "magnitude" in kb.columns else []
+    vectors = in_context(kb, context).select("url", "embeddings", *stored)
     vectors = vectors.withColumn("_q", _query_column(query)).filter(
         (vector_length(F.col("embeddings")) > 0) & (F.size("embeddings") == F.size("_q.v"))
     )
     doc, q = F.col("embeddings"), F.col("_q.v")
-    score = cosine_from(dot(q, doc), F.col("_q.magnitude"), magnitude(doc))
+    score = cosine_from(dot(q, doc), F.col("_q.magnitude"), F.col("magnitude") if stored else magnitude(doc))
     return vectors.select("url", F.nanvl(score, F.lit(None).cast("double")).alias("score"))
 
 

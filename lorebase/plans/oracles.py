@@ -16,9 +16,6 @@ kb AS (
          CASE WHEN d.doc_id % 2 = 0 THEN 'web_scrape' ELSE 'file_read' END AS source_type
   FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id)"""
 
-FLAT = "url, title, description, content, checksum, coalesce(len(embeddings), 0) AS embeddings, context, source_type"
-
-
 def dot(a: str, b: str) -> str:
     products = f"list_transform(list_zip({a}, {b}), lambda p: (p[1] * p[2])::DOUBLE)"
     return f"list_reduce(list_prepend(0.0::DOUBLE, {products}), lambda s, v: s + v)"
@@ -29,6 +26,11 @@ def cosine(a: str, b: str) -> str:
     return f"CASE WHEN {na} = 0 OR {nb} = 0 THEN 0.0 ELSE {dot(a, b)} / ({na} * {nb}) END"
 
 
+VECTOR = f"""coalesce(len(embeddings), 0) AS embeddings, embeddings[1]::DOUBLE AS vector_first,
+          embeddings[len(embeddings)]::DOUBLE AS vector_last, CASE WHEN len(embeddings) > 0 THEN {dot("embeddings", "embeddings")} END AS vector_square"""
+NO_VECTOR = "0 AS embeddings, NULL AS vector_first, NULL AS vector_last, NULL AS vector_square"
+FLAT = f"url, title, description, content, checksum, {VECTOR}, context, source_type"
+
 SCORED = f"""
 q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0),
 scored AS (SELECT kb.*, {cosine("q", "embeddings")} AS score FROM kb, q WHERE len(embeddings) = len(q)),
@@ -53,7 +55,7 @@ latest AS (SELECT * FROM batch QUALIFY row_number() OVER (PARTITION BY url ORDER
 merged AS (
   SELECT {FLAT} FROM kb WHERE url NOT IN (SELECT url FROM latest)
   UNION ALL
-  SELECT url, title, '', content, sha256(content), 0, context, '' FROM latest)"""
+  SELECT url, title, '', content, sha256(content), {NO_VECTOR}, context, '' FROM latest)"""
 
 FOLD = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -188,9 +190,22 @@ vecs AS (SELECT id, pos, coalesce(v / n, 0)::FLOAT AS value
          FROM norms CROSS JOIN (SELECT unnest(range(64))::INTEGER AS pos) LEFT JOIN sums USING (id, pos))"""
 
 
+def embedded(source: str) -> str:
+    """The same vectors as lists, as vectors(id, embeddings)."""
+    return f"{hashed(source)}, vectors AS (SELECT id, list(value ORDER BY pos) AS embeddings FROM vecs GROUP BY id)"
+
+
 TURN_URL = "'conv://' || conv_id || '/' || turn"
-FILES = """SELECT text || chr(10) AS content, sha256(text || chr(10)) AS checksum, 64 AS embeddings,
-           'files' AS context, 'file_read' AS source_type FROM documents"""
+FILES = f"""WITH src AS (SELECT 'key=' || doc_id % 300 AS id, string_agg(text || chr(10), '' ORDER BY doc_id) AS text
+                     FROM documents GROUP BY 1), {embedded("src")}
+            SELECT id AS place, text AS content, sha256(text) AS checksum, {VECTOR}, 'files' AS context, 'file_read' AS source_type
+            FROM src JOIN vectors USING (id)"""
+# What becomes of the vector texts of the exchange table, by document.
+EXCHANGED = f"""{KB},
+numbered AS (SELECT * EXCLUDE (embeddings), embeddings AS e, title[10:]::BIGINT AS id FROM kb),
+read AS (
+  SELECT * EXCLUDE (e), CASE WHEN id % 13 = 0 THEN NULL WHEN id % 31 = 0 AND id % 19 <> 0 AND id % 29 <> 0 THEN [] ELSE e END AS embeddings,
+         id % 13 <> 0 AND (id % 19 = 0 OR id % 29 = 0 OR (id % 37 = 0 AND id % 31 <> 0)) AS broken FROM numbered)"""
 
 ORACLES: dict[str, str] = {
     "kb_scan": f"WITH {KB} SELECT {FLAT} FROM kb",
@@ -205,6 +220,10 @@ ORACLES: dict[str, str] = {
     "document_output": f"WITH {KB} SELECT url, title, description, content, checksum FROM kb",
     "json_rows": f"""WITH {KB} SELECT to_json(struct_pack(url := url, title := title, description := description,
         content := content, checksum := checksum))::VARCHAR AS json FROM kb""",
+    "json_documents": f"WITH {KB} SELECT {FLAT} FROM kb",
+    "json_page": f"""WITH {KB} SELECT {FLAT}, (SELECT count(*) FROM kb WHERE context = 'en') AS total
+        FROM kb WHERE context = 'en' ORDER BY url LIMIT 20 OFFSET 30""",
+    "json_hits": f"WITH {KB}, {SCORED} SELECT url, title, description, content, checksum, score FROM ranked WHERE rank <= 10",
     "search_topn": f"WITH {KB}, {SCORED} SELECT url, score, rank FROM ranked WHERE rank <= 10",
     "search_context": f"""WITH {KB}, {SCORED} SELECT url, score, row_number() OVER (ORDER BY rank) AS rank
         FROM ranked WHERE context = 'de' ORDER BY rank LIMIT 5""",
@@ -223,8 +242,14 @@ ORACLES: dict[str, str] = {
         SELECT query_id, url, score, rank FROM ranked WHERE rank <= 1500""",
     "cosine_pairs": f"""SELECT a.vec_id, {cosine("a.embedding", "b.embedding")} AS score
         FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
-    "embedding_json_roundtrip": f"""SELECT vec_id, len(embedding) AS length, {dot("embedding", "embedding")} AS square,
-        true AS same, true AS readable FROM embeddings""",
+    "embedding_json_roundtrip": f"""
+        WITH said AS (SELECT vec_id, vec_id % 7 <> 0 AND (vec_id % 11 = 0 OR vec_id % 13 = 0 OR vec_id % 17 = 0) AS broken,
+                             CASE WHEN vec_id % 7 <> 0 THEN embedding END AS e FROM embeddings)
+        SELECT vec_id, CASE WHEN NOT broken THEN coalesce(len(e), 0) END AS length, CASE WHEN NOT broken AND e IS NOT NULL THEN {dot("e", "e")} END AS square,
+               CASE WHEN NOT broken THEN e IS NOT NULL END AS same, NOT broken AS readable FROM said""",
+    "import_table": f"""WITH {EXCHANGED} SELECT {FLAT}, NULL::VARCHAR AS error FROM read WHERE NOT broken
+        UNION ALL SELECT url, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'failed to read vector' FROM read WHERE broken""",
+    "export_table": f"WITH {KB} SELECT {FLAT} FROM kb",
     "upsert_lastwins": f"WITH {KB}, {BATCH} SELECT * FROM merged",
     "upsert_moves_context": f"WITH {KB}, {BATCH} SELECT context, count(*) AS n_docs FROM merged GROUP BY context",
     "delete_prefix": f"WITH {KB} SELECT {FLAT} FROM kb WHERE NOT {like('DOC://src1')}",
@@ -235,13 +260,13 @@ ORACLES: dict[str, str] = {
     "checksums": "SELECT doc_id, sha256(text) AS checksum FROM documents",
     "kb_store": f"""WITH {KB}, {BATCH} SELECT {FLAT} FROM kb
         WHERE NOT starts_with(url, 'doc://src1/') AND url NOT IN (SELECT url FROM latest)
-        UNION ALL SELECT url, title, '', content, sha256(content), 0, context, '' FROM latest""",
+        UNION ALL SELECT url, title, '', content, sha256(content), {NO_VECTOR}, context, '' FROM latest""",
     "make_documents_from_pages": """SELECT 'https://' || regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) || '/' || page_id
         AS url, '' AS title, 'd' AS description, html AS content, sha256(html) AS checksum, 'web' AS context,
         'web_scrape' AS source_type FROM pages""",
     "documents_from_conversations": f"""SELECT {TURN_URL} AS url, role AS title, '' AS description, text AS content,
         sha256(text) AS checksum, '' AS context, '' AS source_type, NULL::VARCHAR AS error FROM conversations""",
-    "valid_pages": """SELECT page_id, 200 AS status,
+    "valid_pages": """SELECT page_id, url, html, 200 AS status,
         CASE WHEN page_id % 3 = 0 THEN 'text/html; charset=utf-8' ELSE 'text/html' END AS content_type
         FROM pages WHERE page_id % 7 <> 0 AND page_id % 3 <> 2""",
     "page_title": f"WITH {PAGES} SELECT page_id, title FROM parsed",
@@ -255,6 +280,22 @@ ORACLES: dict[str, str] = {
     "resolve_links": f"""WITH {PAGES} SELECT url AS src_url, (i - 1)::INTEGER AS ord,
         regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, {plain("hrefs[i]")} AS path
         FROM (SELECT url, hrefs, unnest(range(1, len(hrefs) + 1)) AS i FROM parsed)""",
+    "resolve_references": """
+        WITH parts AS (
+          SELECT url, regexp_extract(url, '^([a-z]+)://([^/?#]+)([^?#]*)(\\?[^#]*)?(#.*)?$', ['s', 'h', 'p', 'q', 'f']) AS u FROM pages),
+        named AS (SELECT url, u.s || '://' || u.h AS front, u.h AS host, u.p AS p, u.q AS q, u.f AS f, regexp_extract(u.p, '^(.*/)?') AS folder FROM parts),
+        placed AS (SELECT *, CASE WHEN folder = '' THEN '/' ELSE folder END AS dir,
+                          regexp_replace(CASE WHEN folder = '' THEN '/' ELSE folder END, '[^/]+/$', '') AS up FROM named),
+        targets AS (
+          SELECT url, host, unnest([
+            {'ord': 0, 'path': dir || 'x/y', 'rest': '', 'f': ''}, {'ord': 1, 'path': up || 'x', 'rest': '', 'f': ''},
+            {'ord': 2, 'path': dir || 'z', 'rest': '?q=1', 'f': ''}, {'ord': 3, 'path': p, 'rest': '?q', 'f': ''},
+            {'ord': 4, 'path': p, 'rest': q, 'f': '#f'}, {'ord': 5, 'path': '/up', 'rest': '', 'f': ''}, {'ord': 6, 'path': p, 'rest': q, 'f': f},
+            {'ord': 10, 'path': dir || 'a b', 'rest': '', 'f': ''}, {'ord': 12, 'path': dir || 'café', 'rest': '', 'f': ''},
+            {'ord': 13, 'path': up, 'rest': '', 'f': ''}, {'ord': 14, 'path': '/~user/', 'rest': '', 'f': ''}]) AS t, front FROM placed)
+        SELECT url AS src_url, t.ord AS ord, front || e || t.rest || t.f AS url, host, CASE WHEN t.path = '' THEN '/' ELSE t.path END AS path,
+               front || CASE WHEN e = '' THEN '/' ELSE e END || t.rest AS key
+        FROM (SELECT *, CASE t.ord WHEN 14 THEN '/%7Euser/' ELSE replace(replace(t.path, ' ', '%20'), 'é', '%C3%A9') END AS e FROM targets)""",
     "site_metadata": f"""WITH {RANKED}, {parsed("ranked")}
         SELECT r.page_id, b.url AS base_url, b.title, b.description FROM ranked r
         JOIN parsed b ON b.host = r.host AND b.rank = 0""",
@@ -284,13 +325,20 @@ ORACLES: dict[str, str] = {
     "rejects": """SELECT doc_id::VARCHAR AS url, CASE WHEN quality = 0 THEN 'the embedder gave no vector'
         ELSE 'url and content are required' END AS error
         FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS DISTINCT FROM 1""",
-    "ingest_rows": f"""SELECT {TURN_URL} AS url, '' AS title, '' AS description, text AS content,
-        sha256(text) AS checksum, 64 AS embeddings, 'talk' AS context, '' AS source_type FROM conversations""",
-    "ingest_site": f"""WITH RECURSIVE {walk(5)}, {parsed("linked")}
-        SELECT base_url || path AS url, b.title, b.description, p.markdown AS content,
-               sha256(p.markdown) AS checksum, 'web' AS context, 'web_scrape' AS source_type, 64 AS embeddings
-        FROM last JOIN parsed p ON p.host = last.host AND p.rank = last.cap
-        JOIN parsed b ON b.host = last.host AND b.rank = last.base_cap""",
+    "ingest_rows": f"""WITH src AS (SELECT {TURN_URL} AS id, text FROM conversations), {embedded("src")}
+        SELECT id AS url, '' AS title, '' AS description, text AS content, sha256(text) AS checksum, {VECTOR}, 'talk' AS context,
+               '' AS source_type FROM src JOIN vectors USING (id)""",
+    "ingest_site": f"""WITH RECURSIVE {walk(5)}, {parsed("linked")},
+        site AS (
+          SELECT base_url || path AS url, b.title, b.description, p.markdown AS content
+          FROM last JOIN parsed p ON p.host = last.host AND p.rank = last.cap JOIN parsed b ON b.host = last.host AND b.rank = last.base_cap),
+        src AS (SELECT url AS id, content AS text FROM site), {embedded("src")}
+        SELECT url, title, description, content, sha256(content) AS checksum, {VECTOR}, 'web' AS context, 'web_scrape' AS source_type
+        FROM site JOIN vectors ON vectors.id = url""",
     "ingest_files": FILES,
     "stream_ingest": FILES,
+    "stream_rejects": """
+        WITH files AS (SELECT doc_id % 300 AS k, string_agg(text || chr(10), '' ORDER BY doc_id) AS content FROM documents GROUP BY 1)
+        SELECT 'key=' || k AS place, CASE WHEN k % 3 <> 0 THEN sha256(content) END AS checksum,
+               CASE WHEN k % 3 = 0 THEN 'content is not UTF-8' END AS error FROM files""",
 }

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lorebase.functions import vectors
 from lorebase.functions.text import checksum
 from lorebase.operators import crawl, embed, extract, fetchplan, mutate, reports, scan, search
-from lorebase.plans import ingest
+from lorebase.plans import exchange, ingest
 from lorebase.plans import testbed as bed
 from lorebase.session import materialize, materialize_by, new_work_path
 from lorebase.sources.documents import documents_from_rows, make_documents
@@ -28,8 +28,13 @@ def query(fn: Query) -> Query:
 
 
 def flat(df: DataFrame) -> DataFrame:
-    """Show the vector by its length."""
-    return df.withColumn("embeddings", vectors.vector_length(F.col("embeddings")))
+    """Show the vector by its length, its ends and its square."""
+    e = F.col("embeddings")
+    some = vectors.vector_length(e) > 0
+    return df.withColumns({
+        "vector_first": F.get(e, F.lit(0)).cast("double"), "vector_last": F.get(e, F.size(e) - 1).cast("double"),
+        "vector_square": F.when(some, vectors.dot(e, e)), "embeddings": vectors.vector_length(e),
+    })
 
 
 # -- reads ---------------------------------------------------------------------------
@@ -85,6 +90,33 @@ def json_rows(spark, sf_dir):
     return reports.to_json_rows(reports.document_output(bed.derived_kb(spark, sf_dir)))
 
 
+JSON_DOCUMENT = "url string, title string, description string, content string, checksum string, embeddings array<float>, context string, source_type string"
+
+
+def read_back(rows, shape):
+    """JSON rows as columns again: numbers have several texts."""
+    return rows.select(F.from_json("json", shape).alias("j")).select("j.*")
+
+
+@query
+def json_documents(spark, sf_dir):
+    return flat(read_back(reports.json_documents(bed.derived_kb(spark, sf_dir)), JSON_DOCUMENT))
+
+
+@query
+def json_page(spark, sf_dir):
+    page = reports.json_page(bed.derived_kb(spark, sf_dir), 20, 30, "en")
+    back = read_back(page, f"documents array<struct<{JSON_DOCUMENT}>>, total long")
+    return flat(back.select("total", F.inline("documents")))
+
+
+@query
+def json_hits(spark, sf_dir):
+    kb = bed.derived_kb(spark, sf_dir)
+    hits = search.search_output(kb, search.search(kb, bed.query_vector(spark, sf_dir), 10))
+    return read_back(reports.json_hits(hits), "url string, title string, description string, content string, checksum string, score double")
+
+
 # -- search --------------------------------------------------------------------------
 
 
@@ -148,17 +180,37 @@ def cosine_pairs(spark, sf_dir):
 
 @query
 def embedding_json_roundtrip(spark, sf_dir):
-    e = bed.table(spark, sf_dir, "embeddings").withColumn("json", vectors.embeddings_to_json(F.col("embedding")))
-    back = vectors.embeddings_from_json(F.col("json"))
-    return e.select(
+    """Vectors through JSON text; some texts say null, are missing or are broken."""
+    vec_id, e = F.col("vec_id"), F.col("embedding")
+    text = (
+        F.when(vec_id % 7 == 0, "null").when(vec_id % 11 == 0, "[1,").when(vec_id % 13 == 0, None).when(vec_id % 17 == 0, '["a"]')
+        .otherwise(vectors.embeddings_to_json(e))
+    )
+    rows = bed.table(spark, sf_dir, "embeddings").withColumn("json", text)
+    back, readable = vectors.embeddings_from_json(F.col("json")), vectors.embeddings_json_error(F.col("json")).isNull()
+    return rows.select(
         "vec_id",
-        F.size(back).alias("length"),
-        vectors.dot(back, back).alias("square"),
-        (back == F.col("embedding")).alias("same"),
-        vectors.embeddings_json_error(F.col("json")).isNull().alias("readable"),
+        F.when(readable, vectors.vector_length(back)).alias("length"),
+        F.when(readable, vectors.dot(back, back)).alias("square"),
+        F.when(readable, F.coalesce(back == e, F.lit(False))).alias("same"),
+        readable.alias("readable"),
     )
 
 
+@query
+def import_table(spark, sf_dir):
+    """A table with JSON vectors into documents and rejects."""
+    done = exchange.import_table(bed.exchange_rows(spark, sf_dir))
+    return flat(done.documents).withColumn("error", F.lit(None).cast("string")).unionByName(done.rejects, allowMissingColumns=True)
+
+
+@query
+def export_table(spark, sf_dir):
+    """The JSON vectors of an export, read back."""
+    rows = exchange.export_table(bed.derived_kb(spark, sf_dir))
+    return flat(rows.withColumn("embeddings", F.from_json(F.col("embeddings").cast("string"), "array<float>")))
+
+
 # -- writes --------------------------------------------------------------------------
 
 
@@ -245,6 +297,8 @@ def valid_pages(spark, sf_dir):
     html = F.when(page_id % 3 == 0, "text/html; charset=utf-8").when(page_id % 3 == 1, "text/html")
     captured = bed.table(spark, sf_dir, "pages").select(
         "page_id",
+        "url",
+        "html",
         F.when(page_id % 7 == 0, 404).otherwise(200).alias("status"),
         html.otherwise("application/json").alias("content_type"),
     )
@@ -432,8 +486,9 @@ def ingest_site(spark, sf_dir):
 
 
 def by_content(docs):
-    """File names are made up by the writer, so documents are shown without them."""
-    return flat(docs).select("content", "checksum", "embeddings", "context", "source_type")
+    """File names are made up by the writer, so documents are shown with their folders."""
+    place = F.regexp_extract("url", "/(key=[0-9]+)/", 1).alias("place")
+    return flat(docs).select(place, "content", "checksum", "embeddings", "vector_first", "vector_last", "vector_square", "context", "source_type")
 
 
 @query
@@ -447,3 +502,14 @@ def stream_ingest(spark, sf_dir):
     kb = KnowledgeBase.open(spark, new_work_path(spark, "kb"))
     start_stream(spark, folder, kb, "files", new_work_path(spark, "stream"), new_work_path(spark, "stream-rejects")).awaitTermination()
     return by_content(kb.documents())
+
+
+@query
+def stream_rejects(spark, sf_dir):
+    """What a stream has stored of each file, and why not."""
+    folder, rejects = bed.document_files(spark, sf_dir, broken=True), new_work_path(spark, "stream-rejects")
+    kb = KnowledgeBase.open(spark, new_work_path(spark, "kb"))
+    start_stream(spark, folder, kb, "files", new_work_path(spark, "stream"), rejects).awaitTermination()
+    place = F.regexp_extract("url", "/(key=[0-9]+)/", 1).alias("place")
+    stored = kb.documents().select(place, "checksum", F.lit(None).cast("string").alias("error"))
+    return stored.unionByName(spark.read.parquet(rejects).select(place, F.lit(None).cast("string").alias("checksum"), "error"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lorebase.functions.text import checksum
 from lorebase.operators.ordering import index_within
-from lorebase.session import materialize, new_work_path, spread_small
+from lorebase.plans import exchange
+from lorebase.session import materialize, new_work_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -116,8 +117,29 @@ def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def document_files(spark: SparkSession, sf_dir: str) -> str:
-    """Write every document as a text file of its own; returns the folder."""
+FILES = 300
+
+
+def document_files(spark: SparkSession, sf_dir: str, broken: bool = False) -> str:
+    """Write the documents into ``FILES`` text files, each with every document of one remainder; returns the folder.
+
+    With ``broken``, every third file ends its documents with a byte that is not UTF-8.
+    """
     path = new_work_path(spark, "files")
-    spread_small(table(spark, sf_dir, "documents").select("text")).write.option("maxRecordsPerFile", 1).text(path)
+    key = F.pmod("doc_id", F.lit(FILES)).alias("key")
+    text = F.when(key % 3 == 0, F.concat("text", F.unhex(F.lit("E9")).cast("string"))).otherwise(F.col("text")) if broken else F.col("text")
+    docs = table(spark, sf_dir, "documents").select(key, "doc_id", text.alias("text"))
+    ordered = docs.repartition("key").sortWithinPartitions("key", "doc_id").select("key", "text")
+    ordered.write.partitionBy("key").text(path)
     return path
+
+
+def exchange_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived knowledge base as an exported table, some of whose vectors are null, missing or broken."""
+    rows = exchange.export_table(derived_kb(spark, sf_dir))
+    doc_id = F.substring("title", len("Document ") + 1, 20).cast("long")
+    odd = (
+        F.when(doc_id % 13 == 0, "null").when(doc_id % 19 == 0, "[1,").when(doc_id % 29 == 0, None).when(doc_id % 31 == 0, "[]")
+        .when(doc_id % 37 == 0, '["a"]').otherwise(F.col("embeddings").cast("string"))
+    )
+    return rows.withColumn("embeddings", odd.cast("binary"))

@@ -19,13 +19,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lorebase.functions.vectors import magnitude
 from lorebase.operators import mutate, scan
 from lorebase.operators import search as vector_search
 from lorebase.operators.embed import Embedder, embed_query
 from lorebase.schema import KB_COLUMNS, KB_SCHEMA, conform
 from lorebase.session import materialize, measured_bytes
 
-STORED_SCHEMA = T.StructType([*KB_SCHEMA.fields, T.StructField("bucket", T.IntegerType())])
+STORED_SCHEMA = T.StructType([*KB_SCHEMA.fields, T.StructField("magnitude", T.DoubleType()), T.StructField("bucket", T.IntegerType())])
+"""A document as stored: its columns, the magnitude of its vector, which search needs, and its bucket."""
 TABLE = "buckets int, bucket int, version int"
 FEWEST_BUCKETS = 16
 MAX_BUCKETS = 65_536
@@ -117,7 +119,8 @@ class KnowledgeBase:
     def _ranged(docs: DataFrame, buckets: int) -> DataFrame:
         """Documents in ranges of (bucket, url), as many as it takes for about ``FILE_BYTES`` in each."""
         ranges = max(1, -(-measured_bytes(docs, KB_COLUMNS) // FILE_BYTES))
-        return conform(docs, bucket_of(F.col("url"), buckets).alias("bucket")).repartitionByRange(ranges, "bucket", "url")
+        derived = magnitude(F.col("embeddings")).alias("magnitude"), bucket_of(F.col("url"), buckets).alias("bucket")
+        return conform(docs, *derived).repartitionByRange(ranges, "bucket", "url")
 
     def _write(self, rows: DataFrame, now: Snapshot, touched: Collection[int]) -> int:
         """Write ``rows``, all there is of the ``touched`` buckets, as a new version, and publish it with the other buckets."""
@@ -155,7 +158,7 @@ class KnowledgeBase:
         kept, in_buckets = mutate.keep_others(self.stored(now, touched), latest.select("url"))
         if in_buckets:
             return self._write(kept.unionByName(self._ranged(latest, now.buckets)), now, touched)
-        return self._write(self._ranged(kept.drop("bucket").unionByName(latest), now.buckets), now, touched)
+        return self._write(self._ranged(scan.documents(kept).unionByName(latest), now.buckets), now, touched)
 
     def delete_prefix(self, prefix: str, context: str | None = None, literal: bool = False) -> int:
         """Only buckets that hold such a document are written anew; they are found on url and context."""
@@ -211,4 +214,4 @@ class KnowledgeBase:
         return vector_search.search_output(self.stored(now, buckets), hits).orderBy("rank")
 
 
-assert KB_COLUMNS == STORED_SCHEMA.names[:-1]
+assert KB_COLUMNS == STORED_SCHEMA.names[:-2]
