@@ -187,7 +187,9 @@ def fit(
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *map(pa.array, inputs.T)], names=["doc_id", "label", *INPUTS])
 
     schema = ", ".join(["doc_id long, label int", *(f"{c} double" for c in INPUTS)])
-    found = rows.mapInArrow(measure, schema).toPandas().sort_values(["doc_id", "label", *INPUTS])
+    # A corpus may repeat a labelled id in any number of rows, so the bound is taken on rows too.
+    measured = rows.mapInArrow(measure, schema).orderBy(F.xxhash64("doc_id", *INPUTS), "doc_id", "label", *INPUTS).limit(max_rows)
+    found = measured.toPandas().sort_values(["doc_id", "label", *INPUTS])
     good, inputs = found["label"].to_numpy() > 0, found[INPUTS].to_numpy()
     if good.all() or not good.any():
         return Model(None, 1.0)
@@ -196,7 +198,7 @@ def fit(
 
 
 def judge(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, COUNTS, base_failed, score, kept) for every row."""
+    """(doc_id, COUNTS, base_failed, kept, score) for every row."""
     rows = docs.select(docs[f"`{id_col}`"].cast("long").alias("doc_id"), docs[f"`{text_col}`"].alias("text"))
 
     def run(batches):
@@ -205,8 +207,8 @@ def judge(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             n, repeats = counts[:, 0], counts[:, 4]
             failed = (n < 20) | (100 * repeats > 30 * n)
             score = model.forest.score(inputs) if model.forest else np.zeros(len(n))
-            columns = [batch.column("doc_id"), *map(pa.array, counts.T), pa.array(failed), pa.array(score), pa.array(~failed & (score <= model.threshold))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *COUNTS, "base_failed", "score", "kept"])
+            columns = [batch.column("doc_id"), *map(pa.array, counts.T), pa.array(failed), pa.array(~failed & (score <= model.threshold)), pa.array(score)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *COUNTS, "base_failed", "kept", "score"])
 
-    schema = ", ".join(["doc_id long", *(f"{c} long" for c in COUNTS), "base_failed boolean, score double, kept boolean"])
+    schema = ", ".join(["doc_id long", *(f"{c} long" for c in COUNTS), "base_failed boolean, kept boolean, score double"])
     return rows.mapInArrow(run, schema)

@@ -155,8 +155,8 @@ def edit(text: str, tree: SegmentTree, start: int, end: int, replacement: str, c
 
 
 def count_tokens(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """(mark, n_tokens, leaf_chars, leaf_tokens), a row for each different text; mark is its hash."""
-    texts = docs.select(F.xxhash64(F.coalesce(docs[f"`{text_col}`"], F.lit(""))).alias("mark"), docs[f"`{text_col}`"].alias("text"))
+    """(mark, n_tokens, leaf_chars, leaf_tokens), a row for each different text; mark is its digest."""
+    texts = docs.select(F.md5(F.coalesce(docs[f"`{text_col}`"], F.lit(""))).alias("mark"), docs[f"`{text_col}`"].alias("text"))
 
     def run(batches):
         count = counter(path, pattern)
@@ -166,21 +166,21 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, text_col: str = "text
             columns = [batch.column("mark"), total, pa.array([c for c, _ in found], pa.list_(pa.int32())), pa.array([t for _, t in found], pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, names=["mark", "n_tokens", "leaf_chars", "leaf_tokens"])
 
-    leaves = texts.mapInArrow(run, "mark long, n_tokens long, leaf_chars array<int>, leaf_tokens array<int>")
+    leaves = texts.mapInArrow(run, "mark string, n_tokens long, leaf_chars array<int>, leaf_tokens array<int>")
     return leaves.groupBy("mark").agg(*[F.first(c).alias(c) for c in ("n_tokens", "leaf_chars", "leaf_tokens")])
 
 
 def recount(docs: DataFrame, state: DataFrame, edits: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, n_before, n_tokens, n_read, leaf_chars, leaf_tokens) with edits (doc_id, seq, start, end, replacement) applied.
 
-    ``state`` is a written table from ``count_tokens``. n_read is the number of characters read again.
+    ``state`` is a written table from ``count_tokens``; texts it lacks are encoded as a whole. n_read is the number of characters read again.
     """
     docs = docs.select(docs[f"`{id_col}`"].cast("long").alias("doc_id"), F.coalesce(docs[f"`{text_col}`"], F.lit("")).alias("text"))
     start = F.coalesce("start", F.lit(0))
     place = start.alias("start"), F.coalesce("end", start).alias("end")
     steps = F.array_sort(F.collect_list(F.struct("seq", *place, F.coalesce("replacement", F.lit("")).alias("replacement"))))
     steps = materialize(edits.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(steps.alias("steps")), "token-edits")
-    rows = docs.withColumn("mark", F.xxhash64("text")).join(broadcast_if_small(state), "mark").join(broadcast_if_small(steps), "doc_id", "left")
+    rows = docs.withColumn("mark", F.md5("text")).join(broadcast_if_small(state), "mark", "left").join(broadcast_if_small(steps), "doc_id", "left")
 
     def run(batches):
         count = counter(path, pattern)
@@ -188,7 +188,9 @@ def recount(docs: DataFrame, state: DataFrame, edits: DataFrame, path: str, patt
             out = []
             for text, chars, tokens, steps in zip(*(batch.column(c) for c in ("text", "leaf_chars", "leaf_tokens", "steps"))):
                 text, read = text.as_py(), 0
-                tree = SegmentTree(chars.values.to_numpy(), tokens.values.to_numpy())
+                # A text that the state does not know is encoded here.
+                leaves = (chars.values.to_numpy(), tokens.values.to_numpy()) if chars.is_valid else count.leaves(text)
+                tree = SegmentTree(*leaves)
                 before = tree.tokens
                 for s in steps.as_py() or ():
                     text, tree, more = edit(text, tree, s["start"], s["end"], s["replacement"], count)

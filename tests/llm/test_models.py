@@ -142,3 +142,17 @@ def test_neighbouring_licences_are_not_confirmed(frame, scanner):
               "1. Redistributions of source code must retain the notice.\n2. Redistributions in binary form must\nreproduce the notice."]
     other += ["Licensed under the BSD 2-Clause License.", "Licensed under CC BY-SA 4.0.", "Licensed under the Apache License, Version 1.1."]
     assert licences.notices(frame(list(enumerate(other))), scanner).collect() == []
+
+
+def test_hints_change_nothing(spark, frame):
+    known = licences.templates(spark)
+    said = licences.hints(known)
+    runs = [r["run"] for r in known.selectExpr("explode(runs) AS run").collect()]
+    assert all(set(r.split(" ")) & set(said) for r in runs) and len(said) < len(set(runs)) / 2
+    rows = [(k, t) for k, t in enumerate(t for ts in licences.TEMPLATES.values() for t in ts)]
+    rows += [(100 + k, t.upper().replace(" ", "\n\n" if k % 2 else "\n", 3)) for k, t in rows]
+    rows += [(200 + k, " ".join(t.split()[1:5])) for k, t in rows[:16]] + [(300, "the and of with or"), (301, None), (302, "LICENSE\nthe\nsoftware")]
+    given = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    for docs in (frame(rows), given):
+        both = [sorted(map(str, licences.candidates(docs, known, "doc_id", "text", hinted=h).collect())) for h in (True, False)]
+        assert both[0] == both[1] and both[0]
