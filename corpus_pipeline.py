@@ -8,7 +8,6 @@ stages that cannot judge it, and repeated rows share their fate.
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,12 +48,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    blocks = decontaminate.seed_blocks(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.select(*COLUMNS).filter(decontaminate.is_clean(blocks, F.col("text")))
+    return decontaminate.without_leaks(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and the digests of them and of what they decode to."""
+    import public_tokenizers
+
     how = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
     return bpe.encode(docs.select("doc_id", "text"), *how, and_decode=True).select("doc_id", "ids", *bpe.digests())
 

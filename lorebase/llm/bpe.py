@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import base64
 from functools import lru_cache
+import tempfile
 from heapq import heapify, heappop, heappush
 from itertools import chain
 
@@ -36,14 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from lorebase.llm.frames import free_name
+from lorebase.llm.frames import free_name, tidy
 from lorebase.llm.words import as_bytes, pieces
 
 REMEMBERED = 600_000
 ROW_BYTES = 256
 WORDS_A_QUERY = 20_000
-TOKENS_A_QUERY = 1_000_000
-BYTES_A_PREPARATION = 4 << 20
+TOKENS_A_QUERY = 400_000
+BYTES_A_PREPARATION = 2 << 20
 
 ENCODE = """
 WITH RECURSIVE step(w, round, pos, tok, beside, after) AS (
@@ -93,7 +94,7 @@ class Tokenizer:
         ]
         a, b, rank = np.array(splits, np.int64).reshape(-1, 3).T
         self.merges = {(x, y): r for x, y, r in splits}
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": tempfile.gettempdir()})
         self._table("merges", {"a": a.astype(np.int32), "b": b.astype(np.int32), "rank": rank})
         # A character for each byte, so that the engine's strings can carry any bytes.
         letters = [t.decode("latin-1") for t in self.ranks]
@@ -213,7 +214,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", and
                     new.append(_decoded(tok, ends, ids))
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *added])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *(StructField(n, t) for n, t in added.items())]))
+    return docs.mapInArrow(tidy(run), StructType([*docs.schema.fields, *(StructField(n, t) for n, t in added.items())]))
 
 
 def _decoded(tok: Tokenizer, ends: np.ndarray, ids: np.ndarray) -> pa.Array:
@@ -236,7 +237,7 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids_col: str = "ids") ->
             ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
             yield pa.RecordBatch.from_arrays([*batch.columns, _decoded(tok, ends, ids)], names=[*batch.schema.names, name])
 
-    return tokens.mapInArrow(run, StructType([*tokens.schema.fields, StructField(name, BinaryType())]))
+    return tokens.mapInArrow(tidy(run), StructType([*tokens.schema.fields, StructField(name, BinaryType())]))
 
 
 def digests(ids_col: str = "ids", bytes_col: str = "decoded") -> list:

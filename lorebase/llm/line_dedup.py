@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from lorebase.llm.frames import free_name, renamed
+from lorebase.llm.frames import free_name, renamed, tidy
 from lorebase.session import materialize
 
 MIN_CHARS = 20
@@ -236,7 +236,7 @@ def without_lines(docs: DataFrame, lost: DataFrame, id_col: str, text_col: str,
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     schema = StructType([*docs.schema.fields, StructField(out["kept"], StringType()), StructField(out["n_lines"], LongType()), StructField(out["n_dropped"], LongType())])
-    return joined.mapInArrow(rebuild, schema)
+    return joined.mapInArrow(tidy(rebuild), schema)
 
 
 def dedup_lines(

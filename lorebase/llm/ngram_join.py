@@ -45,6 +45,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorebase.llm.components import components
+from lorebase.llm.frames import tidy
 from lorebase.llm.words import Words, as_bytes, mix, pieces
 from lorebase.session import broadcast_if_small, materialize
 
@@ -151,7 +152,7 @@ def set_table(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
             arrays = [batch.column("doc_id"), *[pa.array(values, kind) for values, kind in kinds]]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "step", "digest", "mark", "profile"])
 
-    return docs.mapInArrow(make, "doc_id long, n_shingles long, step int, digest binary, mark long, profile binary")
+    return docs.mapInArrow(tidy(make), "doc_id long, n_shingles long, step int, digest binary, mark long, profile binary")
 
 
 def shared_keys(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -165,7 +166,7 @@ def shared_keys(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
             keys = np.concatenate([*held.values(), np.zeros(0, np.int64)])
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(marks)], names=["key", "mark"])
 
-    rows = docs.mapInArrow(make, "key long, mark long")
+    rows = docs.mapInArrow(tidy(make), "key long, mark long")
     by_key = Window.partitionBy("key").orderBy("mark")
     beside = rows.withColumns({"before": F.lag("mark").over(by_key), "after": F.lead("mark").over(by_key)})
     return beside.filter("before != mark OR after != mark").select("key", "mark").distinct()
@@ -176,9 +177,12 @@ def tied_by_profile(sizes: np.ndarray, profiles: list[bytes], num: int, den: int
     root = np.arange(len(sizes))
     classes = min((len(p) for p in profiles if p), default=1)
     table = np.stack([np.frombuffer(p, np.uint8).astype(np.int32).reshape(-1, classes).sum(axis=0) if p else np.full(classes, 1 << 30, np.int32) for p in profiles])
+    step = max(1, (1 << 20) // classes)
     for k in range(len(sizes) - 1):
         others = k + 1 + np.flatnonzero(root[k + 1 :] != root[k])
-        overlap = np.minimum(table[others], table[k]).sum(axis=1)
+        overlap = np.zeros(len(others), np.int64)
+        for lo in range(0, len(others), step):
+            overlap[lo : lo + step] = np.minimum(table[others[lo : lo + step]], table[k]).sum(axis=1)
         may = others[(num + den) * overlap >= num * (sizes[others] + sizes[k])]
         if len(may):
             root[np.isin(root, root[may])] = root[k]
@@ -221,7 +225,7 @@ def neighbours(shared: DataFrame, nodes: DataFrame, num: int, den: int, many: in
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
         return None if last else table.slice(cuts[-2])
 
-    tested = rows.select("key", "mark", "n_shingles", "profile").mapInArrow(test, "a long, b long")
+    tested = rows.select("key", "mark", "n_shingles", "profile").mapInArrow(tidy(test), "a long, b long")
     return tested.unionByName(hubs).distinct()
 
 
@@ -447,7 +451,7 @@ def linked_components(
             yield pa.RecordBatch.from_arrays([batch.column("comp"), batch.column("cells"), blobs], names=["comp", "cells", "grams"]).filter(own)
 
     texts = docs.join(broadcast_if_small(dealt), "doc_id").select("mark", "comp", "cells", "text")
-    full = texts.mapInArrow(to_sets, "comp long, cells array<string>, grams binary")
+    full = texts.mapInArrow(tidy(to_sets), "comp long, cells array<string>, grams binary")
 
     def join_cell(pdf: pd.DataFrame) -> pd.DataFrame:
         blobs = pdf["grams"].drop_duplicates().to_numpy()

@@ -2,7 +2,7 @@
 
 Fit
     Training rows are documents with a label. At most ``max_rows`` of them are used, those with
-    the smallest hash of their id. Each becomes the set of its hashed features: words, pairs of
+    the smallest hash of their id (and, where ids repeat, of their id and features). Each becomes the set of its hashed features: words, pairs of
     neighbours, and pairs with one word between. FTRL-proximal reads them one by one in a hashed
     order, ``epochs`` times, with a learning rate of its own for every coordinate and an L1 term
     that leaves rare features at exactly zero. It is an online method: the one task that runs it
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorebase.llm.frames import renamed
+from lorebase.llm.frames import renamed, tidy
 from lorebase.llm.words import NOT_ALNUM, Words, as_bytes, pieces
 from lorebase.session import materialize
 
@@ -137,7 +137,9 @@ def fit(
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "features"])
 
     rows = renamed(docs, doc_id=id_col, text=text_col).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
-    rows = materialize(rows.mapInArrow(extract, "doc_id long, label int, features binary"), "toxicity-rows")
+    rows = materialize(rows.mapInArrow(tidy(extract), "doc_id long, label int, features binary"), "toxicity-rows")
+    if rows.count() > max_rows:  # a corpus may repeat a labelled id in any number of rows
+        rows = materialize(rows.orderBy(F.xxhash64("doc_id", "features"), "doc_id", "label", "features").limit(max_rows), "toxicity-rows")
 
     def learn(batches):
         learner = Learner(bits, how)
@@ -154,7 +156,7 @@ def fit(
         for k in range(how.epochs)
     ]
     stream = reduce(DataFrame.union, rounds).coalesce(1)
-    found = stream.mapInArrow(learn, "index long, weight double").toPandas().sort_values("index")
+    found = stream.mapInArrow(tidy(learn), "index long, weight double").toPandas().sort_values("index")
     index, weight = found["index"].to_numpy(), found["weight"].to_numpy()
     bias = index == 1 << bits
     return Model(index[~bias], weight[~bias], float(weight[bias].sum()), bits)

@@ -156,3 +156,17 @@ def test_hints_change_nothing(spark, frame):
     for docs in (frame(rows), given):
         both = [sorted(map(str, licences.candidates(docs, known, "doc_id", "text", hinted=h).collect())) for h in (True, False)]
         assert both[0] == both[1] and both[0]
+
+
+def test_learning_rows_are_bounded_whatever_ids_repeat(spark, frame):
+    """One labelled id in most rows: the bound is on rows, not on ids."""
+    docs = frame([(1, f"bad word {k} " * 9) for k in range(300)] + [(k, f"good text {k} " * 9) for k in range(2, 40)])
+    labels = spark.createDataFrame([(k, int(k == 1), int(k != 1)) for k in range(1, 40)], "doc_id long, toxic int, quality int")
+    seen = []
+    learn, grow = toxicity.materialize, quality.Forest.grow
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(toxicity, "materialize", lambda df, *a: seen.append(learn(df, *a)) or seen[-1])
+        m.setattr(quality.Forest, "grow", lambda rows, *a: seen.append(rows) or grow(rows, *a))
+        toxicity.fit(docs, labels, max_rows=60)
+        quality.fit(docs, labels, max_rows=60)
+    assert seen[-2].count() == 60 and len(seen[-1]) == 60

@@ -1,13 +1,17 @@
 import random
+import resource
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from compare import difference, duck
-from lorebase.llm.decontaminate import is_clean, leaks, seed_blocks, tile
+from lorebase.llm.decontaminate import SeedIndex, leaks, tile, without_leaks
 from lorebase.llm.registry import ORACLES, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 @pytest.mark.parametrize("name", list(ORACLES))
@@ -20,7 +24,7 @@ def test_everything_is_registered():
 
     names = set(entry.queries())
     assert "pipeline" in names
-    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 14))
     assert set(ORACLES) <= set(entry.oracle_sql())
 
 
@@ -57,12 +61,31 @@ def test_tiles_equal_brute_force():
         b = [rng.choice("abc") for _ in range(10)] + a[5:] + a[:7]
         seeds = [(i, j) for i in range(len(a) - 2) for j in range(len(b) - 2) if a[i : i + 3] == b[j : j + 3]]
         if seeds:
-            import numpy as np
-
-            place, at = map(np.array, zip(*seeds))
+            place = np.unique([i for i, _ in seeds])
+            at = [np.array([j for i, j in seeds if i == p]) for p in place]
             assert sorted(tile(place, at, 3)) == brute_tiles(a, b, 3)
 
 
+def test_very_repetitive_texts():
+    """Every place of one meets every place of the other; the pairs are never held."""
+    index = SeedIndex([1, 2], pa.array(["word " * 4000, "one two " * 500]), 5)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    found = list(index.leaks(pa.array(["word " * 50_000, "one two " * 9000, "two one " * 300]), 0.5))
+    assert [(d, i, t) for d, i, t in found] == [(0, 0, [(0, 0, 4000)]), (1, 1, [(0, 0, 1000)]), (2, 1, [(1, 0, 600)])]
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000  # KB
+
+
+def test_a_large_benchmark_is_joined_by_its_seeds(spark, frame, odd):
+    bench = spark.read.parquet(f"{SF_DIR}/benchmark.parquet")
+    repeated = bench.unionByName(bench.limit(3)).unionByName(spark.createDataFrame([(None, "a b c d e f"), (9, None), (8, "")], bench.schema))
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").unionByName(odd.select(*COLUMNS)).unionByName(frame([(4, "x a b c d e f y")]).select(*COLUMNS))
+    shown = [sorted(map(str, leaks(docs, repeated, block_bytes=n).collect())) for n in (1 << 30, 0)]
+    assert shown[0] == shown[1] and len(shown[0]) >= 4
+    kept = [sorted(map(str, without_leaks(docs, repeated, block_bytes=n).collect())) for n in (1 << 30, 0)]
+    assert kept[0] == kept[1] and 0 < len(kept[0]) < docs.count()
+    assert leaks(docs, repeated.limit(0), block_bytes=-1).count() == 0 and without_leaks(odd.limit(0), bench, block_bytes=0).count() == 0
+
+
 def test_leaks_in_any_order(spark, frame, odd):
     rng = random.Random(1)
     item = [f"w{k}" for k in range(40)]
@@ -77,8 +100,7 @@ def test_leaks_in_any_order(spark, frame, odd):
     items = spark.createDataFrame(bench, "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): (r["n_covered"], r["n_words"], len(r["tiles"])) for r in leaks(docs, items).collect()}
     assert got == {(1, 1): (40, 40, 1), (2, 1): (40, 40, 2), (4, 1): (32, 40, 1), (5, 1): (40, 40, 1), (5, 2): (12, 12, 1)}
-    clean = docs.filter(is_clean(seed_blocks(items), docs["text"]))
-    assert sorted(r["doc_id"] for r in clean.collect()) == [3, 6, 7, 8]
+    assert sorted(r["doc_id"] for r in without_leaks(docs, items).collect()) == [3, 6, 7, 8]
     assert leaks(odd, items).count() == 0 and leaks(docs, items.limit(0)).count() == 0 and leaks(frame([]), items).count() == 0
     assert {r["item_id"] for r in leaks(odd, spark.createDataFrame([(1, "word " * 50)], "item_id long, text string")).collect()} == {1}
 
@@ -101,8 +123,6 @@ def test_decontamination_query(spark):
 
 # -- pipeline ------------------------------------------------------------------------------
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
 
 def test_stages(spark):
     docs, rows = spark.read.parquet(f"{SF_DIR}/documents.parquet"), {}

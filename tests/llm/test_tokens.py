@@ -124,3 +124,13 @@ def test_count_query_over_odd_rows(odd, library, tmp_path):
         want.append((r["doc_id"], len(library.encode_ordinary(x)), len(library.encode_ordinary(y)) if r["doc_id"] is not None else len(library.encode_ordinary(x))))
     got = QUERIES["op7_token_counts"](odd.sparkSession, str(tmp_path)).collect()
     assert sorted(want, key=repr) == sorted(((r["doc_id"], r["n_before"], r["n_tokens"]) for r in got), key=repr)
+
+
+def test_texts_that_the_state_lacks_are_encoded(frame, library):
+    docs = frame([(1, "one two three"), (2, "not in the state"), (2, "nor this"), (3, None)])
+    state = token_counts.count_tokens(frame([(9, "one two three")]), PATH, P.PATTERN)
+    edits = frame([]).sparkSession.createDataFrame([(2, 1, 0, 3, "was")], "doc_id long, seq int, start int, end int, replacement string")
+    got = token_counts.recount(docs, state, edits, PATH, P.PATTERN).collect()
+    count = lambda t: len(library.encode_ordinary(t))
+    want = [(1, "one two three", "one two three"), (2, "not in the state", "was in the state"), (2, "nor this", "was this"), (3, "", "")]
+    assert sorted((r["doc_id"], r["n_before"], r["text"], r["n_tokens"]) for r in got) == sorted((d, count(a), b, count(b)) for d, a, b in want)
