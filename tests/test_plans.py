@@ -120,3 +120,11 @@ def test_rounds_of_a_crawl_do_not_shuffle_a_large_page_index(spark, monkeypatch)
     assert text.count("Exchange") == 1 and "Bucketed: true" in text
     assert index.count() == 49
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("lorebase_")]
+
+
+def test_search_reads_stored_magnitudes(spark, kb):
+    text = plan(search.search(kb.stored(), bed.query_vector(spark, SF_DIR), 3))
+    docs = next(line for line in scans(text) if "magnitude" in line)
+    assert "url:string,embeddings:array<float>,magnitude:double" in docs.split("ReadSchema")[1]
+    stored = search.search(kb.stored(), bed.query_vector(spark, SF_DIR), 50).collect()
+    assert stored == search.search(kb.documents(), bed.query_vector(spark, SF_DIR), 50).collect()
