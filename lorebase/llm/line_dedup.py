@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from lorebase.llm.frames import free_name, renamed, tidy
-from lorebase.session import materialize
+from lorebase.session import materialize, new_work_path
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -255,40 +255,90 @@ def dedup_lines(
 
 
 class LineIndex:
-    """The state above as tables in the shared work folder, changed by batches of documents."""
+    """The state above as tables in the shared work folder, changed by batches of documents.
 
-    def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, shards: int = 16):
+    References are a log of (key, doc_id, change), by batch and shard of the key. Counts and
+    filters are held by shard: a batch counts the keys of its own references anew, from the log of
+    their shards, and writes these shards, no others. Which batch wrote a shard's newest version is
+    known to this object alone and changes last, so a batch that fails has not happened.
+    """
+
+    LOG = "key binary, doc_id long, change int"
+    COUNTS = "key binary, n_docs long, keeper long"
+    FILTERS = "filter binary"
+
+    def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, shards: int = 64):
         self.spark, self.min_docs, self.min_chars, self.shards = spark, min_docs, min_chars, shards
-        self.refs = self.common = self.filters = None
+        self.path, self.batches = new_work_path(spark, "line-index"), 0
+        self.newest: dict[str, dict[int, int]] = {"counts": {}, "filters": {}}
+
+    # -- tables ------------------------------------------------------------------
+
+    def _write(self, rows: DataFrame, name: str, batch: int) -> set[int]:
+        """Write rows by shard; returns the shards that have some."""
+        folder = f"{self.path}/{name}/batch={batch}"
+        rows.write.mode("overwrite").partitionBy("shard").parquet(folder)
+        shape = StructType([f for f in rows.schema.fields if f.name != "shard"]).add("shard", "integer")
+        return {r["shard"] for r in self.spark.read.schema(shape).parquet(folder).select("shard").distinct().collect()}
+
+    def _read(self, name: str, shape: str, only: set[int] | None = None) -> DataFrame:
+        paths = [f"{self.path}/{name}/batch={b}/shard={s}" for s, b in sorted(self.newest[name].items()) if only is None or s in only]
+        if not paths:
+            return self.spark.createDataFrame([], f"{shape}, shard int")
+        read = self.spark.read.schema(f"{shape}, shard int").option("basePath", f"{self.path}/{name}").parquet(*paths)
+        return read.select(*[c.split()[0] for c in shape.split(", ")], "shard")
+
+    def _live(self, log: DataFrame) -> DataFrame:
+        return log.groupBy("key", "doc_id").agg(F.sum("change").alias("n")).filter("n > 0").select("key", "doc_id")
+
+    def _log(self) -> DataFrame:
+        if not self.batches:
+            return self.spark.createDataFrame([], f"{self.LOG}, batch int, shard int")
+        log = self.spark.read.schema(f"{self.LOG}, batch int, shard int").parquet(f"{self.path}/log")
+        return log.filter(F.col("batch") <= self.batches)
+
+    # -- changes -----------------------------------------------------------------
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
         """Add documents; one that is there already is replaced."""
-        new = references(docs, id_col, text_col, self.min_chars)
-        if self.refs is not None:
-            ids = renamed(docs, doc_id=id_col).distinct()
-            new = self.refs.join(ids, "doc_id", "left_anti").select("key", "doc_id").unionByName(new)
-        return self._replace(new)
+        new = references(docs, id_col, text_col, self.min_chars).withColumn("change", F.lit(1))
+        return self._apply(new.unionByName(self._taken(renamed(docs, doc_id=id_col))))
 
     def delete(self, ids: DataFrame, id_col: str = "doc_id") -> LineIndex:
-        gone = renamed(ids, doc_id=id_col).distinct()
-        return self._replace(self.refs.join(gone, "doc_id", "left_anti").select("key", "doc_id"))
-
-    def _replace(self, refs: DataFrame) -> LineIndex:
-        self.refs = materialize(refs, "line-refs")
-        common = materialize(common_keys(self.refs, self.min_docs), "line-common")
-        if self.filters is None:
-            filters = build_filters(common, self.shards)
-        else:
-            sides = [
-                common.join(self.common, "key", "left_anti").select("key", F.lit(True).alias("added")),
-                self.common.join(common, "key", "left_anti").select("key", F.lit(False).alias("added")),
-            ]
-            changed = materialize(change_filters(self.filters, reduce(DataFrame.unionByName, sides), self.shards), "line-filters")
-            full = changed.filter("filter IS NULL").select("shard")
-            again = common.withColumn("shard", shard_of(self.shards)).join(full, "shard", "left_semi")
-            filters = changed.filter("filter IS NOT NULL").unionByName(build_filters(again, self.shards))
-        self.common, self.filters = common, materialize(filters, "line-filters")
+        return self._apply(self._taken(renamed(ids, doc_id=id_col)))
+
+    def _taken(self, ids: DataFrame) -> DataFrame:
+        own = self._log().join(ids.distinct(), "doc_id", "left_semi").select("key", "doc_id", "change")
+        return self._live(own).withColumn("change", F.lit(-1))
+
+    def _apply(self, changes: DataFrame) -> LineIndex:
+        batch = self.batches + 1
+        net = changes.groupBy("key", "doc_id").agg(F.sum("change").cast("int").alias("change")).filter("change != 0")
+        touched = self._write(net.withColumn("shard", shard_of(self.shards)), "log", batch)
+        if not touched:
+            return self
+        log = self.spark.read.schema(f"{self.LOG}, batch int, shard int").parquet(f"{self.path}/log")
+        log = log.filter((F.col("batch") <= batch) & F.col("shard").isin(sorted(touched)))
+        keys = materialize(log.filter(F.col("batch") == batch).select("key").distinct(), "line-keys")
+        before = self._read("counts", self.COUNTS, touched)
+        counted = self._live(log.join(keys, "key", "left_semi")).groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper"))
+        after = before.drop("shard").join(keys, "key", "left_anti").unionByName(counted)
+        after = materialize(after.withColumn("shard", shard_of(self.shards)), "line-counts")
+        had, has = (t.filter(F.col("n_docs") >= self.min_docs).select("key") for t in (before, after))
+        sides = [has.join(had, "key", "left_anti").withColumn("added", F.lit(True)), had.join(has, "key", "left_anti").withColumn("added", F.lit(False))]
+        held = self._read("filters", self.FILTERS, touched).select("shard", "filter")
+        changed = materialize(change_filters(held, reduce(DataFrame.unionByName, sides), self.shards), "line-filters")
+        full = changed.filter("filter IS NULL").select("shard")
+        again = after.filter(F.col("n_docs") >= self.min_docs).join(full, "shard", "left_semi")
+        filters = changed.filter("filter IS NOT NULL").unionByName(build_filters(again, self.shards))
+        written = {"counts": self._write(after, "counts", batch), "filters": self._write(filters, "filters", batch)}
+        for name, shards in written.items():
+            kept = {s: b for s, b in self.newest[name].items() if s not in touched}
+            self.newest[name] = kept | dict.fromkeys(shards, batch)
+        self.batches = batch
         return self
 
     def lost(self) -> DataFrame:
-        return lost_lines(self.refs, self.common, self.filters, self.shards)
+        refs = materialize(self._live(self._log()), "line-refs")
+        common = self._read("counts", self.COUNTS).filter(F.col("n_docs") >= self.min_docs).drop("shard")
+        return lost_lines(refs, common, self._read("filters", self.FILTERS).select("shard", "filter"), self.shards)

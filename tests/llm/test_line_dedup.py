@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
 
@@ -64,3 +66,44 @@ def test_filter_holds_all_and_forgets(n):
         assert again.delete(mark, bucket)
     assert again.contains(keys[1::2]).all()
     assert not n or again.contains(keys[::2]).mean() < 0.1
+
+
+def test_a_batch_writes_only_its_shards(spark, frame):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    index = LineIndex(spark, shards=64).insert(docs)
+    root = Path(index.path.removeprefix("file:"))
+
+    def written(batch):
+        return {p.relative_to(root).parts[0]: sorted({q.parent.name for q in root.glob(f"{p.name}/batch={batch}/shard=*/*.parquet")}) for p in root.iterdir()}
+
+    assert len(written(1)["counts"]) > 40
+    old = {p: p.stat().st_mtime_ns for p in root.rglob("*.parquet")}
+    shared = [r["text"] for r in docs.collect()][0].split("\n")[0]
+    one = frame([(10**6, "a line of its own that nobody else has\n" + shared)])
+    index.insert(one)
+    assert 1 <= len(written(2)["counts"]) <= 2 and written(2)["counts"] == written(2)["log"]
+    assert all(p.stat().st_mtime_ns == t for p, t in old.items())
+    everything = docs.unionByName(one.select("doc_id", "text"))
+    lost = {(r["doc_id"], len(r["keys"])) for r in index.lost().collect()}
+    want = {(d, n) for d, n in dropped(everything).items() if n}
+    assert lost == want and want
+    index.delete(one).delete(docs.filter("doc_id % 3 = 0"))
+    left = docs.filter("doc_id % 3 != 0")
+    assert {(r["doc_id"], len(r["keys"])) for r in index.lost().collect()} == {(d, n) for d, n in dropped(left).items() if n}
+    assert index.delete(one).batches == 4  # nothing to take away
+
+
+def dropped(docs):
+    """Number of different common lines that each document loses."""
+    held = {}
+    for r in docs.collect():
+        for x in (r["text"] or "").split("\n"):
+            key = x.strip(" \t\n\x0b\x0c\r").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+            if len(key) >= 20:
+                held.setdefault(key, set()).add(r["doc_id"])
+    out = {}
+    for ids in held.values():
+        if len(ids) >= 3:
+            for d in ids - {max(ids)}:
+                out[d] = out.get(d, 0) + 1
+    return out
