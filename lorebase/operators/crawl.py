@@ -66,8 +66,8 @@ def crawl(index: DataFrame, seeds: DataFrame, max_depth: int = DEFAULT_DEPTH, re
         tried.append(visits.select(*visit))
         # A page whose parse failed is kept, but its links are not followed.
         origin = dict.fromkeys(["base_url", against])
-        edges = visits.filter("_found AND error IS NULL").select(*origin, F.explode(F.array_distinct("hrefs")).alias("href"))
-        links = resolve_links(edges, "base_url", against)
+        edges = visits.filter("_found AND error IS NULL").select(*origin, F.explode("hrefs").alias("href")).distinct()
+        links = resolve_links(edges, "base_url", against, split=size > ROWS_PER_TASK)
         to = [F.col(f"_to.{name}").alias(name) for name in ("url", "key", "path")]
         targets = links.select("base_url", *to).dropDuplicates(visit).join(reduce(DataFrame.unionByName, tried), visit, "left_anti")
     return reduce(DataFrame.unionByName, reached) if reached else targets.limit(0).withColumn("depth", F.lit(0))

@@ -96,15 +96,19 @@ def link_edges(parsed: DataFrame, url_col: str = "url") -> DataFrame:
     return parsed.select(F.col(url_col).alias("src_url"), F.posexplode("hrefs").alias("ord", "href"))
 
 
-def resolve_links(edges: DataFrame, base_col: str = "base_url", against: str | None = None) -> DataFrame:
+def resolve_links(edges: DataFrame, base_col: str = "base_url", against: str | None = None, split: bool = True) -> DataFrame:
     """Resolve each href and keep those on the host of the base; schemes may differ.
 
     References are resolved against the base URL of the site (``against`` names another
     column, such as the page itself). Unusable references and other hosts drop out. Usual
     references are resolved by expressions; a filter leaves the others to Python, so ``edges``
-    is read twice.
+    is read twice. ``split=False`` resolves all in one Python pass: for few, distinct edges the
+    larger plan costs more than it saves.
     """
     against, href = against or base_col, F.col("href")
+    if not split:
+        known = edges.dropna(subset=[base_col, against, "href"])
+        return known.withColumn("_to", _resolve.asNondeterministic()(F.col(base_col), F.col(against), href)).filter("_to.same_site")
     usual = links.usual_reference(href) & links.usual_url(F.col(base_col)) & links.usual_url(F.col(against))
     done = links.resolved(edges.filter(usual), base_col, against, "href", "_to")
     odd = edges.filter(~usual & ~links.leads_nowhere(href)).dropna(subset=[base_col, against, "href"])
