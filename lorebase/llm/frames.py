@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import ctypes
-from collections.abc import Callable, Iterable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorebase.functions.memory import give_back, tidy  # noqa: F401
+
 
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or the first ``name_2``, ``name_3``... that ``df`` does not have (case does not count)."""
@@ -24,29 +22,6 @@ def renamed(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[f"`{old}`"].alias(new) for new, old in columns.items()])
 
 
-def tidy(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
-    """``run`` for ``mapInArrow``, giving freed memory back to the system when a task ends.
-
-    Python workers live on from stage to stage, and what their allocators keep of one would add to
-    the next.
-    """
-
-    def tidied(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            yield from run(batches)
-        finally:
-            give_back()
-
-    return tidied
-
-
-def give_back() -> None:
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
-    if trim:
-        trim(0)
-
-
 def settled(df: DataFrame, **columns: Column) -> DataFrame:
     """``df`` plus columns that are computed once a row, whatever refers to them later.
 

@@ -138,3 +138,19 @@ def test_vector_json(spark):
     assert [r.e is None for r in rows] == [True, True, True, False, False, False]
     back = spark.createDataFrame([([1.5, 2.0],), (None,)], "v array<float>").select(vectors.embeddings_to_json(F.col("v")))
     assert [r[0] for r in back.collect()] == ["[1.5,2.0]", "null"]
+
+
+def test_wide_search_tasks_emit_little_more_than_k_rows_together(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(4000, 8)).astype(np.float32)
+    vectors[:300] = vectors[0]  # a group of copies
+    docs = spark.createDataFrame([(f"u{i:05}", [float(x) for x in v]) for i, v in enumerate(vectors)], "url string, embeddings array<float>").repartition(8)
+    docs = docs.withColumn("context", F.lit(""))
+    asked = spark.createDataFrame([(i, [float(x) for x in vectors[i * 7]]) for i in range(30)], "query_id long, embedding array<float>")
+    emitted = []
+    monkeypatch.setattr(search, "_merged", lambda part, k, real=search._merged: emitted.append(part.count()) or real(part, k))
+    hits = {tuple(r) for r in search.search_batch(docs, asked, 200, -1.0).select("query_id", "url", "score", "rank").collect()}
+    monkeypatch.setattr(search, "FLOORED_K", 1 << 30)
+    plain = {tuple(r) for r in search.search_batch(docs, asked, 200, -1.0).select("query_id", "url", "score", "rank").collect()}
+    assert hits == plain and len(hits) == 30 * 200
+    assert emitted[0] < 30 * 200 * 3 < 30 * 200 * 8 * 0.9 < emitted[1]
