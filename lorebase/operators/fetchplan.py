@@ -9,13 +9,14 @@ from lorebase.operators.ordering import join_chunk_summary, largest_group, order
 from lorebase.session import ROWS_PER_TASK
 
 
-def plan_fetches(requests: DataFrame, delay: int, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def plan_fetches(requests: DataFrame, delay: int, rows_per_task: int = ROWS_PER_TASK, chunk_rows: int | None = None) -> DataFrame:
     """Add ``start`` to requests(host, arrival, id); arrival and delay are integers of one unit.
 
     A request starts at its arrival or ``delay`` after the previous start of its host. With
     i the position in arrival order this is i*delay + max over the requests so far of
     (arrival - i*delay), a running maximum. The maximum of a host too large for one task is
-    taken per ordered chunk and carried over from the chunks before it.
+    taken per ordered chunk and carried over from the chunks before it. A chunk is a task and has
+    about ``chunk_rows`` rows, ``rows_per_task`` by default.
     """
     order = [F.col("arrival"), F.col("id")]
     step = F.lit(delay).cast("long")
@@ -28,7 +29,7 @@ def plan_fetches(requests: DataFrame, delay: int, rows_per_task: int = ROWS_PER_
         return rows.withColumn("start", start).drop("_i")
 
     spec = Window.partitionBy("host", "_chunk").orderBy(*order)
-    rows = ordered_chunks(requests, ["host"], order, rows_per_task).withColumn("_i", F.row_number().over(spec).cast("long") - 1)
+    rows = ordered_chunks(requests, ["host"], order, chunk_rows or rows_per_task).withColumn("_i", F.row_number().over(spec).cast("long") - 1)
     rows = rows.withColumn("_run", F.max(lead).over(spec.rowsBetween(*running)))
     before = preceding_chunks(["host"])
     summary = (
