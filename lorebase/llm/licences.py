@@ -10,9 +10,9 @@ tells licence families and *unknown* apart.
 Training rows are the templates, whole and with words missing at either end or anywhere between,
 but for the words that decide on the family. For *unknown* there are templates with their words
 backwards and lines made of their halves; near misses, which are notices of other licences and
-templates with a deciding word replaced; and lines of the corpus, at most ``max_lines`` that share
-no three words with a template and as many that share some but stay below the overlap (least hash
-first, from ``max_docs`` documents). About half of the unknown rows are put aside, and the
+templates with a deciding word replaced; and all lines of the corpus that stay below the overlap,
+counted by their features, so that a row stands for all lines alike. Those that share three words with
+a template, and those that do not, are scaled to a fixed weight each. About half of the unknown rows are put aside, and the
 probability that a family needs is calibrated on them: at most ``false_share`` of them pass, of
 near misses and other rows each. A near miss counts for the families that its overlap would confirm.
 
@@ -110,6 +110,8 @@ OTHERS = ["affero", "lesser", "eclipse", "2-clause", "by-sa", "attribution-share
 TELLING = 6
 """Letters of a word that is rare enough in other texts to look for it alone."""
 OVERLAP = 0.6
+ROWS_PER_PART = 50_000
+"""Training rows that one task reads again and again."""
 # The opening of BSD-2-Clause is that of BSD-3-Clause; a text with the second condition and no third is BSD-2-Clause.
 BSD_BINARY = r"(?i)redistributions[^\p{L}\p{N}]+in[^\p{L}\p{N}]+binary[^\p{L}\p{N}]+form[^\p{L}\p{N}]+must"
 BSD_THIRD = r"(?i)endorse[^\p{L}\p{N}]+or[^\p{L}\p{N}]+promote"
@@ -149,7 +151,33 @@ def near_misses(known: DataFrame) -> DataFrame:
     return notes.unionByName(swaps.select(F.col("swapped").alias("words"), (F.pmod(F.xxhash64("swapped"), F.lit(2)) == 0).alias("aside")))
 
 
-def training_rows(docs: DataFrame, known: DataFrame, max_docs: int, max_lines: int) -> DataFrame:
+def corpus_lines(docs: DataFrame, known: DataFrame, vocabulary: list[str], weight: float) -> DataFrame:
+    """(tokens, has, aside, near, weight): all lines with words of all texts, by what the classifier sees of them.
+
+    ``tokens`` has a line's features in the vocabulary and ``has`` its runs that a template has; lines alike
+    in both are one row. Lines that reach the overlap are left out. All lines with a run of a template, and
+    all without, weigh at most ``weight`` together.
+    """
+    told = [r["run"] for r in known.select(F.explode("runs").alias("run")).distinct().orderBy("run").collect()]
+    single, double = (F.array(*[F.lit(t) for t in vocabulary if (" " in t) == two]) for two in (False, True))
+    none = F.array().cast("array<string>")
+    lines = settled(docs.select(F.explode(F.split("text", "\n", -1)).alias("line")), words=words(F.col("line"))).filter(F.size("words") > 0)
+    lines = settled(lines.select("words"), alone=F.array_intersect("words", single))
+    pairs = F.zip_with("words", F.slice("words", F.lit(2), F.size("words")), lambda a, b: F.concat(a, F.lit(" "), b))  # null behind the last word
+    lines = settled(lines, pairs=F.when(F.size("alone") > 1, F.array_intersect(pairs, double)).otherwise(none))
+    has = F.when(F.size("pairs") > 1, F.array_intersect(runs(F.col("words"), 3), F.array(*map(F.lit, told)))).otherwise(none)
+    aside = F.pmod(F.xxhash64("words"), F.lit(2)) == 0
+    seen = lines.select(F.sort_array(F.concat("alone", "pairs")).alias("tokens"), F.sort_array(has).alias("has"), aside.alias("aside"))
+    seen = materialize(seen.groupBy("tokens", "has", "aside").agg(F.count("*").alias("n")), "licence-lines")
+    seen = seen.withColumn("near", F.size("has") > 0)
+    templates_ = F.array(*[F.array(*map(F.lit, r["runs"])) for r in known.select("runs").collect()])
+    below = seen.filter(~F.exists(templates_, lambda t: share(F.col("has"), t) >= OVERLAP))
+    totals = {r["near"]: r["n"] for r in below.groupBy("near").agg(F.sum("n").alias("n")).collect()}  # two rows
+    of = F.when(F.col("near"), F.lit(min(1.0, weight / totals.get(True, 1)))).otherwise(F.lit(min(1.0, weight / totals.get(False, 1))))
+    return below.withColumn("weight", F.col("n") * of).drop("n")
+
+
+def made_rows(known: DataFrame) -> DataFrame:
     """(family, words, aside, near): ``aside`` marks the rows kept for calibration, ``near`` those that look like a notice but are none."""
     decides = F.array_intersect("words", F.array(*map(F.lit, DECIDING))).alias("decides")
     kept = known.select("family", "words", decides)
@@ -163,17 +191,7 @@ def training_rows(docs: DataFrame, known: DataFrame, max_docs: int, max_lines: i
 
     back = known.select(F.reverse("words").alias("words"))
     half = known.select(F.explode(F.array(F.slice("words", F.lit(1), F.lit(3)), F.slice("words", F.size("words") - 1, F.lit(2)))).alias("words"))
-    made = back.unionByName(half).select("words", (F.pmod(F.xxhash64("words"), F.lit(2)) == 0).alias("aside"), F.lit(False).alias("near"))
-    sample = docs.orderBy(F.xxhash64("text"), "text").limit(max_docs).select(F.explode(F.split("text", "\n", -1)).alias("line"))
-    lines = settled(sample.distinct(), words=words(F.col("line"))).filter(F.size("words") > 0)
-    told = known.agg(F.collect_set("runs").alias("told"))
-    lines = settled(lines, runs=runs(F.col("words"), 3)).crossJoin(F.broadcast(told))  # a single row of templates
-    lines = settled(lines, best=F.array_max(F.transform("told", lambda t: share(F.col("runs"), t)))).filter(F.col("best") < OVERLAP)
-    lines = lines.select("line", "words", (F.col("best") > 0).alias("near"))
-    sure = lines.filter("NOT near").orderBy(F.xxhash64("line"), "line").limit(max_lines)
-    close = lines.filter("near").orderBy(F.xxhash64("line"), "line").limit(max_lines)
-    aside = F.pmod(F.xxhash64("words"), F.lit(2)) == 0
-    no = made.unionByName(sure.unionByName(close).select("words", aside.alias("aside"), "near"))
+    no = back.unionByName(half).select("words", (F.pmod(F.xxhash64("words"), F.lit(2)) == 0).alias("aside"), F.lit(False).alias("near"))
     near = near_misses(known).withColumn("near", F.lit(True)).withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(5)))).drop("_k")
     no = no.unionByName(near)
     return yes.unionByName(no.withColumn("family", F.lit(UNKNOWN)))
@@ -188,7 +206,8 @@ class Classifier:
     known: DataFrame
 
 
-def fit(docs: DataFrame, text_col: str = "text", max_docs: int = 400, max_lines: int = 4000, false_share: float = 0.001) -> Classifier:
+def fit(docs: DataFrame, text_col: str = "text", weight: float = 4000, false_share: float = 0.001) -> Classifier:
+    """``weight``: what the corpus lines with a run of a template, and those without, weigh in all, a made row being 1."""
     spark = docs.sparkSession
     known = templates(spark)
     said = known.select("words").unionByName(near_misses(known).filter("NOT aside").select("words"))
@@ -197,17 +216,21 @@ def fit(docs: DataFrame, text_col: str = "text", max_docs: int = 400, max_lines:
     counts = counts.setBinary(True)
     families = [UNKNOWN, *TEMPLATES]
     texts = docs.select(docs[f"`{text_col}`"].alias("text")).filter("text IS NOT NULL")
-    rows = materialize(training_rows(texts, known, max_docs, max_lines), "licence-rows").coalesce(1)
     label = F.array_position(F.array(*map(F.lit, families)), F.col("family")) - 1
-    rows = counts.transform(rows.select(label.cast("double").alias("label"), features(F.col("words")).alias("tokens"), runs(F.col("words"), 3).alias("has"), "aside", "near"))
-    lr = LogisticRegression(family="multinomial", regParam=0.002, elasticNetParam=0.5, maxIter=50, standardization=False)
+    made = made_rows(known).select(label.cast("double").alias("label"), features(F.col("words")).alias("tokens"), runs(F.col("words"), 3).alias("has"), "aside", "near")
+    lines = corpus_lines(texts, known, vocabulary, weight).withColumn("label", F.lit(0.0))
+    rows = materialize(made.withColumn("weight", F.lit(1.0)).unionByName(lines), "licence-rows")
+    rows = counts.transform(rows.coalesce(max(1, -(-rows.count() // ROWS_PER_PART))))
+    lr = LogisticRegression(family="multinomial", regParam=0.002, elasticNetParam=0.5, maxIter=50, standardization=False, weightCol="weight")
     model = lr.fit(rows.filter("NOT aside"))
     # A near miss counts for the families with which the overlap would confirm it, any other row for all.
     of = F.array(*[F.array(*[F.array(*map(F.lit, r["runs"])) for r in known.filter(F.col("family") == f).collect()]) for f in families[1:]])
     p = F.slice(vector_to_array("probability"), F.lit(2), F.lit(len(TEMPLATES)))
     could = F.zip_with("p", of, lambda x, ts: F.when(~F.col("near") | F.exists(ts, lambda t: share(F.col("has"), t) >= OVERLAP), x).otherwise(0.0))
-    put_aside = settled(model.transform(rows.filter("aside")).select("near", "has", "probability"), p=p).select("near", F.array_max(could).alias("p"), "has")
-    at = put_aside.groupBy("near").agg(F.percentile("p", F.lit(1 - false_share)).alias("t")).collect()  # two rows
+    put_aside = settled(model.transform(rows.filter("aside")).select("near", "has", "weight", "probability"), p=p)
+    # Rounded up to a millionth, and counted by thousandths of a row: as many values as there are millionths at most.
+    put_aside = put_aside.select("near", (F.ceil(F.array_max(could) * 1e6) / 1e6).alias("p"), F.greatest(F.round(F.col("weight") * 1000), F.lit(1)).cast("long").alias("n"))
+    at = put_aside.groupBy("near").agg(F.percentile("p", F.lit(1 - false_share), F.col("n")).alias("t")).collect()  # two rows
     return Classifier(counts, model, families, max(0.5, *[r["t"] for r in at]), known)
 
 

@@ -170,3 +170,13 @@ def test_learning_rows_are_bounded_whatever_ids_repeat(spark, frame):
         toxicity.fit(docs, labels, max_rows=60)
         quality.fit(docs, labels, max_rows=60)
     assert seen[-2].count() == 60 and len(seen[-1]) == 60
+
+
+def test_licences_learn_from_every_line_of_every_text(spark, frame):
+    texts = [(k, f"the words of a line that is given in the text {k}\nlicensed under the sky {k % 3}") for k in range(900)]
+    known = licences.templates(spark)
+    vocabulary = sorted({t for r in known.select(licences.features(F.col("words")).alias("t")).collect() for t in r["t"]})
+    lines = licences.corpus_lines(frame(texts).select("text"), known, vocabulary, 1e9).groupBy("near").agg(F.sum("weight").alias("n")).collect()
+    assert {r["near"]: r["n"] for r in lines} == {False: 900.0, True: 900.0}
+    lines = licences.corpus_lines(frame(texts).select("text"), known, vocabulary, 90).agg(F.sum("weight")).first()[0]
+    assert abs(lines - 180) < 1e-6
