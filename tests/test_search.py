@@ -154,3 +154,9 @@ def test_wide_search_tasks_emit_little_more_than_k_rows_together(spark, monkeypa
     plain = {tuple(r) for r in search.search_batch(docs, asked, 200, -1.0).select("query_id", "url", "score", "rank").collect()}
     assert hits == plain and len(hits) == 30 * 200
     assert emitted[0] < 30 * 200 * 3 < 30 * 200 * 8 * 0.9 < emitted[1]
+
+
+def test_equal_scores_of_documents_without_url_come_first():
+    docs = [("b", [1.0]), (None, [2.0]), ("a", [3.0]), (None, [4.0])]
+    assert kernel(docs, [(0, [1.0])], 2, -1.0) == {(0, None, 1.0)}
+    assert kernel(docs, [(0, [1.0])], 3, -1.0) == {(0, None, 1.0), (0, "a", 1.0)}
