@@ -95,7 +95,9 @@ class Occurrences:
             found.append((now, k, held[now], held_check[now], since[now]))
             if k < longest:
                 reach = np.full(len(since), NEVER, np.int64)
-                reach[at] = reached[held[at] >> shift]
+                # Not before it is counted itself: the bucket may have been another phrase's earlier, and the cycle of
+                # a phrase one word longer, which begins when this one is seen, would then end too soon.
+                reach[at] = np.maximum(reached[held[at] >> shift], since[at])
                 since = reach
         self.first = np.concatenate([f[0] for f in found] or [np.zeros(0, np.int64)])
         self.size = np.concatenate([np.full(len(f[0]), f[1]) for f in found] or [np.zeros(0, np.int64)])

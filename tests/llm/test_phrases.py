@@ -123,3 +123,13 @@ def test_query(spark):
     sf_dir = "/root/testdata/sf0.001"
     rows = [(r["lang"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     assert sorted(tuple(r) for r in QUERIES["op11_phrase_collocations"](spark, sf_dir).collect()) == plain_way(rows, 100)
+
+
+@pytest.mark.parametrize("bits", [9, 11])
+def test_shared_buckets_lose_no_count(spark, bits):
+    """Phrases of words that reach the threshold in different scans, in buckets that others have reached before."""
+    rng = random.Random(0)
+    fixed = [" ".join(f"r{j}x{i}" for i in range(rng.randint(2, 7))) for j in range(60)]
+    rows = [("en", " ".join(rng.choice(fixed) if rng.random() < 0.35 else f"v{rng.randrange(40)}" for _ in range(20))) for _ in range(400)]
+    want = plain_way(rows, 30)
+    assert sorted(tuple(r) for r in ph.collocations(frame(spark, rows), threshold=30, bits=bits).collect()) == want and len(want) > 40
