@@ -318,7 +318,7 @@ def wrapped(rows: DataFrame, of_family: DataFrame, overlap: float) -> DataFrame:
 
 def notices(docs: DataFrame, how: Classifier, id_col: str = "doc_id", text_col: str = "text", overlap: float = OVERLAP) -> DataFrame:
     """(doc_id, line, family, probability, overlap) of every confirmed notice."""
-    rows = candidates(docs, how.known, id_col, text_col)
+    rows = materialize(candidates(docs, how.known, id_col, text_col), "licence-candidates")  # two ways below
     of_family = how.known.groupBy("family").agg(F.collect_list("runs").alias("templates"))  # as many rows as families
     single = rows.select("doc_id", "line", "bsd_2", F.col("own").alias("words"), F.lit(None).cast("string").alias("of"))
     rows = single.unionByName(wrapped(rows, of_family, overlap))

@@ -180,3 +180,10 @@ def test_licences_learn_from_every_line_of_every_text(spark, frame):
     assert {r["near"]: r["n"] for r in lines} == {False: 900.0, True: 900.0}
     lines = licences.corpus_lines(frame(texts).select("text"), known, vocabulary, 90).agg(F.sum("weight")).first()[0]
     assert abs(lines - 180) < 1e-6
+
+
+def test_notices_read_the_texts_once(spark, frame, scanner, tmp_path):
+    frame([(1, "Released under the MIT License."), (2, "other")]).write.parquet(f"{tmp_path}/read-me")
+    found = licences.notices(spark.read.parquet(f"{tmp_path}/read-me"), scanner)
+    assert str(found._jdf.queryExecution().executedPlan()).count("read-me") <= 1
+    assert [(r["doc_id"], r["family"]) for r in found.collect()] == [(1, "mit")]
