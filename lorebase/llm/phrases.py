@@ -3,16 +3,20 @@
 The texts are written once in ``SHARDS`` shards, which are scanned in turn, again and again. A scan
 counts phrases of all lengths at once: a single word from the first scan on, a longer phrase from
 the scan after both of its subphrases (all but its last word, all but its first) have reached the
-threshold, each for one full cycle, which gives its exact count. Counting ends when every phrase
-that became active has completed its cycle. So a phrase that is frequent in every shard is counted
-along with its subphrases, not a whole pass later.
+threshold, each until it reaches the threshold too, for one full cycle at most. Scanning ends when
+every phrase that became active has completed its cycle or reached the threshold. So a phrase that
+is frequent in every shard is found along with its subphrases, not a whole pass later.
+
+The scans count hashes of phrases, not phrases: phrases that share one only reach the threshold too
+early. A last pass over all shards then counts the phrases themselves, all occurrences of those that
+reached it, which are few and exact; the others cannot be frequent.
 
 What has reached the threshold is told to the tasks by a table of one byte for each of
 ``1 << BITS`` hash buckets: the first scan after which a phrase of that bucket had reached it. Its
 size does not grow with the data. Phrases that share a bucket may become active without need, but
-all occurrences of a phrase see the same scan there, so every count stays exact: the table only
-saves work. A task groups occurrences by a 64-bit hash of their words and compares a second one, in
-buffers of at most ``HELD`` phrases; from there on the phrases themselves are the keys.
+never too late or for too short: the table only saves work. The last pass groups occurrences by a
+64-bit hash of their words and compares a second one, in buffers of at most ``HELD`` phrases; from
+there on the phrases themselves are the keys.
 
 Languages are kept apart; a null language counts as ``und``. A null or empty text has no words, a
 repeated row counts as often as it occurs, and only text and lang are read, whatever other columns
@@ -22,8 +26,8 @@ there are. No texts give no rows. A long text is cut at the end of a piece, whic
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +42,8 @@ THRESHOLD, LONGEST, TOP = 100, 5, 2000
 SHARDS = 3
 BITS = 24
 HELD = 1 << 19
+TALLY = 1 << 22
+"""Occurrences that a task of a scan holds before it counts them."""
 NEVER = 255
 ROWS_PER_PART = 100_000
 
@@ -48,7 +54,8 @@ SEPARATOR = BREAK.copy()
 SEPARATOR[[0x20, 0x09]] = True
 
 COUNTED = "lang string, words int, hash long, since int, phrase string, n long"
-PHRASE = ["lang", "words", "hash", "since", "phrase"]
+TALLIED = "key long, n long"
+"""A key is the first 48 bits of a phrase's hash, then its number of words and the scan it waited for, a byte each."""
 
 
 def _runs(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -68,9 +75,12 @@ def _runs(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, n
 
 
 class Occurrences:
-    """The phrases of a run of texts that are active in a scan."""
+    """The phrases of a run of texts that are active in a scan.
+
+    With ``told`` only those whose own bucket has reached the threshold (True) or has not (False).
+    """
 
-    def __init__(self, words: Words, code: np.ndarray, reached: np.ndarray, scan: int, shards: int, longest: int):
+    def __init__(self, words: Words, code: np.ndarray, reached: np.ndarray, scan: int, shards: int, longest: int, told: bool | None = None):
         self.words = words
         shift = np.uint64(64 - (len(reached).bit_length() - 1))
         n = len(words.hash)
@@ -78,8 +88,9 @@ class Occurrences:
         joined = (words.doc[1:] == words.doc[:-1]) & (breaks[1:] == breaks[:-1])
         key = mix(words.hash ^ code[words.doc])
         check = words.hash * np.uint64(0xD6E8FEB86659FD93) + (words.end - words.start).astype(np.uint64)
-        found = [(np.arange(n), 1, key, check, np.zeros(n, np.int64))] if scan <= shards else []
         since = reached[key >> shift].astype(np.int64)
+        now = np.arange(n) if told is None else np.flatnonzero((since != NEVER) == told)
+        found = [(now, 1, key[now], check[now], np.zeros(len(now), np.int64))] if scan <= shards else []
         held, held_check = key.copy(), check.copy()
         for k in range(2, longest + 1):
             if len(since) < 2:
@@ -91,13 +102,15 @@ class Occurrences:
             at = np.flatnonzero(since != NEVER)
             held[at] = mix(held[at] * np.uint64(0x9FB21C651E98DF25) + words.hash[at + k - 1])
             held_check[at] = held_check[at] * np.uint64(0xA24BAED4963EE407) + (words.hash[at + k - 1] ^ np.uint64(k))
-            now = at[scan <= since[at] + shards]
+            own = reached[held[at] >> shift]
+            active = scan <= since[at] + shards
+            now = at[active if told is None else active & ((own != NEVER) == told)]
             found.append((now, k, held[now], held_check[now], since[now]))
             if k < longest:
                 reach = np.full(len(since), NEVER, np.int64)
                 # Not before it is counted itself: the bucket may have been another phrase's earlier, and the cycle of
                 # a phrase one word longer, which begins when this one is seen, would then end too soon.
-                reach[at] = np.maximum(reached[held[at] >> shift], since[at])
+                reach[at] = np.maximum(own, since[at])
                 since = reach
         self.first = np.concatenate([f[0] for f in found] or [np.zeros(0, np.int64)])
         self.size = np.concatenate([np.full(len(f[0]), f[1]) for f in found] or [np.zeros(0, np.int64)])
@@ -105,6 +118,9 @@ class Occurrences:
         self.check = np.concatenate([f[3] for f in found] or [np.zeros(0, np.uint64)])
         self.since = np.concatenate([f[4] for f in found] or [np.zeros(0, np.int64)])
 
+    def keys(self) -> np.ndarray:
+        return self.key & ~np.uint64(0xFFFF) | (self.size << 8 | self.since).astype(np.uint64)
+
     def grouped(self) -> tuple[np.ndarray, np.ndarray]:
         """(one occurrence of each phrase, ordered by key; its number of occurrences)."""
         order = np.argsort(self.key)
@@ -185,24 +201,83 @@ class Buffer:
         return pa.record_batch([*columns, pa.concat_arrays([c[4] for c in chunks]), pa.array(n)], schema=self.schema)
 
 
-def _count(load: Callable[[], np.ndarray], scan: int, shards: int, longest: int):
+def _found(load: Callable[[], np.ndarray], batches: Iterable[pa.RecordBatch], *how, **told) -> Iterator[tuple[Occurrences, np.ndarray]]:
+    """(phrases, language of each text) of runs of texts."""
+    reached = load()
+    for batch in batches:
+        langs = batch.column(0).to_numpy(zero_copy_only=False)
+        codes = batch.column(1).to_numpy().view(np.uint64)
+        data, offsets = as_bytes(batch.column(2))
+        for texts, bounds in _runs(data, offsets):
+            words = Words(data[bounds[0] : bounds[-1]], bounds - bounds[0], SEPARATOR)
+            yield Occurrences(words, codes[texts], reached, *how, **told), langs[texts]
+
+
+def _tally(load: Callable[[], np.ndarray], scan: int, shards: int, longest: int):
+    """Keys of the active phrases that have not reached the threshold, with their numbers of occurrences."""
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        key, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.record_batch([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for found, _ in _found(load, batches, scan, shards, longest, told=False):
+            held.append(found.keys())
+            size += len(held[-1])
+            if size >= TALLY:
+                yield counted(held)
+                held, size = [], 0
+        if size:
+            yield counted(held)
+
+    return run
+
+
+def _count(load: Callable[[], np.ndarray], longest: int):
+    """All occurrences of the phrases whose bucket has reached the threshold; words are 0 where n has all words of a language."""
     kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
     schema = pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in COUNTED.split(", "))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reached, held = load(), Buffer(schema)
-        for batch in batches:
-            langs = batch.column(0).to_numpy(zero_copy_only=False)
-            codes = batch.column(1).to_numpy().view(np.uint64)
-            data, offsets = as_bytes(batch.column(2))
-            for texts, bounds in _runs(data, offsets):
-                words = Words(data[bounds[0] : bounds[-1]], bounds - bounds[0], SEPARATOR)
-                yield from held.add(Occurrences(words, codes[texts], reached, scan, shards, longest), langs[texts])
+        held, all_words = Buffer(schema), Counter()
+        for found, langs in _found(load, batches, 1, 1, longest, told=True):
+            yield from held.add(found, langs)
+            for lang, n in zip(langs, found.words.count.tolist()):
+                all_words[lang] += n
         yield from held.flush()
+        totals = [{"lang": lang, "words": 0, "hash": 0, "since": 0, "phrase": "", "n": n} for lang, n in all_words.items() if n]
+        yield pa.RecordBatch.from_pylist(totals, schema)
 
     return run
 
 
+def reachable(shard_of: DataFrame, threshold: int, longest: int, shards: int, bits: int) -> np.ndarray:
+    """The table of buckets after scans of all shards in turn: below ``NEVER`` where a phrase may have reached the threshold."""
+    spark = shard_of.sparkSession
+    reached = np.full(1 << bits, NEVER, np.uint8)
+    counts, scan, last = None, 0, 0
+    words, since = F.shiftright("key", 8).bitwiseAND(F.lit(0xFF)), F.col("key").bitwiseAND(F.lit(0xFF))
+    while scan < shards or scan < last + shards:
+        scan += 1
+        told = spark.sparkContext.broadcast(zlib.compress(reached, 1))
+        shard = shard_of.filter(F.col("shard") == (scan - 1) % shards).select("lang", "code", "text")
+        seen = shard.mapInArrow(_tally(lambda told=told: np.frombuffer(zlib.decompress(told.value), np.uint8), scan, shards, longest), TALLIED)
+        rows = seen if counts is None else seen.unionByName(counts)
+        summed = rows.groupBy("key").agg(F.sum("n").alias("n"))
+        often = F.col("n") >= threshold
+        summed = materialize(summed.filter(often | (since + shards > scan)), "phrases")
+        told.destroy()
+        counts = summed.filter(~often)
+        bucket = F.shiftrightunsigned("key", 64 - bits).cast("int").alias("bucket")
+        buckets = summed.filter(often).select(bucket, (words < longest).alias("grows")).distinct().toArrow()  # at most two for each byte of the table
+        new, grows = buckets.column(0).to_numpy(), buckets.column(1).to_numpy()
+        if grows.any():
+            last = scan
+        reached[new] = np.minimum(reached[new], scan)
+    return reached
+
+
 def frequent_phrases(
     docs: DataFrame, threshold: int = THRESHOLD, longest: int = LONGEST, shards: int = SHARDS, bits: int = BITS
 ) -> tuple[DataFrame, DataFrame]:
@@ -217,32 +292,14 @@ def frequent_phrases(
     texts.write.partitionBy("shard").parquet(path)
     shard_of = spark.read.schema(texts.schema).parquet(path)
 
-    reached = np.full(1 << bits, NEVER, np.uint8)
-    counts, complete, totals, scan, last = None, [], None, 0, 0
-    while scan < shards or scan < last + shards:
-        scan += 1
-        told = spark.sparkContext.broadcast(zlib.compress(reached, 1))
-        shard = shard_of.filter(F.col("shard") == (scan - 1) % shards).select("lang", "code", "text")
-        seen = shard.mapInArrow(_count(lambda told=told: np.frombuffer(zlib.decompress(told.value), np.uint8), scan, shards, longest), COUNTED)
-        seen = seen.withColumn("reached", F.lit(None).cast("int"))
-        rows = seen if counts is None else seen.unionByName(counts)
-        summed = rows.groupBy(*PHRASE).agg(F.sum("n").alias("n"), F.min("reached").alias("reached"))
-        first = F.coalesce("reached", F.when(F.col("n") >= threshold, F.lit(scan)))
-        summed = materialize(summed.withColumn("reached", first), "phrases")
-        told.destroy()
-        closes = F.col("since") + shards
-        complete.append(summed.filter((closes == scan) & (F.col("n") >= threshold)))
-        if scan == shards:
-            totals = summed.filter("words = 1").groupBy("lang").agg(F.sum("n").alias("n"))
-        counts = summed.filter(closes > scan)
-        bucket = F.shiftrightunsigned("hash", 64 - bits).cast("int").alias("bucket")
-        buckets = summed.filter((F.col("reached") == scan) & (F.col("words") < longest)).select(bucket).distinct()
-        new = buckets.toArrow().column(0).to_numpy()  # at most one for each byte of the table
-        if len(new):
-            last = scan
-            reached[new] = np.minimum(reached[new], scan)
-    frequent = reduce(DataFrame.unionByName, complete)
-    return frequent.select("lang", "words", "phrase", F.col("n").alias("f")), totals
+    reached = reachable(shard_of, threshold, longest, shards, bits)
+    told = spark.sparkContext.broadcast(zlib.compress(np.where(reached == NEVER, NEVER, 0).astype(np.uint8), 1))
+    counted = shard_of.select("lang", "code", "text").mapInArrow(_count(lambda: np.frombuffer(zlib.decompress(told.value), np.uint8), longest), COUNTED)
+    summed = counted.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
+    summed = materialize(summed.filter((F.col("words") == 0) | (F.col("n") >= threshold)), "phrases")
+    told.destroy()
+    frequent = summed.filter("words > 0").select("lang", "words", "phrase", F.col("n").alias("f"))
+    return frequent, summed.filter("words = 0").select("lang", "n")
 
 
 def _joined(words: Column, start: Column, size: Column) -> Column:
@@ -283,7 +340,6 @@ def collocations(
 ) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's ``top`` phrases by score, then count, then bytes."""
     frequent, totals = frequent_phrases(docs, threshold, longest, shards, bits)
-    frequent = materialize(frequent, "frequent")
     kept = materialize(scored(frequent, totals).join(absorbed(frequent), ["lang", "phrase", "a"], "left_anti"), "scored")
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase").asc()]
     best = best_within(kept, ["lang"], order, top, F.xxhash64("phrase"), max(16, -(-kept.count() // ROWS_PER_PART)))

@@ -133,3 +133,16 @@ def test_shared_buckets_lose_no_count(spark, bits):
     rows = [("en", " ".join(rng.choice(fixed) if rng.random() < 0.35 else f"v{rng.randrange(40)}" for _ in range(20))) for _ in range(400)]
     want = plain_way(rows, 30)
     assert sorted(tuple(r) for r in ph.collocations(frame(spark, rows), threshold=30, bits=bits).collect()) == want and len(want) > 40
+
+
+def test_scans_leave_out_what_has_reached_the_threshold():
+    data, offsets = as_bytes(pa.array(["a b c. c d"]))
+    words, code = Words(data, offsets, ph.SEPARATOR), np.zeros(1, np.uint64)
+    reached = np.full(1 << 10, 2, np.uint8)
+    assert not len(ph.Occurrences(words, code, reached, 3, 4, 5, told=False).size)
+    assert sorted(ph.Occurrences(words, code, reached, 3, 4, 5, told=True).size.tolist()) == [1] * 5 + [2, 2, 2, 3]
+    reached[:] = ph.NEVER
+    assert not len(ph.Occurrences(words, code, reached, 1, 4, 5, told=True).size)
+    found = ph.Occurrences(words, code, reached, 1, 4, 5, told=False)
+    assert found.size.tolist() == [1] * 5 and len(set(found.keys().tolist())) == 4  # c twice
+    assert ((found.keys() >> np.uint64(54)) == (found.key >> np.uint64(54))).all() and (found.keys() & np.uint64(0xFFFF) == 1 << 8).all()
