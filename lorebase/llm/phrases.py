@@ -9,14 +9,17 @@ is frequent in every shard is found along with its subphrases, not a whole pass
 
 The scans count hashes of phrases, not phrases: phrases that share one only reach the threshold too
 early. A last pass over all shards then counts the phrases themselves, all occurrences of those that
-reached it, which are few and exact; the others cannot be frequent.
+reached it, which are few and exact; the others cannot be frequent. Every task of that pass gives a
+row for each frequent phrase that it meets, so there are as many tasks as the cluster keeps busy,
+however large the input: more would repeat the same phrases.
 
 What has reached the threshold is told to the tasks by a table of one byte for each of
 ``1 << BITS`` hash buckets: the first scan after which a phrase of that bucket had reached it. Its
-size does not grow with the data. Phrases that share a bucket may become active without need, but
-never too late or for too short: the table only saves work. The last pass groups occurrences by a
-64-bit hash of their words and compares a second one, in buffers of at most ``HELD`` phrases; from
-there on the phrases themselves are the keys.
+size does not grow with the data. A phrase has two buckets, and counts as reached when both are.
+Phrases that share both with others may become active without need, but never too late or for too
+short: the table only saves work. The last pass groups occurrences by a 64-bit hash of their words
+and compares a second one, in buffers of at most ``HELD`` phrases; from there on the phrases
+themselves are the keys.
 
 Languages are kept apart; a null language counts as ``und``. A null or empty text has no words, a
 repeated row counts as often as it occurs, and only text and lang are read, whatever other columns
@@ -45,6 +48,8 @@ HELD = 1 << 19
 TALLY = 1 << 22
 """Occurrences that a task of a scan holds before it counts them."""
 NEVER = 255
+TASKS_PER_CORE = 2
+"""Tasks of the last pass."""
 ROWS_PER_PART = 100_000
 
 BREAK = np.zeros(256, bool)
@@ -74,21 +79,29 @@ def _runs(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, n
             yield np.arange(lo, hi), bounds
 
 
+def _reached(table: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The scan after which both buckets of each key had reached the threshold, or ``NEVER``."""
+    bits = len(table).bit_length() - 1
+    scan = table[key >> np.uint64(64 - bits)]
+    at = np.flatnonzero(scan != NEVER)
+    scan[at] = np.maximum(scan[at], table[key[at] >> np.uint64(16) & np.uint64(len(table) - 1)])
+    return scan
+
+
 class Occurrences:
     """The phrases of a run of texts that are active in a scan.
 
-    With ``told`` only those whose own bucket has reached the threshold (True) or has not (False).
+    With ``told`` only those whose own buckets have reached the threshold (True) or have not (False).
     """
 
     def __init__(self, words: Words, code: np.ndarray, reached: np.ndarray, scan: int, shards: int, longest: int, told: bool | None = None):
         self.words = words
-        shift = np.uint64(64 - (len(reached).bit_length() - 1))
         n = len(words.hash)
         breaks = np.cumsum(BREAK[words.data], dtype=np.int32)[words.start] if n else np.zeros(0, np.int32)
         joined = (words.doc[1:] == words.doc[:-1]) & (breaks[1:] == breaks[:-1])
         key = mix(words.hash ^ code[words.doc])
         check = words.hash * np.uint64(0xD6E8FEB86659FD93) + (words.end - words.start).astype(np.uint64)
-        since = reached[key >> shift].astype(np.int64)
+        since = _reached(reached, key).astype(np.int64)
         now = np.arange(n) if told is None else np.flatnonzero((since != NEVER) == told)
         found = [(now, 1, key[now], check[now], np.zeros(len(now), np.int64))] if scan <= shards else []
         held, held_check = key.copy(), check.copy()
@@ -102,13 +115,13 @@ class Occurrences:
             at = np.flatnonzero(since != NEVER)
             held[at] = mix(held[at] * np.uint64(0x9FB21C651E98DF25) + words.hash[at + k - 1])
             held_check[at] = held_check[at] * np.uint64(0xA24BAED4963EE407) + (words.hash[at + k - 1] ^ np.uint64(k))
-            own = reached[held[at] >> shift]
+            own = _reached(reached, held[at])
             active = scan <= since[at] + shards
             now = at[active if told is None else active & ((own != NEVER) == told)]
             found.append((now, k, held[now], held_check[now], since[now]))
             if k < longest:
                 reach = np.full(len(since), NEVER, np.int64)
-                # Not before it is counted itself: the bucket may have been another phrase's earlier, and the cycle of
+                # Not before it is counted itself: the buckets may have been other phrases' earlier, and the cycle of
                 # a phrase one word longer, which begins when this one is seen, would then end too soon.
                 reach[at] = np.maximum(own, since[at])
                 since = reach
@@ -235,7 +248,7 @@ def _tally(load: Callable[[], np.ndarray], scan: int, shards: int, longest: int)
 
 
 def _count(load: Callable[[], np.ndarray], longest: int):
-    """All occurrences of the phrases whose bucket has reached the threshold; words are 0 where n has all words of a language."""
+    """All occurrences of the phrases whose buckets have reached the threshold; words are 0 where n has all words of a language."""
     kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
     schema = pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in COUNTED.split(", "))])
 
@@ -269,8 +282,8 @@ def reachable(shard_of: DataFrame, threshold: int, longest: int, shards: int, bi
         summed = materialize(summed.filter(often | (since + shards > scan)), "phrases")
         told.destroy()
         counts = summed.filter(~often)
-        bucket = F.shiftrightunsigned("key", 64 - bits).cast("int").alias("bucket")
-        buckets = summed.filter(often).select(bucket, (words < longest).alias("grows")).distinct().toArrow()  # at most two for each byte of the table
+        both = F.array(F.shiftrightunsigned("key", 64 - bits), F.shiftrightunsigned("key", 16).bitwiseAND(F.lit((1 << bits) - 1)))
+        buckets = summed.filter(often).select(F.explode(both.cast("array<int>")).alias("bucket"), (words < longest).alias("grows")).distinct().toArrow()  # at most two for each byte of the table
         new, grows = buckets.column(0).to_numpy(), buckets.column(1).to_numpy()
         if grows.any():
             last = scan
@@ -294,7 +307,8 @@ def frequent_phrases(
 
     reached = reachable(shard_of, threshold, longest, shards, bits)
     told = spark.sparkContext.broadcast(zlib.compress(np.where(reached == NEVER, NEVER, 0).astype(np.uint8), 1))
-    counted = shard_of.select("lang", "code", "text").mapInArrow(_count(lambda: np.frombuffer(zlib.decompress(told.value), np.uint8), longest), COUNTED)
+    every = shard_of.select("lang", "code", "text").coalesce(TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+    counted = every.mapInArrow(_count(lambda: np.frombuffer(zlib.decompress(told.value), np.uint8), longest), COUNTED)
     summed = counted.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
     summed = materialize(summed.filter((F.col("words") == 0) | (F.col("n") >= threshold)), "phrases")
     told.destroy()

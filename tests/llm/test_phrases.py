@@ -146,3 +146,45 @@ def test_scans_leave_out_what_has_reached_the_threshold():
     found = ph.Occurrences(words, code, reached, 1, 4, 5, told=False)
     assert found.size.tolist() == [1] * 5 and len(set(found.keys().tolist())) == 4  # c twice
     assert ((found.keys() >> np.uint64(54)) == (found.key >> np.uint64(54))).all() and (found.keys() & np.uint64(0xFFFF) == 1 << 8).all()
+
+
+def test_a_phrase_is_told_only_when_both_its_buckets_are():
+    """A bucket that other phrases share is not enough: what the last pass counts in vain would grow with the square of the texts."""
+    data, offsets = as_bytes(pa.array(["a"]))
+    words, code = Words(data, offsets, ph.SEPARATOR), np.zeros(1, np.uint64)
+    never = np.full(1 << 12, ph.NEVER, np.uint8)
+    key = int(ph.Occurrences(words, code, never, 1, 1, 5).key[0])
+    told = lambda *buckets: len(ph.Occurrences(words, code, np.where(np.isin(np.arange(1 << 12), buckets), 3, never), 1, 1, 5, told=True).size)
+    first, second = key >> 52, key >> 16 & 0xFFF
+    assert first != second and (told(first), told(second), told(first, second)) == (0, 0, 1)
+
+
+def test_the_last_pass_repeats_no_phrase_for_each_piece_of_the_input(spark, monkeypatch):
+    """The same words everywhere: ten times the texts in as many more files give few more rows."""
+    made, real = [spark.sparkContext.accumulator(0)], ph._count
+
+    def noted(load, longest):
+        run, rows = real(load, longest), made[-1]
+
+        def counting(batches):
+            for batch in run(batches):
+                rows.add(batch.num_rows)
+                yield batch
+
+        return counting
+
+    monkeypatch.setattr(ph, "_count", noted)
+    small = {"spark.sql.files.maxPartitionBytes": "2k", "spark.sql.files.openCostInBytes": "2k"}
+    was = {k: spark.conf.get(k) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        one = [("en", " ".join(f"w{(i * j) % 50}" for j in range(60))) for i in range(40)]
+        for times in (1, 10):
+            made.append(spark.sparkContext.accumulator(0))
+            got, _ = ph.frequent_phrases(frame(spark, one * times).repartition(4 * times), threshold=5, longest=1)
+            assert got.count() == 50
+        assert 0 < made[1].value and made[2].value <= 2 * spark.sparkContext.defaultParallelism * 51
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
