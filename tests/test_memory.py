@@ -1,5 +1,7 @@
 """Python memory, chunks and files that grow no faster than the input."""
 
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from lorebase.functions import embedders
 from lorebase.functions.memory import text_slices
 from lorebase.operators import embed, extract, fetchplan
 from lorebase.plans import registry, testbed
+from lorebase.session import local_folder
 
 
 def test_slices_are_bounded_and_cover_all():
@@ -60,3 +63,23 @@ def test_a_stream_gets_a_file_for_each_document(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = [(r["place"], r["content"]) for r in registry.stream_ingest(spark, str(tmp_path)).collect()]
     assert sorted(got) == [("key=1", "again\n"), ("key=1", "one\n"), ("key=1", "two\nlines\n"), ("key=2", "\n"), ("key=3", "\n")]
+
+
+def test_single_files_are_those_of_sparks_writer(spark, tmp_path, monkeypatch):
+    rows = [(1, "one"), (301, "two\nlines"), (301, "again"), (301, "again"), (2, None), (-3, ""), (None, "caf\u00e9"), (None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+
+    def written():
+        top = Path(testbed.document_files(spark, str(tmp_path), single=True).removeprefix("file:"))
+        return top, sorted((p.parent.name, p.read_bytes()) for p in top.rglob("part-*") if p.is_file())
+
+    top, own = written()
+    assert len(own) == len(rows) and not [p for p in top.rglob(".*")]  # no checksum and no unfinished files
+    assert ("key=297", b"\n") in own and ("key=__HIVE_DEFAULT_PARTITION__", "caf\u00e9\n".encode()) in own
+    monkeypatch.setattr(testbed, "local_folder", lambda spark, path: None)
+    assert written()[1] == own
+
+
+def test_a_folder_in_another_store_is_not_local(spark, tmp_path):
+    assert local_folder(spark, f"file://{tmp_path}/a b") == f"{tmp_path}/a b" == local_folder(spark, f"{tmp_path}/a b")
+    assert local_folder(spark, "viewfs://store/in") is None

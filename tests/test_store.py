@@ -12,6 +12,7 @@ from lorebase.plans import ingest
 from lorebase.schema import KB_SCHEMA
 from lorebase.sources import store
 from lorebase.sources.store import KnowledgeBase
+from lorebase.streaming import ingest as streaming
 from lorebase.streaming.ingest import stream_ingest
 
 DOC = "url string, content string, context string, seq int"
@@ -230,6 +231,35 @@ def test_stream_replay_gives_the_same_rows(spark, tmp_path):
     assert kb.documents().count() == 3
 
 
+def test_small_files_of_a_stream_share_tasks(spark, tmp_path, monkeypatch):
+    folder, kb, seen = tmp_path / "in", KnowledgeBase.open(spark, str(tmp_path / "kb")), []
+    folder.mkdir()
+    for i in range(200):
+        (folder / f"{i}.txt").write_text(f"text {i}")
+    keys = "spark.sql.files.openCostInBytes", "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = [spark.conf.get(k) for k in keys]
+
+    def watched(docs, *args, real=streaming.embed_documents):
+        seen.append((docs.rdd.getNumPartitions(), int(docs.sparkSession.conf.get(keys[1]))))
+        return real(docs, *args)
+
+    monkeypatch.setattr(streaming, "embed_documents", watched)
+    stream_ingest(spark, str(folder), kb, "files", str(tmp_path / "cp"), str(tmp_path / "rejects")).awaitTermination()
+    cores = spark.sparkContext.defaultParallelism
+    assert len(seen) == 1 and seen[0][0] <= cores + 1 and seen[0][1] <= 4 * cores
+    assert [spark.conf.get(k) for k in keys] == before  # the caller's session keeps its settings
+    assert {r.title: r.content for r in kb.documents().collect()} == {f"{i}.txt": f"text {i}" for i in range(200)}
+
+
+def test_only_repeated_urls_are_copied_again(spark, tmp_path, monkeypatch):
+    kb, copies = KnowledgeBase.open(spark, str(tmp_path), buckets=2), []
+    monkeypatch.setattr(store, "materialize", lambda df, label, real=store.materialize: copies.append(label) or real(df, label))
+    kb.upsert(docs(spark, [("a", "1", "x", 1), ("b", "1", "x", 1)]), "seq")
+    assert copies == [] and contents(kb.documents()) == {"a": ("1", "x"), "b": ("1", "x")}
+    kb.upsert(docs(spark, [("a", "2", "x", 1), ("a", "3", "y", 2), ("c", "1", "x", 1)]), "seq")
+    assert copies == ["batch"] and contents(kb.documents()) == {"a": ("3", "y"), "b": ("1", "x"), "c": ("1", "x")}
+
+
 def test_latest_file_version_wins_inside_a_batch(spark):
     rows = [("u", "old", "x", datetime(2024, 1, 1)), ("u", "new", "x", datetime(2024, 1, 2))]
     batch = spark.createDataFrame(rows, "url string, content string, context string, at timestamp")
